@@ -21,6 +21,12 @@ def prefix_state(text: str) -> int:
     return state
 
 
+def slot_number(text: str, max_features: int) -> int:
+    """Feature slot of a constant text, without any offset."""
+    state = prefix_state(text)
+    return abs(state - _WORD if state >= _WORD // 2 else state) % max_features
+
+
 def continue_hash(state: Column | int, text: Column) -> Column:
     """Feed the characters of ``text`` into a hash state.
 

@@ -37,7 +37,8 @@ STATE = "idx int, z double, n double, seen bigint, label_sum double, loss_sum do
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], STATE)
+    names_and_types = [column.split(" ") for column in STATE.split(", ")]
+    return spark.range(0).select(*[F.lit(0).cast(t).alias(c) for c, t in names_and_types])
 
 
 def weight(z: Column, n: Column, p: FtrlParams) -> Column:
