@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = 4294967296  # 2^32
+_MASK = _WORD - 1
 
 
 def _utf16_units(text: str) -> list[int]:
@@ -27,38 +30,39 @@ def slot_number(text: str, max_features: int) -> int:
     return abs(state - _WORD if state >= _WORD // 2 else state) % max_features
 
 
-def continue_hash(state: Column | int, text: Column) -> Column:
-    """Feed the characters of ``text`` into a hash state.
+def _fed(state: Column | int, text: Column, finish: Callable[[Column], Column]) -> Column:
+    """Feed the characters of ``text`` into a hash state, then apply ``finish`` to the state.
 
     The hash is defined over UTF-16 units, so a character beyond U+FFFF counts as its two surrogates.
+    ``finish`` runs inside the aggregate, so that the state is computed once however often it is used.
     """
 
-    def feed(acc: Column, char: Column) -> Column:
-        code = F.ascii(char).cast("bigint")
-        above = code - 65536
-        high = 55296 + F.floor(above / 1024)
-        low = 56320 + above % 1024
-        return F.when(code < 65536, (acc * 31 + code) % _WORD).otherwise(
-            ((acc * 31 + high) % _WORD * 31 + low) % _WORD
+    def feed(acc: Column, code: Column) -> Column:
+        high = 55296 + F.shiftright(code - 65536, 10)
+        low = 56320 + (code - 65536).bitwiseAND(1023)
+        return F.when(code < 65536, (acc * 31 + code).bitwiseAND(_MASK)).otherwise(
+            ((acc * 31 + high) * 31 + low).bitwiseAND(_MASK)
         )
 
+    codes = F.transform(F.split(text, ""), lambda char: F.ascii(char).cast("bigint"))
     start = F.lit(state).cast("bigint") if isinstance(state, int) else state
-    return F.aggregate(F.split(text, ""), start, feed)
+    return F.aggregate(codes, start, feed, finish)
 
 
-def signed32(state: Column) -> Column:
+def _signed32(state: Column) -> Column:
     """Read a hash state as a signed 32-bit number (kept in a bigint)."""
-    return F.when(state >= _WORD // 2, state - _WORD).otherwise(state)
+    half = _WORD // 2
+    return (state + half).bitwiseAND(_MASK) - half
 
 
 def string_hash(text: Column) -> Column:
     """Signed 32-bit polynomial hash of a string, h = 31 h + unit."""
-    return signed32(continue_hash(0, text))
+    return _fed(0, text, _signed32)
 
 
-def slot_of(state: Column, max_features: int, offset: int = 0) -> Column:
-    """Feature slot of a finished hash state: offset + |hash| mod max_features."""
-    return (F.abs(signed32(state)) % max_features + offset).cast("int")
+def slot_after(state: Column | int, text: Column, max_features: int, offset: int = 0) -> Column:
+    """Feature slot, offset + |hash| mod max_features, of a constant prefix's state and a text behind it."""
+    return _fed(state, text, lambda s: F.abs(_signed32(s)) % max_features + offset).cast("int")
 
 
 def hashed_slot(name: str, value: Column, max_features: int, offset: int = 0) -> Column:
@@ -66,7 +70,7 @@ def hashed_slot(name: str, value: Column, max_features: int, offset: int = 0) ->
 
     The constant part is hashed once in Python; only the characters of the value are read per row.
     """
-    return slot_of(continue_hash(prefix_state(name + "_"), value), max_features, offset)
+    return slot_after(prefix_state(name + "_"), value, max_features, offset)
 
 
 def hash_percent(key: Column) -> Column:

@@ -64,14 +64,10 @@ class CountEncoder:
         self, df: DataFrame, row_key: str, broadcast_rows: int = BROADCAST_ROWS
     ) -> DataFrame:
         """Add ``<column>_p1`` and ``<column>_p0`` per column; unknown and rare values become 0, 0."""
-        found = self.stats.lookup(
-            df,
-            self.columns,
-            lambda c: {f"_{c}_{p}": F.col(p) for p in ("p1", "p0")},
-            row_key,
-            broadcast_rows,
-        )
-        return found.select(
+        shares = {p: F.col(p) for p in ("p1", "p0")}
+        zeros = {p: F.lit(0.0) for p in ("p1", "p0")}
+        wide, found = self.stats.lookup(df, self.columns, shares, zeros, row_key, broadcast_rows)
+        return wide.select(
             *df.columns,
-            *[F.coalesce(F.col(f"_{s}"), F.lit(0.0)).alias(s) for s in self.slots],
+            *[found[c][p].alias(f"{c}_{p}") for c in self.columns for p in ("p1", "p0")],
         )

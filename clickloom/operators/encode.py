@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,10 @@ from clickloom.session import BROADCAST_ROWS, write_table
 # a row of a string-keyed hash relation without its text, in bytes
 _ROW_BYTES = 60
 
+# Lookups that Spark may fuse into one generated method. Chains that are much longer outgrow what the JIT
+# compiles: on 23 columns groups of 8 ran 2.4 times as fast as a single chain.
+_GROUP = 8
+
 
 def category_text(column: str) -> Column:
     """A category as text; a missing value is the category ''."""
@@ -54,7 +58,8 @@ class Dictionary:
 
     @staticmethod
     def write(entries: DataFrame, name: str) -> Dictionary:
-        table = write_table(entries, name)
+        # sorted by feature, so that the reader of one column skips the row groups of the others
+        table = write_table(entries.sortWithinPartitions("feature"), name)
         # one result row per column of the log
         measured = (
             table.groupBy("feature")
@@ -75,30 +80,49 @@ class Dictionary:
         self,
         df: DataFrame,
         columns: Sequence[str],
-        values: Callable[[str], dict[str, Column]],
+        values: dict[str, Column],
+        missing: dict[str, Column],
         row_key: str,
         broadcast_rows: int = BROADCAST_ROWS,
-    ) -> DataFrame:
-        """Add the columns ``values(column)`` for every column; NULL where the value is unknown.
-
-        Rows stay whole. Lookups that are small enough are broadcast, so that the usual log is encoded in
-        one pass without a shuffle. One budget covers all columns; the smallest lookups take it first.
+    ) -> tuple[DataFrame, dict[str, Column]]:
+        """Look every column up; returns the frame and per column the struct of ``values`` found for it.
+
+        ``missing`` is the struct of unknown values. Rows stay whole: lookups that are small enough are
+        broadcast, so the usual log is encoded in one pass without a shuffle. One budget covers all
+        columns; the smallest lookups take it first. After each group of lookups the results are gathered
+        in an array by a projection that Spark runs outside of the generated code, which keeps the
+        generated methods short.
         """
+        default = F.struct(*[expr.alias(name) for name, expr in missing.items()])
+        found: dict[str, Column] = {}
+        gathered: list[str] = []
         out, budget = df, broadcast_rows
-        for c in sorted(columns, key=lambda name: self.sizes.get(name, 0)):
-            size = self.sizes.get(c, 0)
-            out = lookup_join(
-                out.withColumn("_key", category_text(c)),
-                self.table.where(F.col("feature") == c),
-                "_key",
-                "value",
-                values(c),
-                lookup_rows=size,
-                spread=[row_key],
-                occurrences="cnt",
-                total=self.rows,
-                limit=budget,
-            ).drop("_key")
-            if size <= budget:
-                budget -= size
-        return out
+        ordered = sorted(columns, key=lambda name: self.sizes.get(name, 0))
+        for start in range(0, len(ordered), _GROUP):
+            group = ordered[start : start + _GROUP]
+            for c in group:
+                size = self.sizes.get(c, 0)
+                out = lookup_join(
+                    out.withColumn("_key", category_text(c)),
+                    self.table.where(F.col("feature") == c),
+                    "_key",
+                    "value",
+                    {f"_got_{c}": F.struct(*[e.alias(name) for name, e in values.items()])},
+                    lookup_rows=size,
+                    spread=[row_key],
+                    occurrences="cnt",
+                    total=self.rows,
+                    limit=budget,
+                ).drop("_key")
+                if size <= budget:
+                    budget -= size
+            name = f"_group_{start}"
+            results = F.array(*[F.col(f"_got_{c}") for c in group])
+            out = out.select(
+                *df.columns,
+                *gathered,
+                F.transform(results, lambda v: F.coalesce(v, default)).alias(name),
+            )
+            gathered.append(name)
+            found.update({c: F.get(F.col(name), F.lit(i)) for i, c in enumerate(group)})
+        return out, found

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,10 +152,13 @@ class BoostedTrees:
             seed=params.seed,
             leafCol="leaf",
         )
-        dense = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(
-            df.withColumn("label", F.col(label).cast("double"))
-        )
-        return BoostedTrees(tuple(inputs), booster.fit(dense.select("label", "features")))
+        labelled = df.withColumn("label", F.col(label).cast("double"))
+        dense = BoostedTrees._dense(inputs).transform(labelled).select("label", "features")
+        return BoostedTrees(tuple(inputs), booster.fit(dense))
+
+    @staticmethod
+    def _dense(inputs: Sequence[str]) -> VectorAssembler:
+        return VectorAssembler(inputCols=list(inputs), outputCol="features")
 
     @property
     def leaf_counts(self) -> list[int]:
@@ -164,8 +167,7 @@ class BoostedTrees:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add raw_score, probability, prediction and leaf_positions (array<int>) in one narrow pass."""
-        features = array_to_vector(F.array(*[F.col(c).cast("double") for c in self.inputs]))
-        scored = self.model.transform(df.withColumn("features", features))
+        scored = self.model.transform(self._dense(self.inputs).transform(df))
         out = {
             "raw_score": F.get(vector_to_array("rawPrediction"), F.lit(1)),
             "probability": F.get(vector_to_array("probability"), F.lit(1)),

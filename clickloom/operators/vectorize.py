@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.hashing import continue_hash, hashed_slot, prefix_state, slot_of
+from clickloom.functions.hashing import hashed_slot, prefix_state, slot_after
 from clickloom.operators.encode import Dictionary, category_text, value_counts
 from clickloom.operators.running import running
 from clickloom.options import ColumnRoles, LearnerOptions
@@ -101,7 +101,7 @@ def vectorize_positional(
             states,
             lambda text, state: F.when(
                 text.cast("int") != 0,
-                slot_of(continue_hash(state, text), options.max_features, k),
+                slot_after(state, text, options.max_features, k),
             ),
         )
     return (
@@ -146,17 +146,18 @@ class OneHotIndex:
     ) -> DataFrame:
         """Sparse rows (row_id, keep..., y, features); pairs not seen in fitting have no cell."""
         roles = self.roles
-        found = self.entries.lookup(
-            df, roles.categorical, lambda c: {f"_{c}_idx": F.col("idx")}, roles.id, broadcast_rows
+        nowhere = {"idx": F.lit(None).cast("int")}
+        wide, found = self.entries.lookup(
+            df, roles.categorical, {"idx": F.col("idx")}, nowhere, roles.id, broadcast_rows
         )
         numbers = [
             cell(F.lit(i), _required(F.col(c).cast("double"), c)) for i, c in enumerate(roles.numeric)
         ]
         ones = [
-            F.when(F.col(f"_{c}_idx").isNotNull(), cell(F.col(f"_{c}_idx"), F.lit(1.0)))
+            F.when(found[c]["idx"].isNotNull(), cell(found[c]["idx"], F.lit(1.0)))
             for c in roles.categorical
         ]
-        return found.select(
+        return wide.select(
             F.col(roles.id).alias("row_id"),
             *keep,
             F.col(roles.target).cast("double").alias("y"),
@@ -165,6 +166,10 @@ class OneHotIndex:
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """Long form of sparse rows: one row per cell, (other columns..., idx, x)."""
+    """Long form of sparse rows: one row per cell, (other columns..., idx, x).
+
+    The outer form keeps Spark from pushing a size check of the array, and with it a second evaluation of
+    the vectorizer, below the projection that builds it.
+    """
     others = [c for c in rows.columns if c != "features"]
-    return rows.select(*others, F.inline("features"))
+    return rows.select(*others, F.inline_outer("features")).where("idx is not null")

@@ -501,7 +501,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("row_id", "probability")
 
 
-_PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removeprefix("q_"): f
     for f in (
         csv_lines_parse,
@@ -566,4 +566,4 @@ def _tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return lambda spark, sf_dir: tidy(query(spark, sf_dir))
 
 
-QUERIES = {name: _tidied(query) for name, query in _PLAIN.items()}
+QUERIES = {name: _tidied(query) for name, query in PLAIN.items()}

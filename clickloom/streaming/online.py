@@ -11,33 +11,44 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from clickloom.operators.ftrl import SCALARS, STATE, Ftrl, empty_state
+from clickloom.operators.ftrl import STATE, Ftrl, empty_state, progress_of
+from clickloom.session import delete_directory
 
 
 @dataclass(frozen=True)
 class OnlineModel:
-    """A folder of state versions; version b is the state before micro-batch b."""
+    """A folder of state versions; version b is the state before micro-batch b.
+
+    ``keep`` is the number of versions to retain, at least 2: a repeated micro-batch still needs the
+    version it started from. The progress of every micro-batch is kept in one-row tables of its own.
+    """
 
     spark: SparkSession
     folder: str
+    keep: int = 2
 
-    def path(self, version: int) -> str:
-        return f"{self.folder}/version={version}"
+    def _state_path(self, version: int) -> str:
+        return f"{self.folder}/states/version={version}"
 
     def state(self, version: int) -> DataFrame:
         if version == 0:
             return empty_state(self.spark)
-        return self.spark.read.schema(STATE).parquet(self.path(version))
+        return self.spark.read.schema(STATE).parquet(self._state_path(version))
+
+    def store(self, state: DataFrame, version: int) -> None:
+        """Write a version and its progress, replacing an earlier attempt, and drop versions out of use."""
+        state.write.mode("overwrite").parquet(self._state_path(version))
+        now = progress_of(self.state(version)).select("rows", "label_sum", "loss_sum")
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/progress/version={version}")
+        if version > self.keep:
+            delete_directory(self.spark, self._state_path(version - self.keep))
 
     def progress(self) -> DataFrame:
         """One row per finished micro-batch: version and the running rows, label sum and loss sum."""
-        everything = self.spark.read.schema(f"{STATE}, version int").parquet(self.folder)
-        return everything.where(F.col("idx") == SCALARS).select(
-            "version", F.col("seen").alias("rows"), "label_sum", "loss_sum"
-        )
+        schema = "rows bigint, label_sum double, loss_sum double, version int"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/progress")
 
 
 def start(
@@ -70,8 +81,7 @@ def fit_stream(
         # the step needs the rows twice; the source and the vectorizer should run once
         batch.persist()
         try:
-            new = advance(model.state(batch_id), batch)
-            new.write.mode("overwrite").parquet(model.path(batch_id + 1))
+            model.store(advance(model.state(batch_id), batch), batch_id + 1)
         finally:
             batch.unpersist()
 
