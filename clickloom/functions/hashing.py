@@ -44,7 +44,9 @@ def _fed(state: Column | int, text: Column, finish: Callable[[Column], Column])
             ((acc * 31 + high) * 31 + low).bitwiseAND(_MASK)
         )
 
-    codes = F.transform(F.split(text, ""), lambda char: F.ascii(char).cast("bigint"))
+    # splitting the empty text gives one empty piece, which the slice drops
+    chars = F.slice(F.split(text, ""), F.lit(1), F.length(text))
+    codes = F.transform(chars, lambda char: F.ascii(char).cast("bigint"))
     start = F.lit(state).cast("bigint") if isinstance(state, int) else state
     return F.aggregate(codes, start, feed, finish)
 
