@@ -25,7 +25,7 @@ def _learner(segment: str, params: FtrlParams):
 
     def learn(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:  # the segment ended in an earlier round, which wrote its final state
-            return pd.DataFrame({c: [] for c in [segment, *_STATE]})
+            return state.iloc[:0]
         rows = rows.sort_values("_number")
         slots = np.unique(np.concatenate([state["idx"].to_numpy(dtype="int64"), *rows["idx"]]))
         z, n = np.zeros(len(slots)), np.zeros(len(slots))

@@ -176,6 +176,29 @@ class BoostedTrees:
         }
         return scored.select(*df.columns, *[c.alias(name) for name, c in out.items()])
 
+    def ensemble(self) -> Ensemble:
+        """The trained trees as expressions over the input columns.
+
+        Meant for a few shallow trees, to ship a model as plain columns or to inspect it; ``transform`` is
+        the way to score. Collects the node table, whose size depends on the model alone.
+        """
+        table = {(r["tree"], r["id"]): r for r in self.nodes().collect()}
+
+        def build(tree: int, node: int) -> Split | Leaf:
+            r = table[tree, node]
+            if r["feature"] is None:
+                return Leaf(r["value"])
+            return Split(
+                self.inputs[r["feature"]],
+                build(tree, r["left"]),
+                build(tree, r["right"]),
+                r["threshold"],
+                tuple(r["categories"] or ()),
+            )
+
+        roots = tuple(build(t, 0) for t in range(len(self.model.trees)))
+        return Ensemble(roots, tuple(self.model.treeWeights))
+
     def nodes(self) -> DataFrame:
         """Node table of all trees (tree, id, left, right, feature, threshold, categories, value).
 

@@ -29,12 +29,17 @@ CLICK_LOG_SCHEMA = T.StructType(
 CLICK_LOG_FEATURES = [c for c in CLICK_LOG_COLUMNS if c != CLICK_LOG_LABEL]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Headered CSV with quoted fields and doubled quotes; a bad number is an error."""
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, *, multi_line: bool = False
+) -> DataFrame:
+    """Headered CSV with quoted fields and doubled quotes; a bad number is an error.
+
+    ``multi_line`` allows line breaks inside quotes; a file can then no longer be split over tasks.
+    """
     return (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
         .schema(schema)
         .csv(path)
