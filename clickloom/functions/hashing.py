@@ -76,5 +76,6 @@ def hashed_slot(name: str, value: Column, max_features: int, offset: int = 0) ->
 
 
 def hash_percent(key: Column) -> Column:
-    """Stable bucket 0..99 of a key."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % 100
+    """Stable bucket 0..99 of a key; a missing key counts as the empty text."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100

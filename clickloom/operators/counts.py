@@ -17,11 +17,10 @@ def explode_features(
     df: DataFrame, columns: Sequence[str], label: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per (feature, value) cell, carrying the label and the ``keep`` columns."""
-    texts = df.select(
-        *keep, F.col(label).cast("double").alias("label"), *[category_text(c).alias(c) for c in columns]
+    cells = F.stack(
+        F.lit(len(columns)), *[part for c in columns for part in (F.lit(c), category_text(c))]
     )
-    ids = [c for c in texts.columns if c not in columns]
-    return texts.unpivot(ids, list(columns), "feature", "value")
+    return df.select(*keep, F.col(label).cast("double").alias("label"), cells.alias("feature", "value"))
 
 
 def count_stats(

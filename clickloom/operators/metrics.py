@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.scalar import log_loss
 from clickloom.operators.running import running
+from clickloom.options import LearnerOptions
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
@@ -148,7 +149,7 @@ def running_progress(
     order: list[str],
     *,
     score: str | None = None,
-    report_every: int = 1,
+    report_every: int = LearnerOptions.report_every,
     blocks: int | None = None,
 ) -> DataFrame:
     """Running mean of the label, and with ``score`` the running sum of the log loss, in ``order``.

@@ -21,12 +21,10 @@ class ColumnRoles:
 
 @dataclass(frozen=True)
 class LearnerOptions:
-    """Switches of the online learner."""
+    """Switches of the online learner; without the hashing trick categories are numbered one by one."""
 
     # fixed values: defaults of the original job
     hash_trick: bool = True
-    one_hot: bool = True
-    sample_negative: bool = True
     report_every: int = 100_000
     max_features: int = 4_000_000
     epochs: int = 2

@@ -327,7 +327,7 @@ def predict_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running_base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = scored_events(spark, sf_dir).select("event_id", "ts", "click")
-    return metrics.running_progress(log, "click", ["ts", "event_id"]).select(
+    return metrics.running_progress(log, "click", ["ts", "event_id"], report_every=1).select(
         "event_id", "seq", "running_base_rate"
     )
 
@@ -347,26 +347,31 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorize_named(click_events(spark, sf_dir), EVENT_ROLES, OPTIONS, ["batch"])
 
 
+def stored_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a written table, for steps that read them more than once."""
+    return write_table(event_rows(spark, sf_dir), "event-rows")
+
+
 def _state_after(spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
     return ftrl.fit(event_rows(spark, sf_dir), "batch", HASHED, epochs=epochs)
 
 
-def _first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HASHED.step(ftrl.empty_state(spark), event_rows(spark, sf_dir))
+def _first_step(rows: DataFrame) -> DataFrame:
+    return HASHED.step(ftrl.empty_state(rows.sparkSession), rows)
 
 
 def ftrl_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step over all events from an empty model."""
-    return ftrl.model_of(_first_step(spark, sf_dir))
+    return ftrl.model_of(_first_step(stored_event_rows(spark, sf_dir)))
 
 
 def ftrl_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ftrl.weights_of(_first_step(spark, sf_dir), PARAMS)
+    return ftrl.weights_of(_first_step(stored_event_rows(spark, sf_dir)), PARAMS)
 
 
 def ftrl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = write_table(_first_step(spark, sf_dir), "state")
-    return HASHED.score(event_rows(spark, sf_dir), state)
+    rows = stored_event_rows(spark, sf_dir)
+    return HASHED.score(rows, write_table(_first_step(rows), "state"))
 
 
 def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +498,7 @@ def ftrl_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = write_table(_first_step(spark, sf_dir), "state")
+    state = write_table(_first_step(stored_event_rows(spark, sf_dir)), "state")
     out = new_path(spark, "stream-scores")
     score_stream(
         _event_stream(spark, sf_dir), state, out, new_path(spark, "stream-checkpoint"), HASHED

@@ -46,6 +46,11 @@ def read_csv(
     )
 
 
+def read_by_name(spark: SparkSession, path: str) -> DataFrame:
+    """Headered CSV whose columns are taken by name, all as text; only the header is looked at first."""
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 def read_click_log(spark: SparkSession, path: str) -> DataFrame:
     """The 24-column click log; blank categories come as NULL and count as the category ''."""
     return read_csv(spark, path, CLICK_LOG_SCHEMA)

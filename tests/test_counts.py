@@ -25,6 +25,7 @@ def test_columns_do_not_share_values(spark):
 
 def test_explode_keeps_every_cell(spark):
     df = spark.createDataFrame([(1, "a", None, 1), (2, "b", "c", 0)], "id int, c string, d string, y int")
+    assert explode_features(df, ["id", "c"], "y", ["id"]).count() == 4
     got = sorted(tuple(r) for r in explode_features(df, ["c", "d"], "y", ["id"]).collect())
     assert got == [(1, 1.0, "c", "a"), (1, 1.0, "d", ""), (2, 0.0, "c", "b"), (2, 0.0, "d", "c")]
 
