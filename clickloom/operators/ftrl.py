@@ -13,15 +13,14 @@ shuffle by slot, in which gradients are summed on the map side before they move.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.functions.scalar import LOGISTIC, Loss, sign_plus
+from clickloom.functions.scalar import LOGISTIC, Loss
 from clickloom.operators.lookup import lookup_join
-from clickloom.operators.vectorize import cell
 from clickloom.options import FtrlParams
 from clickloom.session import (
     BROADCAST_ROWS,
@@ -41,11 +40,16 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(*[F.lit(0).cast(t).alias(c) for c, t in names_and_types])
 
 
-def weight(z: Column, n: Column, p: FtrlParams) -> Column:
-    """Lazy weight of a slot: exactly 0 while |z| <= l1."""
-    shrunk = z - sign_plus(z) * p.l1
-    return F.when(F.abs(z) <= p.l1, F.lit(0.0)).otherwise(
-        -shrunk / (p.l2 + (p.beta + F.sqrt(n)) / p.alpha)
+def _double(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def weight(p: FtrlParams) -> str:
+    """SQL of the lazy weight of a slot over its z and n: exactly 0 while |z| <= l1."""
+    l1, l2, alpha, beta = map(_double, (p.l1, p.l2, p.alpha, p.beta))
+    return (
+        f"CASE WHEN abs(z) <= {l1} THEN 0D"
+        f" ELSE (IF(z >= 0, {l1}, -{l1}) - z) / ({l2} + ({beta} + sqrt(n)) / {alpha}) END"
     )
 
 
@@ -56,7 +60,7 @@ def model_of(state: DataFrame) -> DataFrame:
 
 def weights_of(state: DataFrame, params: FtrlParams) -> DataFrame:
     """(idx, w) of the feature slots."""
-    return model_of(state).select("idx", weight(F.col("z"), F.col("n"), params).alias("w"))
+    return model_of(state).selectExpr("idx", f"{weight(params)} AS w")
 
 
 def progress_of(state: DataFrame) -> DataFrame:
@@ -87,8 +91,8 @@ class Ftrl:
         """(row_id, margin): sum of weight times value over the cells of each row, 0 without cells."""
         flat = rows.select("row_id", F.inline_outer("features"))
         known = (
-            state.where(F.col("idx") > SCALARS)
-            .select("idx", "seen", weight(F.col("z"), F.col("n"), self.params).alias("w"))
+            state.where(f"idx > {SCALARS}")
+            .selectExpr("idx", "seen", f"{weight(self.params)} AS w")
             .where("w <> 0")
         )
         size, total = 0, 0
@@ -124,58 +128,88 @@ class Ftrl:
     def step(self, state: DataFrame, rows: DataFrame) -> DataFrame:
         """State after one batch of rows (row_id, y, features); row_id must be unique in the batch."""
         scored = self.predict(rows.select("row_id", "y", "features"), state, "_p")
-        anchor = F.array(cell(F.lit(SCALARS), F.lit(0.0)))
-        flat = scored.select("y", "_p", F.inline(F.concat("features", anchor)))
+        # one more cell per row, for the running scalars
+        anchor = f"array(named_struct('idx', {SCALARS}, 'x', 0D))"
+        flat = scored.select("y", "_p", F.expr(f"inline(concat(features, {anchor}))"))
         p, y, x = F.col("_p"), F.col("y"), F.col("x")
-        is_row = F.col("idx") == SCALARS
-        none = F.lit(0.0)
         gained = flat.select(
             "idx",
-            F.when(is_row, none).otherwise(self.loss.gradient(p, y, x)).alias("g"),
-            none.alias("z"),
-            none.alias("n"),
-            F.lit(1).cast("bigint").alias("seen"),
-            F.when(is_row, y).otherwise(none).alias("label_sum"),
-            F.when(is_row, self.loss.cost(p, y)).otherwise(none).alias("loss_sum"),
+            self.loss.gradient(p, y, x).alias("g"),
+            self.loss.cost(p, y).alias("cost"),
+            "y",
+        ).selectExpr(
+            "idx",
+            f"IF(idx = {SCALARS}, 0D, g) AS g",
+            "0D AS z",
+            "0D AS n",
+            "1L AS seen",
+            f"IF(idx = {SCALARS}, y, 0D) AS label_sum",
+            f"IF(idx = {SCALARS}, cost, 0D) AS loss_sum",
         )
-        before = state.select("idx", none.alias("g"), "z", "n", "seen", "label_sum", "loss_sum")
+        before = state.selectExpr("idx", "0D AS g", "z", "n", "seen", "label_sum", "loss_sum")
         merged = (
             gained.union(before)
             .groupBy("idx")
-            .agg(*[F.sum(c).alias(c) for c in before.columns if c != "idx"])
+            .agg({c: "sum" for c in ("g", "z", "n", "seen", "label_sum", "loss_sum")})
+            .selectExpr(
+                "idx",
+                *[f"`sum({c})` AS {c}" for c in ("g", "z", "n", "seen", "label_sum", "loss_sum")],
+            )
         )
-        g, z, n = F.col("g"), F.col("z"), F.col("n")
-        rate = (F.sqrt(n + g * g) - F.sqrt(n)) / self.params.alpha
-        return merged.select(
+        rate = f"(sqrt(n + g * g) - sqrt(n)) / {_double(self.params.alpha)}"
+        return merged.selectExpr(
             "idx",
-            (z + g - rate * weight(z, n, self.params)).alias("z"),
-            (n + g * g).alias("n"),
+            f"z + g - {rate} * ({weight(self.params)}) AS z",
+            "n + g * g AS n",
             "seen",
             "label_sum",
             "loss_sum",
         )
 
 
-def feature_table(rows: DataFrame, batch: str, buckets: int | None = None) -> DataFrame:
-    """Write sparse rows once for all epochs: a directory per batch, bucketed by row_id within it.
+@dataclass(frozen=True)
+class FeatureTable:
+    """Sparse rows written once for all epochs: a directory per batch, bucketed by row_id within it.
 
     A step then reads only its own batch, and neither the margins (grouped by row) nor the probabilities
     (joined back by row) need a shuffle.
     """
-    spark = rows.sparkSession
-    n = buckets or shuffle_partitions(spark)
-    name = f"clickloom_rows_{uuid.uuid4().hex}"
-    (
-        rows.select("row_id", "y", "features", batch)
-        .repartition(n, "row_id")
-        .write.partitionBy(batch)
-        .bucketBy(n, "row_id")
-        .sortBy("row_id")
-        .format("parquet")
-        .option("path", new_path(spark, "rows"))
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+
+    spark: SparkSession
+    name: str
+    path: str
+    batch: str
+
+    @staticmethod
+    def write(rows: DataFrame, batch: str, buckets: int | None = None) -> FeatureTable:
+        spark = rows.sparkSession
+        n = buckets or shuffle_partitions(spark)
+        table = FeatureTable(
+            spark, f"clickloom_rows_{uuid.uuid4().hex}", new_path(spark, "rows"), batch
+        )
+        (
+            rows.select("row_id", "y", "features", batch)
+            .repartition(n, "row_id")
+            .write.partitionBy(batch)
+            .bucketBy(n, "row_id")
+            .sortBy("row_id")
+            .format("parquet")
+            .option("path", table.path)
+            .saveAsTable(table.name)
+        )
+        return table
+
+    def batches(self) -> list:
+        """The batch values in order, a missing one first; as many as there are steps in an epoch."""
+        found = [r[0] for r in self.spark.table(self.name).select(self.batch).distinct().collect()]
+        return sorted(found, key=lambda v: (v is not None, v))
+
+    def rows(self, value: object) -> DataFrame:
+        return self.spark.table(self.name).where(F.col(self.batch).eqNullSafe(F.lit(value)))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_directory(self.spark, self.path)
 
 
 @dataclass
@@ -216,16 +250,17 @@ def fit(
     """
     spark = rows.sparkSession
     advance = step or (learner or Ftrl()).step
-    table = feature_table(rows, batch, buckets)
-    order: Sequence = sorted(r[0] for r in table.select(batch).distinct().collect())
-    versions = Versions(spark, new_path(spark, "ftrl"))
-    current = state if state is not None else empty_state(spark)
-    number = 0
-    for epoch in range(epochs):
-        for value in order:
-            number += 1
-            chosen = table.where(F.col(batch) == F.lit(value))
-            current = versions.write(advance(current, chosen), number)
-            if on_step:
-                on_step(epoch, number, current)
+    table = FeatureTable.write(rows, batch, buckets)
+    try:
+        versions = Versions(spark, new_path(spark, "ftrl"))
+        current = state if state is not None else empty_state(spark)
+        number = 0
+        for epoch in range(epochs):
+            for value in table.batches():
+                number += 1
+                current = versions.write(advance(current, table.rows(value)), number)
+                if on_step:
+                    on_step(epoch, number, current)
+    finally:
+        table.drop()
     return current

@@ -85,6 +85,12 @@ def test_partitioning_does_not_matter(spark):
     same(model(a), model(b))
 
 
+def test_rows_without_a_batch_are_learned_first(spark):
+    rows = [(i, None if i < 3 else 1, 1.0, [(i, 1.0)]) for i in range(6)]
+    state = ftrl.fit(table(spark, rows), "batch", ftrl.Ftrl(SOFT, slots=25), epochs=1)
+    assert model(state).keys() == set(range(6))
+
+
 def test_large_model_path_gives_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(lookup, "HOT_SHARE", 0.03)
     df = table(spark, sample(8, 300) + [(1000 + i, 0, 1.0, [(3, 1.0)]) for i in range(150)] + [(5000, 0, 0.0, [])])
@@ -100,10 +106,11 @@ def test_large_model_path_gives_the_same_scores(spark, monkeypatch):
 
 
 def test_step_on_a_feature_table_shuffles_by_slot_only(spark, plan_of):
-    rows = ftrl.feature_table(table(spark, sample(1, 60, batch=lambda i: i % 3)), "batch", 4)
+    rows = ftrl.FeatureTable.write(table(spark, sample(1, 60, batch=lambda i: i % 3)), "batch", 4)
     learner = ftrl.Ftrl(SOFT, slots=25)
-    state = ftrl.fit(rows, "batch", learner, epochs=1)
-    plan = plan_of(learner.step(state, rows.where("batch = 1")))
+    state = ftrl.fit(rows.rows(0), "batch", learner, epochs=1)
+    plan = plan_of(learner.step(state, rows.rows(1)))
+    rows.drop()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning(idx" in plan
 
