@@ -32,6 +32,9 @@ from clickloom.session import (
 
 SCALARS = -1
 
+# rows of one batch that are worth a task of their own, when the number of buckets is chosen
+TASK_ROWS = 20_000
+
 STATE = "idx int, z double, n double, seen bigint, label_sum double, loss_sum double"
 
 
@@ -172,20 +175,26 @@ class FeatureTable:
     """Sparse rows written once for all epochs: a directory per batch, bucketed by row_id within it.
 
     A step then reads only its own batch, and neither the margins (grouped by row) nor the probabilities
-    (joined back by row) need a shuffle.
+    (joined back by row) need a shuffle. ``batches`` holds the batch values in order, a missing one first.
     """
 
     spark: SparkSession
     name: str
     path: str
     batch: str
+    batches: tuple
 
     @staticmethod
     def write(rows: DataFrame, batch: str, buckets: int | None = None) -> FeatureTable:
+        """Write ``rows``; the number of buckets follows the largest batch, up to the shuffle partitions."""
         spark = rows.sparkSession
-        n = buckets or shuffle_partitions(spark)
+        # one result row per learning step of an epoch
+        sizes = {r[0]: r[1] for r in rows.groupBy(batch).count().collect()}
+        order = tuple(sorted(sizes, key=lambda v: (v is not None, v)))
+        wanted = -(-max(sizes.values(), default=1) // TASK_ROWS)
+        n = buckets or min(wanted, shuffle_partitions(spark))
         table = FeatureTable(
-            spark, f"clickloom_rows_{uuid.uuid4().hex}", new_path(spark, "rows"), batch
+            spark, f"clickloom_rows_{uuid.uuid4().hex}", new_path(spark, "rows"), batch, order
         )
         (
             rows.select("row_id", "y", "features", batch)
@@ -199,11 +208,6 @@ class FeatureTable:
         )
         return table
 
-    def batches(self) -> list:
-        """The batch values in order, a missing one first; as many as there are steps in an epoch."""
-        found = [r[0] for r in self.spark.table(self.name).select(self.batch).distinct().collect()]
-        return sorted(found, key=lambda v: (v is not None, v))
-
     def rows(self, value: object) -> DataFrame:
         return self.spark.table(self.name).where(F.col(self.batch).eqNullSafe(F.lit(value)))
 
@@ -256,7 +260,7 @@ def fit(
         current = state if state is not None else empty_state(spark)
         number = 0
         for epoch in range(epochs):
-            for value in table.batches():
+            for value in table.batches:
                 number += 1
                 current = versions.write(advance(current, table.rows(value)), number)
                 if on_step:

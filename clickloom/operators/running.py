@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.session import shuffle_partitions, write_table
+from clickloom.session import write_table
 
 
 def running(
@@ -31,18 +31,18 @@ def running(
     ``sums`` maps an output column to the expression that is summed from the first row of the group up
     to and including the current row. ``number`` names a 1-based position column. ``order`` should end
     in a unique key, so that the result does not depend on chance.
+
+    Without ``blocks`` there are at most ``spark.sql.shuffle.partitions`` blocks, and adaptive execution
+    merges neighbouring small ones.
     """
     measures = dict(sums or {})
     if number:
         measures[number] = F.lit(1).cast("bigint")
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = blocks or shuffle_partitions(df.sparkSession)
-
+    measured = df.select("*", *[e.alias(f"_in_{name}") for name, e in measures.items()])
+    by_range = ([blocks] if blocks else []) + [*map(F.col, by), *order_cols]
     staged = write_table(
-        df.select("*", *[e.alias(f"_in_{name}") for name, e in measures.items()])
-        .repartitionByRange(n, *[F.col(c) for c in by], *order_cols)
-        .withColumn("_block", F.spark_partition_id()),
-        "blocks",
+        measured.repartitionByRange(*by_range).withColumn("_block", F.spark_partition_id()), "blocks"
     )
 
     block_totals = staged.groupBy(*by, "_block").agg(
