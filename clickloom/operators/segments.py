@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.running import running
 from clickloom.options import FtrlParams
-from clickloom.session import new_path, write_table
+from clickloom.session import new_path, shuffle_partitions, write_table
 
 _STATE = ["idx", "z", "n"]
 
+# rows that are worth a Python task of their own; adaptive execution sizes tasks by bytes, which is far too
+# few of them for record-at-a-time work
+_TASK_ROWS = 5_000
+
 
 def _learner(segment: str, params: FtrlParams):
     """Function that learns the rows of one segment and round, in order, from the state before."""
@@ -72,12 +76,13 @@ def fit_by_segment(
     path = new_path(spark, "segment-rows")
     numbered.write.partitionBy("_round").parquet(path)
     staged = spark.read.schema(numbered.schema).parquet(path)
-    rounds = staged.agg(F.max("_round")).first()[0]
+    rounds, total = staged.agg(F.max("_round"), F.count(F.lit(1))).first()
     if rounds is None:
         return flat.select(segment, F.lit(0).alias("idx"), F.col("y").alias("z"), F.col("y").alias("n"))
 
     key_type = rows.schema[segment].dataType.simpleString()
     schema = f"`{segment}` {key_type}, idx int, z double, n double"
+    tasks = min(-(-total // _TASK_ROWS), shuffle_partitions(spark))
     base = new_path(spark, "segment-states")
     state = spark.range(0).select(
         *[F.lit(None).cast(t).alias(c) for c, t in zip([segment, *_STATE], [key_type, "int", "double", "double"])]
@@ -85,6 +90,7 @@ def fit_by_segment(
     for r in range(rounds + 1):
         state = write_table(
             staged.where(F.col("_round") == r)
+            .repartition(tasks, segment)
             .groupBy(segment)
             .cogroup(state.groupBy(segment))
             .applyInPandas(_learner(segment, params), schema),
