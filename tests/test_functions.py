@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,15 @@ def test_string_hash(spark):
     assert got == {t: polynomial_hash(t) for t in texts}
 
 
+def test_string_hash_over_all_planes(spark):
+    rng = random.Random(13)
+    ranges = [(0, 0x80), (0x80, 0x800), (0x800, 0xD800), (0xE000, 0x10000), (0x10000, 0x110000)]
+    texts = sorted({"".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(12))) for _ in range(400)})
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = dict(df.select("i", hashing.string_hash(F.col("s"))).collect())
+    assert [got[i] for i in range(len(texts))] == [polynomial_hash(t) for t in texts]
+
+
 def test_hashed_slot(spark):
     # fixed values: slots among 4,000,000
     known = {("C14", "15706"): 2202112, ("device_model", "8a4875bd"): 2008596, ("1", "1"): 50083, ("30", "1"): 1568463}
