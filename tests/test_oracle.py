@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from clickloom.plans.queries import QUERIES
 from tests.oracle_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def test_no_sql_without_a_query():
     assert oracle_sql().keys() <= queries().keys()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    verdict = compare(spark, con, queries()[name], oracle_sql().get(name), SF_DIR)
+    verdict = compare(spark, con, QUERIES[name], oracle_sql().get(name), SF_DIR)
     assert verdict == "" or verdict.startswith("(")
