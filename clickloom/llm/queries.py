@@ -6,8 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickloom.llm.decontaminate import Decontaminator
 from clickloom.llm.jaccard_join import JaccardJoin
+from clickloom.llm.pii import PiiFinder
+from clickloom.llm.quality import QualityClassifier
 from clickloom.llm.tables import read
+from clickloom.llm.toxicity import ToxicityClassifier
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PiiFinder().report(read(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QualityClassifier().classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Decontaminator().report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ToxicityClassifier().classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +35,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_jaccard_join": op10_jaccard_join,
+    f.__name__: f for f in (op2_pii_spans, op4_quality, op5_decontaminate, op8_toxicity, op10_jaccard_join)
 }
 
+# the other queries are tested against brute force, round trips and held-out labels in tests/llm
 ORACLE: dict[str, str] = {}
