@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.llm.decontaminate import Decontaminator
 from clickloom.llm.jaccard_join import JaccardJoin
+from clickloom.llm.pieces_sampling import PieceSampler
 from clickloom.llm.pii import PiiFinder
 from clickloom.llm.quality import QualityClassifier
 from clickloom.llm.tables import read
+from clickloom.llm.token_files import TokenFiles
 from clickloom.llm.toxicity import ToxicityClassifier
 
 
@@ -18,6 +20,10 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PiiFinder().report(read(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TokenFiles().round_trip(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier().classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -26,6 +32,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Decontaminator().report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PieceSampler().encode(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ToxicityClassifier().classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -35,7 +45,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii_spans, op4_quality, op5_decontaminate, op8_toxicity, op10_jaccard_join)
+    f.__name__: f
+    for f in (
+        op2_pii_spans,
+        op3_token_files,
+        op4_quality,
+        op5_decontaminate,
+        op7_piece_sampling,
+        op8_toxicity,
+        op10_jaccard_join,
+    )
 }
 
 # the other queries are tested against brute force, round trips and held-out labels in tests/llm
