@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clickloom.llm.backoff_lm import BackoffScorer
 from clickloom.llm.decontaminate import Decontaminator
+from clickloom.llm.fixity import FILE_RECORDS, FixityAudit, warc_records
 from clickloom.llm.jaccard_join import JaccardJoin
 from clickloom.llm.pieces_sampling import PieceSampler
 from clickloom.llm.pii import PiiFinder
 from clickloom.llm.quality import QualityClassifier
 from clickloom.llm.tables import read
 from clickloom.llm.token_files import TokenFiles
+from clickloom.llm.topk import ThresholdSearch, quantized
 from clickloom.llm.toxicity import ToxicityClassifier
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a replica of all pages in which some records have grown, changed or gone, as their ids say."""
+    pages = read(spark, sf_dir, "pages")
+    damaged = pages.where("NOT coalesce(page_id % 211 = 8, false)").withColumn(
+        "html",
+        F.when(F.expr("page_id % 97 = 13"), F.concat("html", F.lit(" ")))
+        .when(F.expr("page_id % 89 = 7"), F.concat(F.lit("?"), F.expr("substr(html, 2)")))
+        .otherwise(F.col("html")),
+    )
+    return FixityAudit().audit(warc_records(pages), warc_records(damaged))
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PiiFinder().report(read(spark, sf_dir, "documents"))
 
@@ -32,6 +48,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Decontaminator().report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(read(spark, sf_dir, "embeddings"))
+    return ThresholdSearch(k=5).search(vectors, F.expr("vec_id % 50 = 0"))
+
+
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PieceSampler().encode(read(spark, sf_dir, "documents"))
 
@@ -40,6 +61,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ToxicityClassifier().classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = BackoffScorer().score(read(spark, sf_dir, "documents"))
+    rounded = [F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")]
+    return scores.select("doc_id", "n_words", *rounded)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(width=4, percent=85).classes(read(spark, sf_dir, "documents"))
 
@@ -47,15 +74,93 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_fixity,
         op2_pii_spans,
         op3_token_files,
         op4_quality,
         op5_decontaminate,
+        op6_threshold_topk,
         op7_piece_sampling,
         op8_toxicity,
+        op9_backoff_scores,
         op10_jaccard_join,
     )
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 # the other queries are tested against brute force, round trips and held-out labels in tests/llm
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc_fixity": f"""
+        WITH a AS (
+            SELECT coalesce(page_id // {FILE_RECORDS}, -1) AS file, page_id AS key, coalesce(url, '') AS url,
+                   coalesce(html, '') AS html
+            FROM pages
+        ), b AS (
+            SELECT file, key, url,
+                   CASE WHEN key % 97 = 13 THEN html || ' ' WHEN key % 89 = 7 THEN '?' || substr(html, 2) ELSE html END AS html
+            FROM a WHERE NOT coalesce(key % 211 = 8, false)
+        ), ra AS (
+            SELECT file, key, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+                || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS content
+            FROM a
+        ), rb AS (
+            SELECT file, key, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+                || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS content
+            FROM b
+        ), pa AS (
+            SELECT file, key, strlen(content) AS length, sha256(content) AS digest,
+                   coalesce(sum(strlen(content)) OVER (PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM ra
+        )
+        SELECT pa.file, pa.key, CASE WHEN rb.content IS NULL THEN 'missing' ELSE 'changed' END AS status,
+               CAST(pa.start AS BIGINT) AS start, pa.length, pa.digest AS expected_digest, sha256(rb.content) AS found_digest
+        FROM pa LEFT JOIN rb ON pa.file = rb.file AND pa.key = rb.key
+        WHERE pa.digest IS DISTINCT FROM sha256(rb.content)
+    """,
+    "op6_threshold_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM s QUALIFY rank <= 5
+    """,
+    "op9_backoff_scores": f"""
+        WITH w AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+            FROM (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+        ), g AS (
+            SELECT doc_id, i, word, lag(word) OVER p AS w1, lag(word, 2) OVER p AS w2
+            FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+        ), c1 AS (SELECT word, count(*) AS n FROM g GROUP BY word HAVING count(*) >= 2),
+        c2 AS (SELECT w1, word, count(*) AS n FROM g WHERE w1 IS NOT NULL GROUP BY w1, word HAVING count(*) >= 2),
+        c3 AS (SELECT w2, w1, word, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY w2, w1, word HAVING count(*) >= 2),
+        s AS (
+            SELECT g.doc_id,
+                   CASE WHEN c3.n IS NOT NULL THEN ln(c3.n / b.n)
+                        WHEN c2.n IS NOT NULL THEN ln(c2.n / a.n) + ln(0.4) * (g.w2 IS NOT NULL)::INT
+                        ELSE ln(coalesce(c1.n, 1) / (SELECT count(*) FROM g)) + ln(0.4) * ((g.w1 IS NOT NULL)::INT + (g.w2 IS NOT NULL)::INT)
+                   END AS s
+            FROM g
+            LEFT JOIN c3 ON c3.w2 = g.w2 AND c3.w1 = g.w1 AND c3.word = g.word
+            LEFT JOIN c2 b ON b.w1 = g.w2 AND b.word = g.w1
+            LEFT JOIN c2 ON c2.w1 = g.w1 AND c2.word = g.word
+            LEFT JOIN c1 a ON a.word = g.w1
+            LEFT JOIN c1 ON c1.word = g.word
+        ), d AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(d.n, 0) AS n_words, round(coalesce(d.s, 0), 6) AS log_score,
+               round(d.s / d.n, 6) AS mean_log_score
+        FROM documents LEFT JOIN d USING (doc_id)
+    """,
+}
