@@ -6,7 +6,9 @@ cell is that of each pivot whose list it is on. Two linked documents always shar
 they share a cell. (At distances near 1, where nearly all documents are from each other, windows of the
 triangle inequality alone would put every document in every cell; the prefix decides first.)
 
-Cells of up to ``leaf_docs`` documents are joined in memory. In a larger cell every document measures its
+Cells of up to ``leaf_docs`` documents are joined in memory, in two steps. Bucket counts of the sets come
+first: their L1 distance never exceeds the symmetric difference, so a document without a neighbour within
+that bound and the size bound has no link in the cell, and its set stays where it is. In a larger cell every document measures its
 distance to several pivots of the cell, and what is within the radius of a pivot is linked to it. The
 documents that no pivot of the main group has caught are dealt to Voronoi regions by their nearest pivot
 and cut by distance; a document takes part in a region when its distances to all pivots lie within the
@@ -34,8 +36,12 @@ from clickloom.llm.words import NOT_BLANK, hash_words, mix, pieces, shingle_sets
 from clickloom.session import write_table
 
 # counters of the sketch of document frequencies: a power of two, one byte each when broadcast
-SKETCH_BLOCK = 1 << 12
-MAX_SKETCH = 1 << 24
+SKETCH_BLOCK = 1 << 15
+MAX_SKETCH = 1 << 25
+# counters for each document, while there are fewer than MAX_SKETCH
+SKETCH_SHARE = 128
+# buckets of a signature: how many shingles of the set fall on each
+SIGNATURE = 256
 
 
 @dataclass(frozen=True)
@@ -102,18 +108,27 @@ class JaccardJoin:
         cells = write_table(cells, "cells")
         sizes = cells.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
         sizes = write_table(sizes, "sizes")
+        percent = self.percent
+        sized = cells.join(sizes, "pivot")
+        signatures = signed.where("n > 0").select("doc_id", "n", "signature")
+        close = (
+            sized.where(F.col("docs") <= self.leaf_docs)
+            .select("pivot", "doc_id")
+            .join(signatures, "doc_id")
+            .groupBy("pivot")
+            .applyInPandas(lambda g: _possible(g, percent), "pivot bigint, doc_id bigint")
+        )
+        close = write_table(close, "close")
+        whole = sized.where(F.col("docs") > self.leaf_docs).select(F.lit(None).cast("bigint").alias("small"), F.col("pivot").alias("large"), "doc_id")
         placed = (
-            cells.join(sizes, "pivot")
+            close.select(F.col("pivot").alias("small"), F.lit(None).cast("bigint").alias("large"), "doc_id")
+            .union(whole)
             .groupBy("doc_id")
-            .agg(
-                # a document has no more cells than prefix shingles
-                F.collect_list(F.when(F.col("docs") <= self.leaf_docs, F.col("pivot"))).alias("small"),
-                F.collect_list(F.when(F.col("docs") > self.leaf_docs, F.col("pivot"))).alias("large"),
-            )
+            # a document has no more cells than prefix shingles
+            .agg(F.collect_set("small").alias("small"), F.collect_set("large").alias("large"))
         )
         placed = write_table(placed, "placed")
         texts = keyed_texts(docs).join(bounded_broadcast(placed, placed.count()), "doc_id")
-        percent = self.percent
         leaves = (
             self._sets(texts, "small")
             .groupBy("cell")
@@ -131,10 +146,10 @@ class JaccardJoin:
     # ---- texts to sets
 
     def _signed(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n, fp1, fp2, prefix): set size, fingerprint of the set, prefix shingles, rare ones first."""
+        """(doc_id, n, fp1, fp2, prefix, signature): set size, fingerprint, prefix with rare ones first, bucket counts."""
         spark = docs.sparkSession
         rows = docs.count()
-        bits = min(MAX_SKETCH, max(SKETCH_BLOCK, 1 << (max(rows, 1) * 16 - 1).bit_length()))
+        bits = min(MAX_SKETCH, max(SKETCH_BLOCK, 1 << (max(rows, 1) * SKETCH_SHARE - 1).bit_length()))
         width, percent = self.width, self.percent
         levels = spark.sparkContext.broadcast(_levels(docs, width, bits))
 
@@ -143,7 +158,7 @@ class JaccardJoin:
             slot = np.uint64(len(rank) - 1)
             for batch in batches:
                 for first, end, data, offsets in pieces(batch.column(1)):
-                    n, fp1, fp2, prefixes = [], [], [], []
+                    n, fp1, fp2, prefixes, counts = [], [], [], [], []
                     for s in shingle_sets(*hash_words(data, offsets, NOT_BLANK), width):
                         n.append(len(s))
                         fp1.append(np.sum(mix(s)))
@@ -151,6 +166,8 @@ class JaccardJoin:
                         keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                         order = np.lexsort((s, rank[(s & slot).astype(np.int64)]))[:keep]
                         prefixes.append(s[order])
+                        buckets = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SIGNATURE)
+                        counts.append(buckets.astype(np.uint32 if len(s) > 65_535 else np.uint16).tobytes())
                     flat = np.concatenate(prefixes).view(np.int64)
                     ends = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -160,11 +177,13 @@ class JaccardJoin:
                             pa.array(np.array(fp1, np.uint64).view(np.int64)),
                             pa.array(np.array(fp2, np.uint64).view(np.int64)),
                             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                            pa.array(counts, pa.binary()),
                         ],
-                        ["doc_id", "n", "fp1", "fp2", "prefix"],
+                        ["doc_id", "n", "fp1", "fp2", "prefix", "signature"],
                     )
 
-        return keyed_texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>")
+        schema = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>, signature binary"
+        return keyed_texts(docs).mapInArrow(sign, schema)
 
     def _sets(self, texts: DataFrame, cells: str) -> DataFrame:
         """(cell, doc_id, shingles): the set of every document, once for each of its cells."""
@@ -297,38 +316,28 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, waiting, held = np.zeros(counters, np.int64), [], 0
-        slot = np.uint64(counters - 1)
-
-        def drain() -> None:
-            np.add(table, np.bincount(np.concatenate(waiting), minlength=counters), out=table)
-            waiting.clear()
-
+        table, slot = np.zeros(counters, np.uint32), np.uint64(counters - 1)
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
-                for s in shingle_sets(*hash_words(data, offsets, NOT_BLANK), width):
-                    waiting.append((s & slot).astype(np.int32))
-                    held += len(s)
-                if held > counters // 2 and waiting:
-                    drain()
-                    held = 0
-        if waiting:
-            drain()
+                sets = list(shingle_sets(*hash_words(data, offsets, NOT_BLANK), width))
+                np.add.at(table, (np.concatenate(sets) & slot).astype(np.int64), np.uint32(1))
         blocks = [k for k in range(0, counters, SKETCH_BLOCK) if table[k : k + SKETCH_BLOCK].any()]
         smallest = np.min_scalar_type(int(table.max(initial=0)))
+        codec = pa.Codec("zstd", 1)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k // SKETCH_BLOCK for k in blocks], pa.int32()),
                 pa.array([smallest.itemsize] * len(blocks), pa.int32()),
-                pa.array([table[k : k + SKETCH_BLOCK].astype(smallest).tobytes() for k in blocks], pa.binary()),
+                pa.array([codec.compress(table[k : k + SKETCH_BLOCK].astype(smallest), asbytes=True) for k in blocks], pa.binary()),
             ],
             ["block", "bytes", "counts"],
         )
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH_BLOCK, np.int64)
+        total, codec = np.zeros(SKETCH_BLOCK, np.int64), pa.Codec("zstd", 1)
         for size, counts in zip(g["bytes"], g["counts"], strict=True):
-            total += np.frombuffer(counts, f"<u{size}").astype(np.int64)
+            raw = codec.decompress(counts, SKETCH_BLOCK * size, asbytes=True)
+            total += np.frombuffer(raw, f"<u{size}").astype(np.int64)
         levels = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
         return pd.DataFrame({"block": g["block"].iloc[:1], "levels": [levels.tobytes()]})
 
@@ -340,6 +349,27 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
     return out.tobytes()
 
 
+def _possible(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The documents of a cell with another one that bucket counts and sizes do not rule out."""
+    g = g.sort_values(["n", "doc_id"])
+    n = g["n"].to_numpy()
+    counts = np.array(
+        [np.frombuffer(s, np.uint16 if len(s) == 2 * SIGNATURE else np.uint32) for s in g["signature"]], np.int32
+    )
+    # at best the smaller set is contained in the larger one, so sizes alone bound the similarity
+    reach = np.searchsorted(n, n * 100 // percent, "right")
+    possible = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        later = slice(i + 1, int(reach[i]))
+        apart = np.abs(counts[later] - counts[i]).sum(axis=1)
+        total = n[later] + n[i]
+        # the union is (total + apart) / 2 and the intersection (total - apart) / 2, at best
+        fits = 100 * (total - apart) >= percent * (total + apart)
+        possible[later] |= fits
+        possible[i] |= fits.any()
+    return g.loc[possible, ["pivot", "doc_id"]]
+
+
 def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
