@@ -328,10 +328,11 @@ class PiiFinder:
             return F.array_join(one, ",")
 
         base = F.filter("found", lambda s: ~s["added"])
-        counts = [
-            F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-            for k, name in enumerate(KINDS)
-        ]
+
+        def count_of(kind: int):
+            return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+
+        counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
         return found.select(
             "doc_id",
             *counts,
