@@ -74,10 +74,10 @@ class FixityAudit:
             "digest",
         )
 
-    def tree(self, records: DataFrame) -> tuple[list[DataFrame], int]:
+    def tree(self, records: DataFrame) -> tuple[list[DataFrame], int, int]:
         """Levels of (replica, g, i, length, digest) from the lowest ranges up to a root per replica.
 
-        The number with them is that of the levels within files.
+        With them the number of levels within files, and the smallest file number.
 
         ``i`` numbers the ranges of file ``g``; above the files' roots ``i`` is 0 and ``g`` numbers runs of files.
         """
@@ -97,17 +97,20 @@ class FixityAudit:
             return write_table(node, "nodes")
 
         if most is None:
-            return levels, 0
+            return levels, 0, 0
         while not levels or most > 0:
             below = up(F.col("g"), F.shiftright("i", bits), "i")
             levels.append(below)
             most >>= bits
         within = len(levels)
-        while low != high:
-            below = up(F.shiftright("g", bits), F.lit(0).cast("bigint"), "g")
+        base, last = low, high - low
+        while last > 0:
+            # files are counted from the smallest one
+            g = F.col("g") - (base if len(levels) == within else 0)
+            below = up(F.shiftright(g, bits), F.lit(0).cast("bigint"), "g")
             levels.append(below)
-            low, high = low >> bits, high >> bits
-        return levels, within
+            last >>= bits
+        return levels, within, base
 
     def audit(self, expected: DataFrame, found: DataFrame) -> DataFrame:
         """Records that differ between two replicas of (file, key, content).
@@ -121,14 +124,14 @@ class FixityAudit:
             self.records(found).withColumn("replica", F.lit(1))
         )
         both = write_table(both, "records")
-        levels, within = self.tree(both)
+        levels, within, base = self.tree(both)
         suspects: DataFrame | None = None
         for depth in range(len(levels) - 1, -1, -1):
             nodes = levels[depth]
             if suspects is not None:
                 # parents are a run of files, or a run of ranges of one file
                 files = depth + 1 >= within
-                g = F.shiftright("g", bits) if files else F.col("g")
+                g = F.shiftright(F.col("g") - (base if depth + 1 == within else 0), bits) if files else F.col("g")
                 i = F.lit(0).cast("bigint") if files else F.shiftright("i", bits)
                 nodes = (
                     nodes.withColumn("_g", g).withColumn("_i", i)
