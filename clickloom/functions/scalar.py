@@ -14,9 +14,9 @@ PROBABILITY_CLIP = 1e-14
 
 
 def sigmoid(margin: Column) -> Column:
-    """1 / (1 + e^-m) with the margin clipped to [-35, 35]."""
+    """1 / (1 + e^-m) with the margin clipped to [-35, 35]; NULL for NULL."""
     clipped = F.greatest(F.least(margin, F.lit(MARGIN_CLIP)), F.lit(-MARGIN_CLIP))
-    return 1.0 / (1.0 + F.exp(-clipped))
+    return F.when(margin.isNotNull(), 1.0 / (1.0 + F.exp(-clipped)))
 
 
 def boosting_probability(raw: Column) -> Column:

@@ -13,7 +13,7 @@ shuffle by slot, in which gradients are summed on the map side before they move.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,9 @@ from clickloom.session import (
 
 SCALARS = -1
 
+# own number of a row: callers' ids are labels, which may repeat or be missing
+KEY = "_key"
+
 # rows of one batch that are worth a task of their own, when the number of buckets is chosen
 TASK_ROWS = 20_000
 
@@ -43,6 +46,13 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(*[F.lit(0).cast(t).alias(c) for c, t in names_and_types])
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number of their own, fixed in a written table unless they have one."""
+    if KEY in rows.columns:
+        return rows
+    return write_table(rows.withColumn(KEY, F.monotonically_increasing_id()), "keyed-rows")
+
+
 def _double(value: float) -> str:
     return f"{float(value)!r}D"
 
@@ -90,16 +100,23 @@ class Ftrl:
     slots: int | None = None
     broadcast_rows: int = BROADCAST_ROWS
 
-    def margins(self, rows: DataFrame, state: DataFrame) -> DataFrame:
-        """(row_id, margin): sum of weight times value over the cells of each row, 0 without cells."""
-        flat = rows.select("row_id", F.inline_outer("features"))
+    def margins(self, rows: DataFrame, state: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """(number of the row, carried columns, margin): sum of weight times value over the cells of each row.
+
+        A row without cells has the margin 0. Carried columns ride along, so nothing has to be joined back.
+        """
+        if KEY not in rows.columns:
+            rows = rows.withColumn(KEY, F.monotonically_increasing_id())
+        flat = rows.select(KEY, *carry, F.inline_outer("features"))
         known = (
             state.where(f"idx > {SCALARS}")
             .selectExpr("idx", "seen", f"{weight(self.params)} AS w")
             .where("w <> 0")
         )
         size, total = 0, 0
-        if self.slots is None or self.slots > self.broadcast_rows:
+        # a state handed in may be larger than the slots say, so its rows count where they are cheap to count
+        rows_of_state = state.count() if self.slots is not None else None
+        if self.slots is None or max(self.slots, rows_of_state) > self.broadcast_rows:
             measured = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("seen"), F.lit(0))).first()
             size, total = measured[0], measured[1]
         looked_up = lookup_join(
@@ -109,28 +126,39 @@ class Ftrl:
             "idx",
             {"w": F.col("w")},
             lookup_rows=size,
-            spread=["row_id", "idx"],
+            spread=[KEY, "idx"],
             occurrences="seen",
             total=total,
             limit=self.broadcast_rows,
         )
         part = F.coalesce(F.col("x") * F.col("w"), F.lit(0.0))
-        return looked_up.groupBy("row_id").agg(F.sum(part).alias("margin"))
+        return looked_up.groupBy(KEY, *carry).agg(F.sum(part).alias("margin"))
 
     def predict(self, rows: DataFrame, state: DataFrame, out: str = "probability") -> DataFrame:
         """Add the probability of class 1 to every row."""
-        margins = self.margins(rows, state)
-        return rows.join(margins, "row_id", "left").select(
+        numbered = keyed(rows)
+        margins = self.margins(numbered, state)
+        return numbered.join(margins, KEY, "left").select(
             *rows.columns, self.loss.link(F.col("margin")).alias(out)
         )
 
     def score(self, rows: DataFrame, state: DataFrame, out: str = "probability") -> DataFrame:
-        """(row_id, probability) without carrying the rest of the row along, so nothing is joined back."""
-        return self.margins(rows, state).select("row_id", self.loss.link(F.col("margin")).alias(out))
+        """(row_id, probability), one row per input row and in one shuffle; ids may repeat or be missing."""
+        return self.labelled_scores(rows, state, ["row_id"], out)
+
+    def labelled_scores(
+        self, rows: DataFrame, state: DataFrame, carry: Sequence[str] = ("row_id", "y"), out: str = "probability"
+    ) -> DataFrame:
+        """The carried columns of every row and its probability of class 1, in one shuffle."""
+        return self.margins(rows, state, carry).select(*carry, self.loss.link(F.col("margin")).alias(out))
 
     def step(self, state: DataFrame, rows: DataFrame) -> DataFrame:
-        """State after one batch of rows (row_id, y, features); row_id must be unique in the batch."""
-        scored = self.predict(rows.select("row_id", "y", "features"), state, "_p")
+        """State after one batch of rows (y, features); a slot may occur once per row.
+
+        z gains the sum of the gradients, n the sum of their squares, each taken per record, so the rates
+        fall as they do record by record, however many rows a batch has.
+        """
+        scored = self.predict(keyed(rows).select(KEY, "y", "features"), state, "_p")
         # one more cell per row, for the running scalars
         anchor = f"array(named_struct('idx', {SCALARS}, 'x', 0D))"
         flat = scored.select("y", "_p", F.expr(f"inline(concat(features, {anchor}))"))
@@ -143,27 +171,28 @@ class Ftrl:
         ).selectExpr(
             "idx",
             f"IF(idx = {SCALARS}, 0D, g) AS g",
+            f"IF(idx = {SCALARS}, 0D, g * g) AS gg",
             "0D AS z",
             "0D AS n",
             "1L AS seen",
             f"IF(idx = {SCALARS}, y, 0D) AS label_sum",
             f"IF(idx = {SCALARS}, cost, 0D) AS loss_sum",
         )
-        before = state.selectExpr("idx", "0D AS g", "z", "n", "seen", "label_sum", "loss_sum")
+        before = state.selectExpr("idx", "0D AS g", "0D AS gg", "z", "n", "seen", "label_sum", "loss_sum")
         merged = (
             gained.union(before)
             .groupBy("idx")
-            .agg({c: "sum" for c in ("g", "z", "n", "seen", "label_sum", "loss_sum")})
+            .agg({c: "sum" for c in ("g", "gg", "z", "n", "seen", "label_sum", "loss_sum")})
             .selectExpr(
                 "idx",
-                *[f"`sum({c})` AS {c}" for c in ("g", "z", "n", "seen", "label_sum", "loss_sum")],
+                *[f"`sum({c})` AS {c}" for c in ("g", "gg", "z", "n", "seen", "label_sum", "loss_sum")],
             )
         )
-        rate = f"(sqrt(n + g * g) - sqrt(n)) / {_double(self.params.alpha)}"
+        rate = f"(sqrt(n + gg) - sqrt(n)) / {_double(self.params.alpha)}"
         return merged.selectExpr(
             "idx",
             f"z + g - {rate} * ({weight(self.params)}) AS z",
-            "n + g * g AS n",
+            "n + gg AS n",
             "seen",
             "label_sum",
             "loss_sum",
@@ -172,7 +201,7 @@ class Ftrl:
 
 @dataclass(frozen=True)
 class FeatureTable:
-    """Sparse rows written once for all epochs: a directory per batch, bucketed by row_id within it.
+    """Sparse rows written once for all epochs: a directory per batch, bucketed by row number within it.
 
     A step then reads only its own batch, and neither the margins (grouped by row) nor the probabilities
     (joined back by row) need a shuffle. ``batches`` holds the batch values in order, a missing one first.
@@ -188,8 +217,8 @@ class FeatureTable:
     def write(rows: DataFrame, batch: str, buckets: int | None = None) -> FeatureTable:
         """Write ``rows``; the number of buckets follows the largest batch, up to the shuffle partitions."""
         spark = rows.sparkSession
-        # one result row per learning step of an epoch
-        sizes = {r[0]: r[1] for r in rows.groupBy(batch).count().collect()}
+        # one result row per learning step of an epoch: the driver runs a job for each of them anyway
+        sizes = {r[0]: r[1] for r in rows.groupBy(batch).count().toLocalIterator()}
         order = tuple(sorted(sizes, key=lambda v: (v is not None, v)))
         wanted = -(-max(sizes.values(), default=1) // TASK_ROWS)
         n = buckets or min(wanted, shuffle_partitions(spark))
@@ -197,11 +226,12 @@ class FeatureTable:
             spark, f"clickloom_rows_{uuid.uuid4().hex}", new_path(spark, "rows"), batch, order
         )
         (
-            rows.select("row_id", "y", "features", batch)
-            .repartition(n, "row_id")
+            rows.select("y", "features", batch)
+            .withColumn(KEY, F.monotonically_increasing_id())
+            .repartition(n, KEY)
             .write.partitionBy(batch)
-            .bucketBy(n, "row_id")
-            .sortBy("row_id")
+            .bucketBy(n, KEY)
+            .sortBy(KEY)
             .format("parquet")
             .option("path", table.path)
             .saveAsTable(table.name)

@@ -30,7 +30,8 @@ def score_counts(
             F.raise_error(F.concat(F.lit("labels must be 0 or 1, found "), y.cast("string"))).cast("int")
         )
     )
-    wrong = (y != F.col(prediction)).cast("int") if prediction else F.lit(0)
+    # a missing prediction is a wrong one
+    wrong = (~y.eqNullSafe(F.col(prediction))).cast("int") if prediction else F.lit(0)
     return df.groupBy(F.col(score).alias("score")).agg(
         F.sum(positive).alias("pos"),
         F.sum(1 - positive).alias("neg"),
@@ -69,8 +70,8 @@ def mean_log_loss(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def error_rate(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row (error_rate, accuracy, errors, rows)."""
-    errors = F.count_if(F.col(label) != F.col(prediction))
+    """One row (error_rate, accuracy, errors, rows); a missing prediction is an error."""
+    errors = F.count_if(~F.col(label).eqNullSafe(F.col(prediction)))
     rows = F.count(F.lit(1))
     share = _ratio(errors, rows)
     return df.agg(

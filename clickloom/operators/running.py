@@ -44,6 +44,9 @@ def running(
     staged = write_table(
         measured.repartitionByRange(*by_range).withColumn("_block", F.spark_partition_id()), "blocks"
     )
+    # one task per block and no second shuffle for the window
+    held = staged.agg(F.max("_block")).first()[0]
+    by_block = staged.repartitionById((held or 0) + 1, F.col("_block"))
 
     block_totals = staged.groupBy(*by, "_block").agg(
         *[F.sum(f"_in_{name}").alias(f"_sum_{name}") for name in measures]
@@ -63,7 +66,7 @@ def running(
         .orderBy(*order_cols)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = staged.select(
+    local = by_block.select(
         *df.columns,
         "_block",
         *[F.sum(f"_in_{name}").over(inside).alias(name) for name in measures],
@@ -118,7 +121,7 @@ def sort_within_groups(
     if head is None:
         ranked = running(df, keys, number=sorted_position, by=[group], blocks=blocks)
         return ranked.withColumn(sorted_position, F.col(sorted_position) - 1)
-    is_head = F.col(original) < head
+    is_head = F.coalesce(F.col(original) < head, F.lit(False))
     moved = sort_within_groups(
         df.where(is_head),
         group,

@@ -45,7 +45,8 @@ def _learner(segment: str, params: FtrlParams):
             grown = na + g * g
             z[at] = za + g - (np.sqrt(grown) - np.sqrt(na)) / params.alpha * w
             n[at] = grown
-        return pd.DataFrame({segment: rows[segment].iloc[0], "idx": slots, "z": z, "n": n})
+        key = rows[segment].iloc[0]
+        return pd.DataFrame({segment: None if pd.isna(key) else key, "idx": slots, "z": z, "n": n})
 
     return learn
 
@@ -60,10 +61,11 @@ def fit_by_segment(
 ) -> DataFrame:
     """Final state (segment, idx, z, n) of every segment of the sparse rows (segment, order, y, features).
 
-    ``order`` must be unique within a segment; a slot may occur once per row.
+    ``order`` must be unique within a segment; a slot may occur once per row. Rows without a segment are a
+    segment of their own.
     """
     spark = rows.sparkSession
-    flat = rows.where(F.col(segment).isNotNull()).select(
+    flat = rows.select(
         segment,
         order,
         "y",
@@ -100,4 +102,5 @@ def fit_by_segment(
     # each segment's last round holds its final state
     last = staged.groupBy(segment).agg(F.max("_round").alias("_round"))
     every = spark.read.schema(f"{schema}, _round int").parquet(base)
-    return every.join(last, [segment, "_round"]).select(segment, *_STATE)
+    same = every[segment].eqNullSafe(last[segment]) & (every["_round"] == last["_round"])
+    return every.join(last, same).select(every[segment], *_STATE)

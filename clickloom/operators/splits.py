@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import hash_percent
 from clickloom.options import TRAIN_PERCENT
+from clickloom.session import write_table
 
 
 def without_text(lines: DataFrame, text: str, column: str = "value") -> DataFrame:
@@ -15,8 +16,8 @@ def without_text(lines: DataFrame, text: str, column: str = "value") -> DataFram
 
 
 def mismatches(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Rows whose predicted label differs from the true one."""
-    return df.where(F.col(label) != F.col(prediction))
+    """Rows whose predicted label is missing or differs from the true one."""
+    return df.where(~F.col(label).eqNullSafe(F.col(prediction)))
 
 
 def in_training(key: Column, percent: int = TRAIN_PERCENT) -> Column:
@@ -35,9 +36,10 @@ def hash_split(
 def random_split(
     df: DataFrame, percent: int = TRAIN_PERCENT, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Seeded Bernoulli split."""
-    train, test = df.randomSplit([percent / 100.0, 1 - percent / 100.0], seed=seed)
-    return train, test
+    """Seeded Bernoulli split: one number is drawn per row and written, so the two parts cannot overlap."""
+    drawn = write_table(df.withColumn("_drawn", F.rand(seed)), "drawn")
+    chosen = F.col("_drawn") < percent / 100.0
+    return drawn.where(chosen).drop("_drawn"), drawn.where(~chosen).drop("_drawn")
 
 
 def sample_negatives(df: DataFrame, label: str, key: str, keep_percent: int) -> DataFrame:

@@ -125,7 +125,11 @@ def leaf_cells(slots: Column, leaf_counts: Sequence[int], max_features: int) ->
     is known beforehand, so the text detour is not needed.
     """
     hashed = F.lit([slot_number(f"{s + 1}_1", max_features) for s in range(sum(leaf_counts))])
-    return F.transform(slots, lambda s: cell(F.element_at(hashed, s + 1), F.lit(1.0)))
+    found = F.transform(slots, lambda s: F.element_at(hashed, s + 1))
+    # leaves that share a slot are one cell: squares of gradients are taken per slot
+    return F.transform(
+        F.array_distinct(found), lambda s: cell(s, F.size(F.filter(found, lambda t: t == s)).cast("double"))
+    )
 
 
 # ---- Spark ML boosting ------------------------------------------------------------------------

@@ -40,7 +40,7 @@ class TwoStageModel:
     def ftrl_scores(self) -> DataFrame:
         """Held-out rows (row_id, y, probability) scored by the second stage."""
         rows = self.held_out(self.leaf_rows).select("row_id", "y", "features")
-        return self.learner.predict(rows, self.state).select("row_id", "y", "probability")
+        return self.learner.labelled_scores(rows, self.state)
 
     def report(self) -> DataFrame:
         """One row per stage (stage, auc, accuracy, logloss, rows) on the held-out rows."""

@@ -17,11 +17,16 @@ from clickloom.sources.sinks import submission, write_csv
 from clickloom.sources.text import read_by_name, read_lines, split_fields
 
 
+# without a number of steps: rows of a step at most, and steps of an epoch at least
+STEP_ROWS = 100_000
+LEAST_STEPS = 8
+
+
 @dataclass
 class OnlineLearner:
     """FTRL over headered CSV (columns by name) or headerless comma text (columns by position).
 
-    ``batches`` is how many learning steps an epoch has. Rows are dealt to them by the hash of their id, or
+    ``batches`` is how many learning steps an epoch has; by default steps have a set size. Rows are dealt to them by the hash of their id, or
     in order of the column ``batch`` where the log has one. Bare files have no id; their rows are numbered
     when they are read.
     """
@@ -31,7 +36,7 @@ class OnlineLearner:
     params: FtrlParams = FtrlParams()
     options: LearnerOptions = LearnerOptions()
     loss: Loss = LOGISTIC
-    batches: int = 8
+    batches: int | None = None
     batch: str | None = None
     step: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     state: DataFrame | None = None
@@ -58,7 +63,9 @@ class OnlineLearner:
         if self.batch:
             rows = rows.withColumnRenamed(self.batch, "batch")
         else:
-            dealt = F.pmod(F.xxhash64("row_id"), F.lit(self.batches))
+            rows = write_table(rows, "rows")
+            steps = self.batches or max(LEAST_STEPS, -(-rows.count() // STEP_ROWS))
+            dealt = F.pmod(F.xxhash64("row_id"), F.lit(steps))
             rows = rows.withColumn("batch", dealt)
         self.state = ftrl.fit(
             rows, "batch", self.learner, epochs=self.options.epochs, state=self.state, step=self.step
@@ -89,7 +96,7 @@ class OnlineLearner:
 
     def _evaluate(self, rows: DataFrame) -> DataFrame:
         """One row (auc, accuracy at the base rate, logloss, rows)."""
-        scored = self.learner.predict(write_table(rows, "rows"), self._fitted())
+        scored = self.learner.labelled_scores(rows, self._fitted())
         return metrics.report(scored, "y", "probability", threshold=self.base_rate())
 
     def base_rate(self) -> DataFrame:

@@ -98,11 +98,11 @@ def ftrl_steps(batches: list[str]) -> str:
               select row_id, y, {sigmoid("coalesce(v, 0)")} as p
               from (select * from rws where {chosen}) left join v{i} using (row_id))""",
             f"""g{i} as materialized (
-              select idx, sum((p - p{i}.y) * x) as g
+              select idx, sum((p - p{i}.y) * x) as g, sum(((p - p{i}.y) * x) ** 2) as gg
               from (select * from cells where {chosen}) c join p{i} using (row_id) group by idx)""",
             f"""m{i} as materialized (
-              select idx, z + g - (sqrt(n + g * g) - sqrt(n)) / {_P.alpha} * ({WEIGHT}) as z, n + g * g as n
-              from (select idx, coalesce(z, 0) as z, coalesce(n, 0) as n, coalesce(g, 0) as g
+              select idx, z + g - (sqrt(n + gg) - sqrt(n)) / {_P.alpha} * ({WEIGHT}) as z, n + gg as n
+              from (select idx, coalesce(z, 0) as z, coalesce(n, 0) as n, coalesce(g, 0) as g, coalesce(gg, 0) as gg
                     from m{i - 1} full join g{i} using (idx)))""",
         ]
     return ",\n".join(ctes)
@@ -117,7 +117,8 @@ cells as materialized (
 """
 
 ALL_ROWS = ["true"]
-ONE_EPOCH = ["batch = 0", "batch = 1", "batch = 2"]
+# rows without a time come first; a step without rows changes nothing
+ONE_EPOCH = ["batch is null", "batch = 0", "batch = 1", "batch = 2", "batch = 3"]
 TWO_EPOCHS = ONE_EPOCH * 2
 
 MODEL = f"select {whole('idx')}, {real('z', 'z')}, {real('n', 'n')} from "
@@ -152,8 +153,8 @@ lv as (
 LEAF_CELLS = f"""{LEAVES},
 rws as materialized (select event_id as row_id, batch, click as y from lv),
 cells as materialized (
-  select event_id as row_id, batch, click as y, {slot("(s + 1)::varchar || '_1'")} as idx, 1::double as x
-  from (select *, unnest([leaf0, 3 + leaf1, 6 + leaf2]) as s from lv))
+  select event_id as row_id, batch, click as y, {slot("(s + 1)::varchar || '_1'")} as idx, count(*)::double as x
+  from (select *, unnest([leaf0, 3 + leaf1, 6 + leaf2]) as s from lv) group by 1, 2, 3, 4)
 """
 
 # ---- ranks --------------------------------------------------------------------------------------
@@ -327,9 +328,9 @@ ORACLE = {
         with {EVENT_CELLS}, {ftrl_steps(ALL_ROWS)} select {whole("idx")}, {real(WEIGHT, "w")} from m1""",
     "ftrl_score": f"{SCORES} select row_id, {real('p', 'probability')} from scores",
     "submission": f"{SCORES} select row_id::varchar as id, {real('p', 'click')} from scores",
-    "ftrl_fit_epochs": f"with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)} {MODEL} m6",
+    "ftrl_fit_epochs": f"with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)} {MODEL} m10",
     "ftrl_progress": f"""
-        with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)}, pr as ({progress(6)})
+        with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)}, pr as ({progress(10)})
         select {whole("sum(rows)", "rows")}, {real("sum(labels)", "label_sum")}, {real("sum(lost)", "loss_sum")},
           {real("sum(labels)::double / sum(rows)", "base_rate")} from pr""",
     "tree_route": f"""
@@ -349,12 +350,12 @@ ORACLE = {
         f"(case when leaf{t} = {i} then ',1' else ',0' end)" for t, n in ((0, 3), (1, 3), (2, 2)) for i in range(n)
     )
     + " as line from lv",
-    "ftrl_fit_leaf": f"with {LEAF_CELLS}, {ftrl_steps(TWO_EPOCHS)} {MODEL} m6",
-    "ftrl_stream": f"with {EVENT_CELLS}, {ftrl_steps(ONE_EPOCH)} {MODEL} m3",
+    "ftrl_fit_leaf": f"with {LEAF_CELLS}, {ftrl_steps(TWO_EPOCHS)} {MODEL} m10",
+    "ftrl_stream": f"with {EVENT_CELLS}, {ftrl_steps(ONE_EPOCH)} {MODEL} m5",
     "ftrl_stream_metrics": f"""
-        with {EVENT_CELLS}, {ftrl_steps(ONE_EPOCH)}, pr as ({progress(3)})
-        select {whole("step", "version")}, {whole("sum(rows) over w", "rows")},
+        with {EVENT_CELLS}, {ftrl_steps(ONE_EPOCH)}, pr as ({progress(5)})
+        select {whole("row_number() over w", "version")}, {whole("sum(rows) over w", "rows")},
           {real("sum(labels) over w", "label_sum")}, {real("sum(lost) over w", "loss_sum")}
-        from pr window w as (order by step rows unbounded preceding)""",
+        from pr where rows > 0 window w as (order by step rows unbounded preceding)""",
     "stream_score": f"{SCORES} select row_id, {real('p', 'probability')} from scores",
 }

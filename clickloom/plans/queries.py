@@ -49,12 +49,8 @@ OPTIONS = LearnerOptions()
 PARAMS = FtrlParams()
 # slots under the hashing trick are bounded by the option, so the weights may be broadcast
 HASHED = ftrl.Ftrl(PARAMS, slots=OPTIONS.max_features)
-BATCHES = [0, 1, 2]
 STREAM_FILES = 8
 
-# smaller than the default job, so that the rows-only checks stay short
-SMALL_BOOSTING = BoostingParams(trees=5, depth=4, learning_rate=0.1, bins=32)
-
 # A fixed ensemble over event columns, with a numeric and a category split
 EVENT_TREES = trees.Ensemble(
     trees=(
@@ -439,7 +435,7 @@ def _encoded_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CountE
 def _boosted_events(spark: SparkSession, sf_dir: str) -> tuple[trees.BoostedTrees, DataFrame]:
     encoded, encoder = _encoded_events(spark, sf_dir)
     train, _ = splits.hash_split(encoded, "event_id")
-    fitted = trees.BoostedTrees.fit(train, encoder.slots, "click", SMALL_BOOSTING)
+    fitted = trees.BoostedTrees.fit(train, encoder.slots, "click", BoostingParams())
     return fitted, fitted.transform(encoded)
 
 
@@ -469,17 +465,21 @@ def ctr_two_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "click",
         "event_id",
         "batch",
-        boosting=SMALL_BOOSTING,
     ).report()
 
 
 # ---- streaming ----------------------------------------------------------------------------------
 
 
+def _batch_values(log: DataFrame) -> list:
+    """The training batches of the log in order, the missing one first; one per micro-batch to come."""
+    return [r[0] for r in log.select("batch").distinct().orderBy(F.asc_nulls_first("batch")).toLocalIterator()]
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events staged as files in batch order and read as a stream, one training batch per micro-batch."""
     log = click_events(spark, sf_dir).select("event_id", "click", "hour", "user_id", "k", "batch")
-    stream = stage_in_order(log, "batch", BATCHES, new_path(spark, "stream-source"), STREAM_FILES)
+    stream = stage_in_order(log, "batch", _batch_values(log), new_path(spark, "stream-source"), STREAM_FILES)
     return vectorize_named(stream, EVENT_ROLES, OPTIONS)
 
 
@@ -490,7 +490,7 @@ def _stream_model(spark: SparkSession, sf_dir: str) -> OnlineModel:
 
 
 def ftrl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ftrl.model_of(_stream_model(spark, sf_dir).state(len(BATCHES)))
+    return ftrl.model_of(_stream_model(spark, sf_dir).latest())
 
 
 def ftrl_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,16 @@ def write_lines(lines: DataFrame, path: str, *, single_file: bool = False) -> No
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     """Write headered CSV that ``read_csv`` reads back."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (
+        out.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        # blanks at the ends of a text are part of it, and an empty text is not a missing one
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("emptyValue", '""')
+        .csv(path)
+    )
 
 
 def submission(scores: DataFrame, id_column: str = "row_id", score: str = "probability") -> DataFrame:
@@ -26,7 +35,12 @@ def submission(scores: DataFrame, id_column: str = "row_id", score: str = "proba
 
 
 def write_submission(
-    scores: DataFrame, path: str, id_column: str = "row_id", score: str = "probability"
+    scores: DataFrame,
+    path: str,
+    id_column: str = "row_id",
+    score: str = "probability",
+    *,
+    single_file: bool = False,
 ) -> None:
-    """Write ``id,click`` with a header."""
-    write_csv(submission(scores, id_column, score), path)
+    """Write ``id,click`` with a header, one for each file; ``single_file`` as in ``write_csv``."""
+    write_csv(submission(scores, id_column, score), path, single_file=single_file)

@@ -17,8 +17,11 @@ def stage_in_order(
     """
     spark = df.sparkSession
     for value in values:
-        df.where(F.col(batch) == F.lit(value)).repartition(files).write.mode("append").parquet(path)
-    found = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        df.where(F.col(batch).eqNullSafe(F.lit(value))).repartition(files).write.mode("append").parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    if staged.count() != df.count():
+        raise ValueError(f"rows whose {batch} is not among the values would be lost")
+    found = len(staged.inputFiles())
     if found != files * len(values):
         raise ValueError(f"expected {files} files per batch, found {found} in all; lower files")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)

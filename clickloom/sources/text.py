@@ -26,6 +26,9 @@ CLICK_LOG_SCHEMA = T.StructType(
     ]
 )
 
+# stands for a missing field while reading, so that a quoted empty text stays an empty text
+_MISSING = "\0"
+
 CLICK_LOG_FEATURES = [c for c in CLICK_LOG_COLUMNS if c != CLICK_LOG_LABEL]
 
 
@@ -40,6 +43,7 @@ def read_csv(
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("nullValue", _MISSING)
         .option("mode", "FAILFAST")
         .schema(schema)
         .csv(path)
@@ -47,8 +51,18 @@ def read_csv(
 
 
 def read_by_name(spark: SparkSession, path: str) -> DataFrame:
-    """Headered CSV whose columns are taken by name, all as text; only the header is looked at first."""
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    """Headered CSV whose columns are taken by name, all as text; only the header is looked at first.
+
+    Quoted fields may hold line breaks, and a row that does not fit the header is an error.
+    """
+    return (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", True)
+        .option("nullValue", _MISSING)
+        .option("mode", "FAILFAST")
+        .csv(path)
+    )
 
 
 def read_click_log(spark: SparkSession, path: str) -> DataFrame:

@@ -43,8 +43,7 @@ def test_scoring_needs_no_target(spark, log_path, tmp_path):
 def test_positional_file(spark, tmp_path):
     (tmp_path / "leaf").write_text("".join(f"{int(i % 4 == 0)},{int(i % 4 == 0)},{int(i % 4 != 0)}\n" for i in range(200)))
     roles = ColumnRoles("0", "id", (), ("1", "2"))
-    fast = FtrlParams(l1=0.1, alpha=3.0)  # few steps, so they are long
-    model = OnlineLearner(spark, roles, fast, LearnerOptions(epochs=1), batches=2).fit_file(str(tmp_path))
+    model = OnlineLearner(spark, roles, PARAMS, LearnerOptions(epochs=2), batches=2).fit_file(str(tmp_path))
     report = model.evaluate_file(str(tmp_path)).first()
     assert (report["auc"], report["accuracy"], report["rows"]) == (1.0, 1.0, 200)
 

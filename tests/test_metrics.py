@@ -85,3 +85,9 @@ def test_running_progress(spark):
     got = metrics.running_progress(df, "y", ["i"], score="p", report_every=4).orderBy("seq").collect()
     assert [(r["seq"], r["running_base_rate"]) for r in got] == [(4, 0.5), (8, 0.5)]
     assert got[1]["cumulative_loss"] == pytest.approx(8 * 0.6931471805599453)
+
+
+def test_missing_predictions_are_errors(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (1, 0.5, 1)], "y int, p double, c int")
+    assert metrics.error_rate(df, "y", "c").first()["errors"] == 1
+    assert metrics.report(df, "y", "p", prediction="c").first()["accuracy"] == 0.5

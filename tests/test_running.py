@@ -63,3 +63,9 @@ def test_head_of_each_group_is_sorted_in_place(spark):
 def test_empty_input(spark):
     df = spark.range(0).select(F.col("id"), F.lit(1.0).alias("v"))
     assert running.running(df, ["id"], sums={"s": F.col("v")}, number="n").collect() == []
+
+
+def test_rows_without_a_position_stay(spark):
+    df = spark.createDataFrame([("g", 0, 3), ("g", 1, 1), ("g", None, 2)], "g string, original bigint, v int")
+    got = running.sort_within_groups(df, "g", ["v"], original="original", head=2).collect()
+    assert sorted((r["v"], r["sorted_position"]) for r in got) == [(1, 0), (2, None), (3, 1)]

@@ -55,8 +55,18 @@ def test_single_file_is_an_option(spark, tmp_path):
 def test_submission_has_id_and_click(spark, tmp_path):
     scores = spark.createDataFrame([(7, 0.25)], "row_id bigint, probability double")
     sinks.write_submission(scores, str(tmp_path / "s"))
-    written = next((tmp_path / "s").glob("part-*")).read_text()
-    assert written == "id,click\n7,0.25\n"
+    written = "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*")))
+    assert written.replace("id,click\n", "") == "7,0.25\n" and written.startswith("id,click\n")
+    sinks.write_submission(scores, str(tmp_path / "one"), single_file=True)
+    assert next((tmp_path / "one").glob("part-*")).read_text() == "id,click\n7,0.25\n"
+
+
+def test_csv_keeps_blanks_empty_text_and_line_breaks(spark, tmp_path):
+    rows = [(1, "  lead "), (2, ""), (3, None), (4, "two\nlines"), (5, 'a "quote", b')]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    sinks.write_csv(df, str(tmp_path / "c"))
+    back = text.read_by_name(spark, str(tmp_path / "c")).collect()
+    assert sorted((int(r["id"]), r["t"]) for r in back) == rows
 
 
 def test_overwrite_replaces_and_delete_removes(spark, tmp_path):

@@ -38,6 +38,25 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, log, tmp_path):
     assert model(online.state(3)) == want
 
 
+def test_streams_go_on_where_the_model_is(spark, log, tmp_path):
+    """Two runs with two checkpoints on top of a batch fit equal one fit over all rows."""
+    first = ftrl.fit(vectorize_named(log.where("batch = 0"), ROLES, keep=["batch"]), "batch", LEARNER, epochs=1)
+    online = OnlineModel(spark, f"{tmp_path}/model", initial=first)
+    for b in (1, 2):
+        part = log.where(f"batch = {b}")
+        stream = vectorize_named(stage_in_order(part, "batch", [b], f"{tmp_path}/in{b}", 2), ROLES)
+        fit_stream(stream, online, f"{tmp_path}/checkpoint{b}", LEARNER)
+    whole = ftrl.fit(vectorize_named(log, ROLES, keep=["batch"]), "batch", LEARNER, epochs=1)
+    assert model(online.latest()) == model(whole)
+    assert online.latest_version() == 2
+    assert [r["rows"] for r in online.progress().orderBy("version").collect()] == [160, 240]
+
+
+def test_rows_outside_the_batches_are_an_error(spark, log, tmp_path):
+    with pytest.raises(ValueError, match="would be lost"):
+        stage_in_order(log, "batch", [0, 1], f"{tmp_path}/in", 2)
+
+
 def test_versions_out_of_use_are_dropped(spark, log, tmp_path):
     stream = vectorize_named(stage_in_order(log, "batch", [0, 1, 2], f"{tmp_path}/in", 2), ROLES)
     online = OnlineModel(spark, f"{tmp_path}/model")

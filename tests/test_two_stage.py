@@ -29,7 +29,7 @@ def test_both_stages_find_the_signal(log, fit_on):
         "id",
         "batch",
         boosting=SMALL,
-        ftrl=FtrlParams(l1=0.1, alpha=0.5),
+        ftrl=FtrlParams(l1=0.1),
         options=LearnerOptions(epochs=1),
         fit_on=fit_on,
     )
