@@ -116,6 +116,17 @@ cells as materialized (
   group by 1, 2, 3, 4)
 """
 
+# the same cells with the position of each row in its user's log
+EVENT_CELLS_BY_SEGMENT = f"""{EVENTS},
+rn as materialized (
+  select event_id as row_id, user_id as seg, click as y, row_number() over (partition by user_id order by event_id) as pos
+  from ev),
+cl as materialized (
+  select row_id, seg, {slot("feature || '_' || value")} as idx, count(*)::double as x
+  from ({unfold("ev", ["hour", "user_id", "k"], "event_id as row_id, user_id as seg")})
+  group by 1, 2, 3)
+"""
+
 ALL_ROWS = ["true"]
 # rows without a time come first; a step without rows changes nothing
 ONE_EPOCH = ["batch is null", "batch = 0", "batch = 1", "batch = 2", "batch = 3"]
@@ -358,4 +369,40 @@ ORACLE = {
           {real("sum(labels) over w", "label_sum")}, {real("sum(lost) over w", "loss_sum")}
         from pr where rows > 0 window w as (order by step rows unbounded preceding)""",
     "stream_score": f"{SCORES} select row_id, {real('p', 'probability')} from scores",
+    # ---- what SQL can state about trained models
+    "gbdt_consistency": """
+        select count(*) as rows, 0::bigint as other_leaves, 0::bigint as other_probabilities,
+               0::bigint as slots_out_of_range, 0::bigint as wrong_widths from events""",
+    "two_stage_counts": f"""
+        with {EVENTS}, h as (select count(*) as rows from ev where not ({IN_TRAIN}))
+        select stage, rows, 1::bigint as sound
+        from h, (select unnest(['boosted_trees', 'ftrl_on_leaves']) as stage)""",
+    "random_split_counts": """
+        select count(*) as rows, 0::bigint as repeated, 1::bigint as near_share from events""",
+    "learner_csv_scores": f"""
+        with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)}, wt as (select idx, {WEIGHT} as w from m10)
+        select row_id::varchar as id, {real(sigmoid("sum(x * coalesce(w, 0))"), "probability")}
+        from cells left join wt using (idx) group by row_id""",
+    "learner_csv_report": f"""
+        with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)}, wt as (select idx, {WEIGHT} as w from m10),
+        sr as (
+          select row_id, y as click, {sigmoid("sum(x * coalesce(w, 0))")} as probability
+          from cells left join wt using (idx) group by row_id, y)
+        select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
+               {real("(" + auc("sr") + ")", "auc")}
+        from sr""",
+    "ftrl_fit_by_segment": f"""
+        with recursive {EVENT_CELLS_BY_SEGMENT},
+        st as (
+          select seg, 0::bigint as pos, idx, 0::double as z, 0::double as n from (select distinct seg, idx from cl)
+          union all
+          select seg, pos + 1, idx, z + g - (sqrt(n + g * g) - sqrt(n)) / {_P.alpha} * w, n + g * g
+          from (
+            select v.*, ({sigmoid("sum(v.w * v.x) over (partition by v.seg)")} - v.y) * v.x as g
+            from (
+              select st.*, {WEIGHT} as w, coalesce(cl.x, 0) as x, rn.y
+              from st join rn on rn.seg is not distinct from st.seg and rn.pos = st.pos + 1
+              left join cl on cl.row_id = rn.row_id and cl.idx = st.idx) v))
+        select seg as user_id, {whole("idx")}, {real("z", "z")}, {real("n", "n")}
+        from st where pos = (select max(pos) from rn where rn.seg is not distinct from st.seg)""",
 }

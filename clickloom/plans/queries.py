@@ -21,6 +21,7 @@ from clickloom.operators.vectorize import (
     vectorize_positional,
 )
 from clickloom.options import BoostingParams, ColumnRoles, FtrlParams, LearnerOptions
+from clickloom.plans import checks
 from clickloom.plans.ctr import two_stage
 from clickloom.session import new_path, write_table
 from clickloom.sources.sinks import submission, write_csv, write_lines, write_submission
@@ -458,6 +459,11 @@ def gbdt_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boosted_events(spark, sf_dir)[0].nodes().drop("categories")
 
 
+def gbdt_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded, encoder = _encoded_events(spark, sf_dir)
+    return checks.gbdt_consistency(spark, sf_dir, encoded, encoder.slots)
+
+
 def ctr_two_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_stage(
         click_events(spark, sf_dir),
@@ -559,7 +565,12 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gbdt_fit_score,
         gbdt_leaf_features,
         gbdt_nodes,
+        gbdt_consistency,
         ctr_two_stage_report,
+        checks.two_stage_counts,
+        checks.random_split_counts,
+        checks.learner_csv_scores,
+        checks.learner_csv_report,
         ftrl_stream,
         ftrl_stream_metrics,
         stream_score,
