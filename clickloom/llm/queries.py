@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # the other queries are tested against brute force, round trips and held-out labels in tests/llm
@@ -120,6 +121,35 @@ ORACLE: dict[str, str] = {
         FROM pa LEFT JOIN rb ON pa.file = rb.file AND pa.key = rb.key
         WHERE pa.digest IS DISTINCT FROM sha256(rb.content)
     """,
+    "op5_decontaminate": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}'), []) AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w
+            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ), starts AS (
+            SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s
+            FROM b WHERE len(w) > 0
+        ), wins AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g FROM starts),
+        places AS (
+            SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s
+            FROM d, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k
+        ), hits AS (
+            SELECT doc_id, s, p.k, item_id
+            FROM (SELECT doc_id, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g FROM places) p
+            JOIN wins ON wins.k = p.k AND wins.g = p.g
+        ), n AS (
+            SELECT doc_id, count(DISTINCT i) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS i FROM hits) GROUP BY doc_id
+        ), i AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   sha256(array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',')) AS items_sha256
+            FROM hits GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+    """,
     "op6_threshold_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
