@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.lookup import lookup_join
-from clickloom.session import BROADCAST_ROWS, write_table
+from clickloom.session import BROADCAST_ROWS, new_path
 
 # a row of a string-keyed hash relation without its text, in bytes
 _ROW_BYTES = 60
@@ -58,8 +58,10 @@ class Dictionary:
 
     @staticmethod
     def write(entries: DataFrame, name: str) -> Dictionary:
-        # sorted by feature, so that the reader of one column skips the row groups of the others
-        table = write_table(entries.sortWithinPartitions("feature"), name)
+        # a directory per feature: the reader of one column lists and opens that one alone
+        spark, path = entries.sparkSession, new_path(entries.sparkSession, name)
+        entries.write.partitionBy("feature").parquet(path)
+        table = spark.read.schema(entries.schema).parquet(path).select(*entries.columns)
         # one result row per column of the log
         measured = (
             table.groupBy("feature")
