@@ -31,17 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import components
-from clickloom.llm.tables import bounded_broadcast, keyed_texts
-from clickloom.llm.words import NOT_BLANK, hash_words, mix, pieces, shingle_sets
+from clickloom.llm.tables import bounded_broadcast, keyed_texts, text_batches
+from clickloom.llm.words import NOT_BLANK, hash_words, mix, pieces, shingle_sets, tidy
 from clickloom.session import write_table
 
 # counters of the sketch of document frequencies: a power of two, one byte each when broadcast
 SKETCH_BLOCK = 1 << 15
-MAX_SKETCH = 1 << 25
+MAX_SKETCH = 1 << 24
 # counters for each document, while there are fewer than MAX_SKETCH
-SKETCH_SHARE = 128
-# buckets of a signature: how many shingles of the set fall on each
+SKETCH_SHARE = 64
+# least number of buckets of a signature, which counts the shingles of the set that fall on each
 SIGNATURE = 256
+# bytes of sets that one batch hands on
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -166,8 +168,7 @@ class JaccardJoin:
                         keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                         order = np.lexsort((s, rank[(s & slot).astype(np.int64)]))[:keep]
                         prefixes.append(s[order])
-                        buckets = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SIGNATURE)
-                        counts.append(buckets.astype(np.uint32 if len(s) > 65_535 else np.uint16).tobytes())
+                        counts.append(_signature(s))
                     flat = np.concatenate(prefixes).view(np.int64)
                     ends = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -183,7 +184,7 @@ class JaccardJoin:
                     )
 
         schema = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>, signature binary"
-        return keyed_texts(docs).mapInArrow(sign, schema)
+        return keyed_texts(docs).mapInArrow(tidy(sign), schema)
 
     def _sets(self, texts: DataFrame, cells: str) -> DataFrame:
         """(cell, doc_id, shingles): the set of every document, once for each of its cells."""
@@ -193,18 +194,18 @@ class JaccardJoin:
             for batch in batches:
                 ids, targets = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 for first, _, data, offsets in pieces(batch.column(1)):
-                    out: tuple[list, list, list] = ([], [], [])
+                    rows: list[tuple[int, int, bytes]] = []
                     for k, s in enumerate(shingle_sets(*hash_words(data, offsets, NOT_BLANK), width), first):
                         for cell in targets[k] if len(s) else ():
-                            for column, value in zip(out, (cell, ids[k], s.tobytes()), strict=True):
-                                column.append(value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                        ["cell", "doc_id", "shingles"],
-                    )
+                            rows.append((cell, ids[k], s.tobytes()))
+                            if len(rows) * s.nbytes > BATCH_BYTES:
+                                yield _batch(rows)
+                                rows = []
+                    if rows:
+                        yield _batch(rows)
 
         chosen = texts.where(F.size(cells) > 0).select("doc_id", "text", cells)
-        return chosen.mapInArrow(shingle, "cell bigint, doc_id bigint, shingles binary")
+        return chosen.mapInArrow(tidy(shingle), "cell bigint, doc_id bigint, shingles binary")
 
     # ---- cells too large for one task
 
@@ -308,6 +309,20 @@ class JaccardJoin:
         return links.union(write_table(joined, "links"))
 
 
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    cells, ids, sets = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cells, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())],
+        ["cell", "doc_id", "shingles"],
+    )
+
+
+def _signature(s: np.ndarray) -> bytes:
+    """How many shingles fall on each of a power of two of buckets, some four to a bucket in large sets."""
+    bits = max(SIGNATURE.bit_length() - 1, (len(s) // 4).bit_length())
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
 def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
     """Per counter the logarithm of the number of documents with a shingle that falls on it.
 
@@ -316,15 +331,22 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, slot = np.zeros(counters, np.uint32), np.uint64(counters - 1)
+        table, slot, texts = np.zeros(counters, np.uint16), np.uint64(counters - 1), 0
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
-                sets = list(shingle_sets(*hash_words(data, offsets, NOT_BLANK), width))
-                np.add.at(table, (np.concatenate(sets) & slot).astype(np.int64), np.uint32(1))
+            for first, end, data, offsets in pieces(batch.column(0)):
+                if texts + end - first >= 1 << 16:  # before a counter could overflow
+                    yield emptied(table)
+                    texts = 0
+                texts += end - first
+                hit = np.concatenate(list(shingle_sets(*hash_words(data, offsets, NOT_BLANK), width)))
+                np.add.at(table, (hit & slot).astype(np.int64), np.uint16(1))
+        yield emptied(table)
+
+    def emptied(table: np.ndarray) -> pa.RecordBatch:
         blocks = [k for k in range(0, counters, SKETCH_BLOCK) if table[k : k + SKETCH_BLOCK].any()]
         smallest = np.min_scalar_type(int(table.max(initial=0)))
         codec = pa.Codec("zstd", 1)
-        yield pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [
                 pa.array([k // SKETCH_BLOCK for k in blocks], pa.int32()),
                 pa.array([smallest.itemsize] * len(blocks), pa.int32()),
@@ -332,6 +354,8 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
             ],
             ["block", "bytes", "counts"],
         )
+        table[:] = 0
+        return out
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         total, codec = np.zeros(SKETCH_BLOCK, np.int64), pa.Codec("zstd", 1)
@@ -341,7 +365,7 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
         levels = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
         return pd.DataFrame({"block": g["block"].iloc[:1], "levels": [levels.tobytes()]})
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "block int, bytes int, counts binary")
+    counted = text_batches(docs).select(F.col("text").cast("string")).mapInArrow(tidy(count), "block int, bytes int, counts binary")
     merged = counted.groupBy("block").applyInPandas(add, "block int, levels binary")
     out = np.zeros(counters, np.uint8)
     for row in merged.toLocalIterator():  # at most MAX_SKETCH bytes in all
@@ -353,15 +377,19 @@ def _possible(g: pd.DataFrame, percent: int) -> pd.DataFrame:
     """The documents of a cell with another one that bucket counts and sizes do not rule out."""
     g = g.sort_values(["n", "doc_id"])
     n = g["n"].to_numpy()
-    counts = np.array(
-        [np.frombuffer(s, np.uint16 if len(s) == 2 * SIGNATURE else np.uint32) for s in g["signature"]], np.int32
-    )
+    raw = [np.frombuffer(s, np.uint16).astype(np.int32) for s in g["signature"]]
+    width = np.array([len(r) for r in raw])
+    counts, first = np.zeros((0, 0), np.int32), 0
     # at best the smaller set is contained in the larger one, so sizes alone bound the similarity
     reach = np.searchsorted(n, n * 100 // percent, "right")
     possible = np.zeros(len(n), bool)
     for i in range(len(n) - 1):
         later = slice(i + 1, int(reach[i]))
-        apart = np.abs(counts[later] - counts[i]).sum(axis=1)
+        if i == 0 or width[i] != width[i - 1]:
+            # wider signatures of larger sets are folded to the width at hand
+            some = raw[i : int(reach[width == width[i]].max())]
+            counts, first = np.stack([r.reshape(width[i], -1).sum(axis=1) for r in some]), i
+        apart = np.abs(counts[i + 1 - first : int(reach[i]) - first] - counts[i - first]).sum(axis=1)
         total = n[later] + n[i]
         # the union is (total + apart) / 2 and the intersection (total - apart) / 2, at best
         fits = 100 * (total - apart) >= percent * (total + apart)
