@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.words import mix, pieces, run_hashes
+from clickloom.llm.tables import text_batches
+from clickloom.llm.words import mix, pieces, run_hashes, tidy
 
 MARK = "▁"
 # bytes of a unit that are summed without logarithms, and the usual logarithm of a weight per byte
@@ -79,8 +80,13 @@ class Vocabulary:
             if ids[node] < 0:
                 ids[node] = i
         self.ids = np.array(ids, np.int32)
-        self.step = np.full(len(ids) << 8, -1, np.int32)
-        self.step[np.fromiter(following.keys(), np.int64)] = np.fromiter(following.values(), np.int32)
+        # only nodes with children have a row of steps; row 0 is that of the nodes without
+        parents = sorted({key >> 8 for key in following})
+        self.row = np.zeros(len(ids), np.int64)
+        self.row[parents] = np.arange(1, len(parents) + 1)
+        keys = np.fromiter(following.keys(), np.int64)
+        self.step = np.full((len(parents) + 1) << 8, -1, np.int32)
+        self.step[self.row[keys >> 8] << 8 | keys & 255] = np.fromiter(following.values(), np.int32)
         lengths = np.array([len(b) for b in self.bytes])
         # the last entry stands for no piece
         self.factor = np.append(np.exp(self.weight + PER_BYTE * lengths), 0.0).astype(np.float32)
@@ -98,7 +104,7 @@ class Vocabulary:
         columns = []
         at, node = np.arange(n), np.zeros(n, np.int64)
         for length in range(self.longest):
-            node = self.step[node << 8 | data[at - length]]
+            node = self.step[self.row[node] << 8 | data[at - length]]
             alive = node >= 0
             at, node = at[alive], node[alive].astype(np.int64)
             columns.append(np.full(n, -1, np.int32))
@@ -256,7 +262,7 @@ class PieceSampler:
             vocabulary = self.vocabulary()
             for batch in batches:
                 keys = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
-                for first, end, data, offsets in pieces(batch.column(1), 1 << 20):
+                for first, end, data, offsets in pieces(batch.column(1), 1 << 19):
                     own = mix(keys[first:end].view(np.uint64) + seed).view(np.int64)
                     ids, firsts = vocabulary.encode(data, offsets, own)
                     text, bounds = vocabulary.decode(ids, firsts)
@@ -280,8 +286,8 @@ class PieceSampler:
                     )
 
         texts = docs.select(F.col(key).cast("bigint").alias(key), F.col("text").cast("string").alias("text"))
-        return texts.mapInArrow(
-            run,
+        return text_batches(texts).mapInArrow(
+            tidy(run),
             f"`{key}` bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, text_crc32 bigint, lossless boolean",
         )
 
