@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.words import NOT_BLANK, buffers, combine, hash_words, pieces
+from clickloom.llm.tables import text_batches
+from clickloom.llm.words import NOT_BLANK, buffers, combine, hash_words, pieces, tidy
 from clickloom.session import write_table
 
 _CODEC = "zstd"
@@ -157,8 +158,8 @@ class BackoffScorer:
             return pd.concat(out)
 
         block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-        dealt = texts.select("doc_id", "text", block).mapInArrow(
-            pack, "block bigint, ids binary, held binary, offsets binary, texts binary"
+        dealt = text_batches(texts).select("doc_id", "text", block).mapInArrow(
+            tidy(pack), "block bigint, ids binary, held binary, offsets binary, texts binary"
         )
         by_block = dealt.groupBy("block")
         asked = by_block.applyInPandas(ask, "part bigint, block bigint, n bigint, grams binary, counts binary")

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.llm.sparse_ftrl import free_name
-from clickloom.llm.words import ALNUM, FOLD
+from clickloom.llm.tables import text_batches
+from clickloom.llm.words import ALNUM, FOLD, tidy
 from clickloom.session import write_table
 
 # words are blank-separated after this translation
@@ -257,7 +258,7 @@ class Decontaminator:
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(out, kind)], [*names, name])
 
             base = [f for f in docs.schema.fields if f.name != name]
-            docs = docs.mapInArrow(run, T.StructType([*base, T.StructField(name, field)]))
+            docs = text_batches(docs).mapInArrow(tidy(run), T.StructType([*base, T.StructField(name, field)]))
         return docs
 
     def report(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -309,7 +310,7 @@ class Decontaminator:
                 out[at] = texts
                 yield pa.RecordBatch.from_arrays(out, batch.schema.names[:where])
 
-        return kept.mapInArrow(cut, docs.schema)
+        return kept.mapInArrow(tidy(cut), docs.schema)
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:

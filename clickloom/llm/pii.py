@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from clickloom.llm import bilstm_crf
 from clickloom.llm.sparse_ftrl import free_name
-from clickloom.llm.words import byte_set, pieces
+from clickloom.llm.tables import text_batches
+from clickloom.llm.words import byte_set, pieces, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of every kind
@@ -181,8 +182,8 @@ class PiiFinder:
                     ["doc_id", "context", "start", "end", "kind"],
                 )
 
-        found = texts.join(F.broadcast(ids), "doc_id").mapInArrow(
-            label, "doc_id bigint, context string, start int, end int, kind int"
+        found = text_batches(texts).join(F.broadcast(ids), "doc_id").mapInArrow(
+            tidy(label), "doc_id bigint, context string, start int, end int, kind int"
         )
         order = [F.col("kind") < 0, F.xxhash64("context"), "doc_id", "start", "kind"]
         with_span = found.where("kind >= 0").orderBy(*order).limit(self.sample_windows)
@@ -313,7 +314,7 @@ class PiiFinder:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, out])
 
         field = T.StructField(out, T.ArrayType(struct))
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, field]))
+        return text_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, field]))
 
     def report(self, docs: DataFrame) -> DataFrame:
         """One row per document: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans."""
@@ -363,7 +364,7 @@ class PiiFinder:
                 kept[at] = texts
                 yield pa.RecordBatch.from_arrays(kept, batch.schema.names[:columns])
 
-        return found.mapInArrow(replace, docs.schema)
+        return found.mapInArrow(tidy(replace), docs.schema)
 
 
 def _labelled(text: str, window: int) -> list[tuple[str, int, int, int]]:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.words import pieces
+from clickloom.llm.tables import text_batches
+from clickloom.llm.words import pieces, tidy
 
 # (bytes, offsets) of a run of texts -> (hashes of all features, text number of each)
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -114,7 +115,7 @@ def fit(
                 )
 
     rows = texts.join(chosen, "doc_id").select("doc_id", "y", "text")
-    table = rows.mapInArrow(featurize, "doc_id bigint, y int, at array<int>, x array<float>").toArrow()
+    table = text_batches(rows).mapInArrow(tidy(featurize), "doc_id bigint, y int, at array<int>, x array<float>").toArrow()
     examples = [
         (i, y, np.asarray(a.values, np.int64), np.asarray(x.values, np.float64))
         for i, y, a, x in zip(
@@ -166,7 +167,7 @@ def score(docs: DataFrame, model: Weights, features: Features, damp: Callable, o
                 [*batch.columns, pa.array(sigmoid(margin))], [*batch.schema.names, out]
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return text_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def free_name(docs: DataFrame, wanted: str) -> str:

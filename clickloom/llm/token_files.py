@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.tables import bounded_broadcast
-from clickloom.llm.words import byte_set, pieces, run_hashes
+from clickloom.llm.tables import bounded_broadcast, text_batches
+from clickloom.llm.words import byte_set, pieces, run_hashes, tidy
 from clickloom.session import new_path
 
 # runs whose ids a Python worker keeps; a full store is emptied, which costs time alone
@@ -228,8 +228,8 @@ class TokenFiles:
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         tie = F.xxhash64("text")
         ordered = texts.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-        rows = ordered.mapInArrow(
-            run, "part int, doc_id bigint, n_tokens bigint, part_start bigint, ids array<int>"
+        rows = text_batches(ordered).mapInArrow(
+            tidy(run), "part int, doc_id bigint, n_tokens bigint, part_start bigint, ids array<int>"
         )
         delta = self.encoding == "delta"
         (

@@ -7,17 +7,34 @@ hashes everywhere, and different ones collide with a chance of about 2^-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving freed memory back to the system at the end of a task.
+
+    Spark keeps Python workers for later stages, and what their allocators hold counts until then.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: a bijection that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,12 +102,12 @@ _powers: dict[str, np.ndarray] = {}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * PIECE)
+        size = max(1 << (n - 1).bit_length(), 2 * PIECE)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
             _powers[name] = np.cumprod(table, dtype=np.uint64)
-        if size > 4 * PIECE:  # made for one very long text: do not keep it
+        if size > 8 * PIECE:  # made for one very long text: do not keep it
             return _powers.pop("up"), _powers.pop("down")
     return _powers["up"], _powers["down"]
 
