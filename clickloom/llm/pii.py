@@ -6,7 +6,8 @@ a fixed grid; the tag scores of all windows over a character are averaged, weigh
 and each stretch of overlapping windows is decoded as one sequence, so a span may cross any number of
 windows. A span is added if it has the form of its kind and does not meet a span of the patterns.
 
-A span without a digit or an at sign is never added, so windows without such a character are not scored.
+Every form holds a digit, an at sign or a spelled-out one ("(at)", "[at]", "at" between blanks) before a
+host and a dot, so windows that are further from all of these than a span is long are not scored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,14 @@ _ADDED = {
     "phone": re.compile(r"[+(]{0,2}[0-9]{1,4}(?:[\x20()./-]{1,3}[0-9]{2,5}){2,5}"),
 }
 MOST_SPAN = 160  # characters of an added span
+# what every form holds one of: a digit or an at sign, or an at sign as a word before a host and a dot
 _TRIGGER = byte_set((0x30, 0x39), (0x40, 0x40))
+_AT_WORD = re.compile(
+    r"(?:\(at\)|\[at\]|(?<=\s)at(?=\s))(?=\s*[A-Za-z0-9-]++\s*(?:\.|\(dot\)|\[dot\]|\sdot\s))"
+)
+# bytes that may stand around the word: brackets, blanks, and parts of blanks beyond ASCII
+_BEFORE_AT = byte_set((0x09, 0x0D), (0x1C, 0x20), (0x28, 0x28), (0x5B, 0x5B), (0x80, 0xFF))
+_AFTER_AT = byte_set((0x09, 0x0D), (0x1C, 0x20), (0x29, 0x29), (0x5D, 0x5D), (0x80, 0xFF))
 
 
 def luhn(digits: str) -> bool:
@@ -112,7 +120,16 @@ def well_formed(text: str, kind: str) -> bool:
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 10 <= len(digits) <= 15
-    return "@" in text or bool(digits)
+    return True
+
+
+def triggers(data: np.ndarray) -> np.ndarray:
+    """Positions in UTF-8 bytes of all that a span is looked for around, and of some more."""
+    found = _TRIGGER[data]
+    if len(data) >= 4:
+        word = (data[1:-2] == ord("a")) & (data[2:-1] == ord("t"))
+        found[1:-2] |= word & _BEFORE_AT[data[:-3]] & _AFTER_AT[data[3:]]
+    return np.flatnonzero(found)
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -126,6 +143,21 @@ def _symbols(text: str) -> np.ndarray:
 SYMBOLS = 98
 
 
+def _letters_alone(span: str, rng: np.random.Generator) -> str:
+    """A labelled address without digits, its at sign spelled out."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(m: re.Match) -> str:
+        return "".join(letters[k] for k in rng.integers(26, size=int(rng.integers(2, 8))))
+
+    if rng.integers(2):
+        span = re.sub(r"[._%+-]+(?=[0-9]+@)", "", span)
+        span = re.sub(r"(?<=[A-Za-z])[0-9]+", "", span)
+    span = re.sub(r"[0-9]+", word, span)
+    at, dot = [(" (at) ", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", " dot ")][int(rng.integers(5))]
+    return span.replace("@", at).replace(".", dot)
+
+
 def _other_spellings(span: str, kind: int, rng: np.random.Generator) -> str:
     """A labelled span in another spelling of its kind."""
     pick = int(rng.integers(4))
@@ -194,10 +226,12 @@ class PiiFinder:
     def _train(self, labelled: list, plain: list) -> bilstm_crf.Params:
         rng = np.random.default_rng(self.seed)
         rows = []
-        for again in range(2):
+        for again in range(3):
             for r in labelled:
                 text, a, b, kind = r["context"], r["start"], r["end"], r["kind"]
-                span = text[a:b] if again == 0 else _other_spellings(text[a:b], kind, rng)
+                if again == 2 and kind:
+                    continue
+                span = (text[a:b], _other_spellings(text[a:b], kind, rng), _letters_alone(text[a:b], rng))[again]
                 # a window that starts anywhere before the span
                 left = text[:a][-int(rng.integers(1, self.window - min(len(span), self.window // 2))) :] if a else ""
                 rows.append((left + span + text[b:], len(left), len(left) + len(span), kind))
@@ -224,16 +258,16 @@ class PiiFinder:
         for k, s in enumerate(coded):
             if len(s) == 0:
                 continue
-            at = np.flatnonzero(((s >= 17) & (s <= 26)) | (s == 33))
+            words = [m.start() for m in _AT_WORD.finditer(texts[k])]
+            at = np.append(np.flatnonzero(((s >= 17) & (s <= 26)) | (s == 33)), np.array(words, np.int64))
             last = max(0, -(-(len(s) - self.window) // self.stride))
-            # all windows of the grid over a trigger
-            first = np.maximum(0, -(-(at - self.window + 1) // self.stride))
-            chosen = np.zeros(last + 1, bool)
-            for d in range(self.window // self.stride + 1):
-                w = np.minimum(first + d, last)
-                over = (w * self.stride <= at) & (at < w * self.stride + self.window)
-                chosen[w[over]] = True
-            cut += [(k, int(w) * self.stride) for w in np.flatnonzero(chosen)]
+            # all windows of the grid over any character of a span that may hold a trigger
+            first = np.maximum(0, -(-(at - MOST_SPAN - self.window + 2) // self.stride))
+            end = np.minimum(last, (at + MOST_SPAN - 1) // self.stride) + 1
+            edges = np.zeros(last + 2, np.int64)
+            np.add.at(edges, first, 1)
+            np.add.at(edges, end, -1)
+            cut += [(k, int(w) * self.stride) for w in np.flatnonzero(np.cumsum(edges) > 0)]
         centre = 1 + np.minimum(np.arange(self.window), np.arange(self.window)[::-1]).astype(np.float32)
         stretches: list[tuple[int, int, np.ndarray]] = []
         sums = weight = None
@@ -304,7 +338,7 @@ class PiiFinder:
             for batch in batches:
                 found: list[list] = [[] for _ in range(batch.num_rows)]
                 for first, _, data, offsets in pieces(batch.column(column)):
-                    at = np.flatnonzero(_TRIGGER[data])
+                    at = triggers(data)
                     touched = np.unique(np.searchsorted(offsets, at, "right") - 1)
                     texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in touched]
                     decoded = self.decode(p, texts) if p is not None and texts else [[]] * len(texts)

@@ -68,6 +68,32 @@ def test_the_network_adds_other_spellings(trained):
     assert [text[a:b] for a, b, _ in got] == ["(988) 555-2486", "bosbt.42 (at) mail8.example.com", "42[.]144[.]35[.]254"]
 
 
+def test_spelled_out_addresses_without_digits(docs_of, trained, monkeypatch):
+    texts = [
+        "thon er the onre jane.doe (at) example.com inthe er",
+        "write to jane.doe[at]example[dot]com please",
+        "plain words " * 40 + "jane.doe (at) example.com" + " anter ed" * 30,
+    ]
+    want = ["jane.doe (at) example.com", "jane.doe[at]example[dot]com", "jane.doe (at) example.com"]
+    got = PiiFinder().decode(trained, texts)
+    assert [[t[a:b] for a, b, _ in g] for t, g in zip(texts, got, strict=True)] == [[w] for w in want]
+    monkeypatch.setattr(PiiFinder, "fit", lambda self, docs: trained)
+    docs = docs_of(list(enumerate(texts)))
+    assert [r["n_added"] for r in PiiFinder().report(docs).collect()] == [1, 1, 1]
+    redacted = [r["text"] for r in PiiFinder().redact(docs).collect()]
+    assert redacted == [t.replace(w, "<email>") for t, w in zip(texts, want, strict=True)]
+
+
+def test_every_form_holds_a_trigger():
+    assert pii.well_formed("mary at example dot org", "email")
+    for text in ("mary at example dot org", "a\u2003at\u00a0b.co", "a\x1cat\x1fb.co", "a(at)b.co", "é a[at]b.co", "at at at.at", "a@b.co", "1.2.3.4"):
+        form = any(pattern.search(text) for pattern in pii._ADDED.values())
+        assert form and len(pii.triggers(np.frombuffer(text.encode(), np.uint8)))
+        assert re.search("[0-9@]", text) or pii._AT_WORD.search(text)
+    for text in ("", "a", "at", " at", "plain chat atlas", "that. at"):
+        assert not len(pii.triggers(np.frombuffer(text.encode(), np.uint8)))
+
+
 def test_windows_without_digits_add_nothing(trained):
     finder = PiiFinder()
     texts = ["plain words of no kind " * 50, "", "é", "1", "ab 12 " + "x" * 500 + " 3"]
