@@ -102,7 +102,13 @@ class QualityClassifier:
         )
 
     def keep(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The documents that are not rejected, with their columns as they are."""
+        """The documents that are not rejected, with their columns as they are.
+
+        Where nothing could be learned (no labels of use, or no weight came out of them) none is rejected.
+        """
+        model = self.fit(docs, labels)
+        if len(model.index) == 0:
+            return docs
         out = sparse_ftrl.free_name(docs, "_quality")
-        scored = self.score(docs, self.fit(docs, labels), out)
+        scored = self.score(docs, model, out)
         return scored.where(F.col(out) >= self.threshold).drop(out)

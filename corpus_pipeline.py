@@ -24,7 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject: all of them where it could learn nothing."""
     return QualityClassifier().keep(docs, read(spark, sf_dir, "labels"))
 
 

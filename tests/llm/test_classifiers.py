@@ -42,6 +42,16 @@ def test_odd_rows(spark, docs_of, classifier):
     assert classifier.classify(docs.limit(0), some).count() == 0
 
 
+def test_all_documents_are_kept_where_nothing_was_learned(spark, docs_of):
+    rows = [(1, "good words of some kind"), (2, None), (None, ""), (2, "THE!! END!!")]
+    docs = docs_of(rows)
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 4 == 2)
+    for labels in ([], [(1, None), (None, 1)], [(held, 1)], [(99_999, 1)]):
+        kept = QualityClassifier().keep(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+        assert kept.schema == docs.schema
+        assert [(r["doc_id"], r["text"]) for r in kept.collect()] == rows
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark, docs_of):
     docs = docs_of([(k, "good words" if k % 2 else "bad junk") for k in range(60)])
     flip = [(k, (k % 2) ^ (zlib.crc32(str(k).encode()) % 4 == 2)) for k in range(60)]
