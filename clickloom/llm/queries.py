@@ -14,6 +14,7 @@ from clickloom.llm.jaccard_join import JaccardJoin
 from clickloom.llm.pieces_sampling import PieceSampler
 from clickloom.llm.pii import PiiFinder
 from clickloom.llm.quality import QualityClassifier
+from clickloom.llm.spelling import SpellingVariants
 from clickloom.llm.tables import read
 from clickloom.llm.token_files import TokenFiles
 from clickloom.llm.topk import ThresholdSearch, quantized
@@ -71,6 +72,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(width=4, percent=85).classes(read(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SpellingVariants().group(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,10 +89,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_backoff_scores,
         op10_jaccard_join,
+        op13_spelling_variants,
     )
 }
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes, bit by bit; 3988292384 is the fixed polynomial."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda o: ('0x' || o)::BIGINT)"
+    bits = "list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda r, k: xor(r >> 1, 3988292384 * (r & 1)), xor(c, b))"
+    return f"xor(list_reduce({octets}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295)"
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # the other queries are tested against brute force, round trips and held-out labels in tests/llm
@@ -193,4 +208,42 @@ ORACLE: dict[str, str] = {
                round(d.s / d.n, 6) AS mean_log_score
         FROM documents LEFT JOIN d USING (doc_id)
     """,
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT DISTINCT ON (doc_id, run) doc_id, run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+            FROM (
+                SELECT doc_id, run, count(*) AS n
+                FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+                WHERE length(run) >= 7 GROUP BY doc_id, run
+            )
+        ), w AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (
+                SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                               ELSE run END AS word
+                FROM runs
+            )
+            WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), gaps AS (
+            SELECT word, n, unnest(generate_series(1, length(word))) AS k,
+                   substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+            FROM w
+        ), pairs AS (
+            SELECT a.word, b.word AS near FROM gaps a JOIN gaps b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM gaps a JOIN w b ON a.rest = b.word
+            UNION SELECT b.word, a.word FROM gaps a JOIN w b ON a.rest = b.word
+        ), best AS (
+            SELECT pairs.word, CAST(count(*) AS BIGINT) AS n_near, arg_min(near, (-v.n, encode(near))) AS near, max(v.n) AS near_n
+            FROM pairs JOIN w v ON v.word = near GROUP BY pairs.word
+        ), forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+                   CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+            FROM w LEFT JOIN best ON best.word = w.word
+        ), walk AS (
+            SELECT word, word AS root, form FROM forms
+            UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON forms.word = walk.form
+        )
+        SELECT forms.word, forms.form, walk.root, forms.n, n_near, form_n
+        FROM forms JOIN walk ON walk.word = forms.word AND walk.form IS NULL
+    """,
 }
