@@ -15,6 +15,7 @@ from clickloom.llm.pieces_sampling import PieceSampler
 from clickloom.llm.pii import PiiFinder
 from clickloom.llm.quality import QualityClassifier
 from clickloom.llm.spelling import SpellingVariants
+from clickloom.llm.suffix_dedup import SuffixDedup
 from clickloom.llm.tables import read
 from clickloom.llm.token_files import TokenFiles
 from clickloom.llm.topk import ThresholdSearch, quantized
@@ -72,6 +73,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(width=4, percent=85).classes(read(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SuffixDedup().report(read(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SpellingVariants().group(read(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_backoff_scores,
         op10_jaccard_join,
+        op12_suffix_dedup,
         op13_spelling_variants,
     )
 }
@@ -208,6 +214,29 @@ ORACLE: dict[str, str] = {
                round(d.s / d.n, 6) AS mean_log_score
         FROM documents LEFT JOIN d USING (doc_id)
     """,
+    "op12_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), places AS (
+            SELECT r, p, hash(substr(x, 2 * p + 1, 800)) AS w1, hash(substr(x, 2 * p + 1, 800) || '.') AS w2
+            FROM (SELECT r, x, unnest(range(len(x) // 2 - 399)) AS p FROM d WHERE len(x) >= 800)
+        ), twice AS (SELECT w1, w2 FROM places GROUP BY w1, w2 HAVING count(*) > 1),
+        starts AS (SELECT r, p FROM places SEMI JOIN twice USING (w1, w2)),
+        parted AS (
+            SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400, true) AS fresh FROM starts
+        ), numbered AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM parted),
+        spans AS (SELECT r, min(p) AS a, max(p) + 400 AS e FROM numbered GROUP BY r, k),
+        gaps AS (
+            SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS e FROM spans
+            UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r
+        ), kept AS (
+            SELECT r, string_agg(CASE WHEN e IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (e - a)) END, '' ORDER BY a) AS x
+            FROM gaps JOIN d USING (r) GROUP BY r
+        ), lost AS (SELECT r, sum(e - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+        SELECT doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+    """,
     "op13_spelling_variants": f"""
         WITH RECURSIVE runs AS (
             SELECT DISTINCT ON (doc_id, run) doc_id, run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
