@@ -13,6 +13,7 @@ from clickloom.llm.fixity import FILE_RECORDS, FixityAudit, warc_records
 from clickloom.llm.jaccard_join import JaccardJoin
 from clickloom.llm.pieces_sampling import PieceSampler
 from clickloom.llm.pii import PiiFinder
+from clickloom.llm.prefix_trie import PrefixTrie
 from clickloom.llm.quality import QualityClassifier
 from clickloom.llm.spelling import SpellingVariants
 from clickloom.llm.suffix_dedup import SuffixDedup
@@ -73,6 +74,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(width=4, percent=85).classes(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PrefixTrie().nodes(read(spark, sf_dir, "conversations"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SuffixDedup().report(read(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_backoff_scores,
         op10_jaccard_join,
+        op11_prefix_trie,
         op12_suffix_dedup,
         op13_spelling_variants,
     )
@@ -214,10 +220,42 @@ ORACLE: dict[str, str] = {
                round(d.s / d.n, 6) AS mean_log_score
         FROM documents LEFT JOIN d USING (doc_id)
     """,
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                   dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS kind
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT c, list(kind ORDER BY pos) AS s, {_crc32("c::VARCHAR")} % 9 AS h, c - c % 5 AS base FROM t GROUP BY c
+        ), rebuilt AS (
+            SELECT own.c, list_concat(coalesce(list_slice(b.s, 1, own.h), []::BIGINT[]), list_slice(own.s, own.h + 1, len(own.s))) AS s
+            FROM own LEFT JOIN own b ON b.c = own.base
+        ), members AS (
+            SELECT c, d, list_slice(s, 1, d) AS k, len(s) = d AS ends
+            FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)
+        ), n AS (
+            SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY k, d
+        ), kinds AS (SELECT DISTINCT kind, strlen(text) AS bytes FROM t),
+        v AS (SELECT n.*, (n_convs - 1) * coalesce(bytes, 0) AS saved FROM n LEFT JOIN kinds ON kinds.kind = n.k[n.d]),
+        links AS (SELECT p.k, x.k AS below FROM v p JOIN v x ON x.d = p.d + 1 AND list_slice(x.k, 1, p.d) = p.k),
+        fan AS (SELECT k, count(*) AS n_children FROM links GROUP BY k),
+        subtree AS (
+            SELECT a.k, count(*) FILTER (x.n_children IS NULL) AS n_leaves, sum(x.saved) AS saved_tokens
+            FROM v a JOIN (SELECT v.*, n_children FROM v LEFT JOIN fan USING (k)) x
+                ON x.d >= a.d AND list_slice(x.k, 1, a.d) = a.k
+            GROUP BY a.k
+        )
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs,
+               coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM v LEFT JOIN fan USING (k) JOIN subtree USING (k) LEFT JOIN links ON links.below = v.k LEFT JOIN v p ON p.k = links.k
+    """,
     "op12_suffix_dedup": """
-        WITH d AS (
+        WITH d AS MATERIALIZED (
             SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
-        ), places AS (
+        ), places AS MATERIALIZED (
             SELECT r, p, hash(substr(x, 2 * p + 1, 800)) AS w1, hash(substr(x, 2 * p + 1, 800) || '.') AS w2
             FROM (SELECT r, x, unnest(range(len(x) // 2 - 399)) AS p FROM d WHERE len(x) >= 800)
         ), twice AS (SELECT w1, w2 FROM places GROUP BY w1, w2 HAVING count(*) > 1),

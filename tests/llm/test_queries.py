@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == [*range(1, 11), 12, 13]
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= queries().keys() and ORACLE.keys() <= oracle_sql().keys()
 
 
