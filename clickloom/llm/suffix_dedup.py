@@ -11,7 +11,8 @@ sorting can tell something:
 3. The suffixes of all other contexts, one of each kind with its number, are range-partitioned by their leads
    with sampled splitters. Every bucket sorts its suffixes by multikey quicksort, eight bytes at a time; those
    still together after ``length`` bytes are equal. Leads that a splitter cuts, which are those too common for
-   one bucket, are compared across the boundary suffix by suffix, so no group has to fit into a task.
+   one bucket, are compared across the boundary: in pieces of a few starts, which mostly are all alike or alone,
+   and suffix by suffix where they are not. So no group has to fit into a task.
 
 Contexts, texts and, across boundaries, suffixes are told apart by 128 bits of a cryptographic hash.
 """
@@ -38,6 +39,10 @@ _STRETCH = 1 << 20
 # bytes of contexts in a bucket of suffixes
 _BUCKET_BYTES = 1 << 22
 
+# starts in a piece of a context that is compared across boundaries: a context has about 128, and most of its
+# pieces need no closer look, so about the root of that keeps pieces and closer looks equally few
+_PIECE = 8
+
 # leads cut by splitters, at most one for each bucket, that may be broadcast
 _CUT_ROWS = 100_000
 
@@ -126,7 +131,7 @@ def _anchor_rows(length: int, window: int):
     return tidy(scan)
 
 
-_CONTEXTS = "d1 bigint, d2 bigint, n bigint, starts int, lead binary, content binary"
+_CONTEXTS = "d1 bigint, d2 bigint, n bigint, starts int, anchor int, lead binary, content binary"
 
 
 def _cut_contexts(length: int, window: int):
@@ -141,12 +146,12 @@ def _cut_contexts(length: int, window: int):
                 for w in wanted:
                     at, anchor = w["place"], w["place"] + w["anchor"]
                     content = raw[at : at + w["starts"] - 1 + length]
-                    out.append((w["d1"], w["d2"], w["n"], w["starts"], raw[anchor : anchor + lead], content))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 6
+                    out.append((w["d1"], w["d2"], w["n"], w["starts"], w["anchor"], raw[anchor : anchor + lead], content))
+            kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.binary()] * 2]
+            columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["d1", "d2", "n", "starts", "lead", "content"],
+                ["d1", "d2", "n", "starts", "anchor", "lead", "content"],
             )
 
     return tidy(cut)
@@ -357,18 +362,53 @@ class SuffixDedup:
         return write_table(inside.unionByName(across), "marks")
 
     def _across(self, contexts: DataFrame) -> DataFrame:
-        """The same for contexts whose leads stand in several buckets: every suffix is counted by itself."""
-        suffix = F.unhex(F.left(F.sha2(F.expr(f"substring(content, at + 1, {self.length})"), 256), F.lit(32)))
+        """The same for contexts whose leads stand in several buckets.
+
+        A piece holds starts at like distances from their anchors. Its core is what all of its strings share:
+        pieces whose core is seen once hold nothing that repeats, and where all pieces of a core are the same,
+        all of their starts do. Only the strings of other pieces, one of each kind, are counted by themselves.
+        """
+        length, size = self.length, min(_PIECE, self.length)
+        numbers = f"sequence(int((anchor - starts + 1) div {size}), int(anchor div {size}))"
+        parted = contexts.select("*", F.explode(F.expr(numbers)).alias("part")).selectExpr(
+            "*",
+            f"greatest(0, anchor - part * {size} - {size - 1}) AS low",
+            f"least(starts - 1, anchor - part * {size}) AS high",
+        )
+        pieces = write_table(
+            parted.select(
+                "d1", "d2", "n", "part", "low", "high", F.expr("anchor - low").alias("reach"),
+                _named(f"substring(content, anchor - part * {size} + 1, {length - size + 1})").alias("core"),
+                _named(f"substring(content, low + 1, high - low + {length})").alias("whole"),
+            ),
+            "pieces",
+        )
+        alike = (F.min("whole") == F.max("whole")) & (F.min("reach") == F.max("reach"))
+        cores = write_table(
+            pieces.groupBy("part", "core").agg(F.sum("n").alias("n"), (~alike).alias("mixed")).where("n > 1").drop("n"),
+            "cores",
+        )
+        shared = write_table(pieces.join(cores, ["part", "core"]), "shared-pieces")
+        mixed, kind = shared.where("mixed"), ["part", "reach", "whole"]
+        kinds = mixed.groupBy(*kind).agg(F.sum("n").alias("n"), F.min(F.struct("d1", "d2", "low", "high")).alias("at"))
+        strings = kinds.select(*kind, "n", "at.*").join(contexts.select("d1", "d2", "content"), ["d1", "d2"])
         every = write_table(
-            contexts.select("d1", "d2", "n", "content", F.explode(F.expr("sequence(0, starts - 1)")).alias("at"))
-            .select("d1", "d2", "n", "at", suffix.alias("suffix")),
+            strings.select(*kind, "n", "low", "content", F.explode(F.expr("sequence(low, high)")).alias("at")).select(
+                *kind, "n", F.expr("at - low").alias("step"), _named(f"substring(content, at + 1, {length})").alias("suffix")
+            ),
             "cut-suffixes",
         )
         often = write_table(
             every.groupBy("suffix").agg(F.sum("n").alias("n")).where("n > 1").select("suffix"), "repeated-suffixes"
         )
-        return (
-            every.join(often, "suffix")
-            .groupBy("d1", "d2")
-            .agg(F.min("at").cast("int").alias("first"), F.max("at").cast("int").alias("last"))
+        steps = every.join(often, "suffix").groupBy(*kind).agg(F.min("step").alias("first"), F.max("step").alias("last"))
+        found = mixed.join(steps, kind).selectExpr("d1", "d2", "low + first AS first", "low + last AS last")
+        sure = shared.where("NOT mixed").selectExpr("d1", "d2", "low AS first", "high AS last")
+        return sure.unionByName(found).groupBy("d1", "d2").agg(
+            F.min("first").cast("int").alias("first"), F.max("last").cast("int").alias("last")
         )
+
+
+def _named(content: str) -> Column:
+    """128 bits of the SHA-256 of some bytes."""
+    return F.unhex(F.left(F.sha2(F.expr(content), 256), F.lit(32)))

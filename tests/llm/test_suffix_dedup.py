@@ -37,7 +37,7 @@ def texts(seed, n, size, letters="ab é"):
     return [*rows, rows[1], (None, rows[2][1]), (n, ""), (n + 1, None), (n + 2, "a" * 3 * size), (n + 3, "ab" * size)]
 
 
-@pytest.mark.parametrize(("length", "bucket"), [(12, 1 << 22), (12, 3_000), (50, 1 << 22), (50, 20_000)])
+@pytest.mark.parametrize(("length", "bucket"), [(5, 1_000), (12, 1 << 22), (12, 3_000), (50, 1 << 22), (50, 20_000)])
 def test_like_brute_force(spark, docs_of, length, bucket):
     rows = texts(length, 60, 3 * length)
     docs = docs_of(rows, "row string, n_bytes bigint, starts string, places string")
