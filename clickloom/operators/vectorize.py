@@ -7,7 +7,7 @@ row-local expression, so no operator here shuffles.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,41 +117,75 @@ def vectorize_positional(
     )
 
 
+def positional_columns(df: DataFrame, fields: str, roles: ColumnRoles, keep: Sequence[str] = ()) -> DataFrame:
+    """The fields of an array of text as columns named by position; categories that are zero are missing."""
+
+    def text(position: str) -> Column:
+        return F.element_at(F.col(fields), int(position) + 1)
+
+    return df.select(
+        roles.id,
+        *keep,
+        text(roles.target).alias(roles.target),
+        *[text(p).alias(p) for p in roles.numeric],
+        *[F.when(text(p).cast("int") != 0, text(p)).alias(p) for p in roles.categorical],
+    )
+
+
 @dataclass(frozen=True)
 class OneHotIndex:
-    """A dictionary that numbers every (column, value) pair seen in fitting: the way without hashing."""
+    """A dictionary that numbers every (column, value) pair seen in fitting: the way without hashing.
+
+    ``positional`` is for columns of ``positional_columns``: missing categories have no number, and numbers
+    that are not positive no cell; ``offset`` is added to those that stay.
+    """
 
     roles: ColumnRoles
     entries: Dictionary
+    positional: bool = False
+    offset: float = 0.0
 
     @staticmethod
-    def fit(df: DataFrame, roles: ColumnRoles) -> OneHotIndex:
+    def fit(df: DataFrame, roles: ColumnRoles, *, positional: bool = False, offset: float = 0.0) -> OneHotIndex:
         """Number the distinct pairs in (column, value) order, behind the slots of the numbers."""
-        numbered = running(
-            value_counts(df, roles.categorical), ["feature", "value"], number="_number"
-        )
-        first = len(roles.numeric) - 1
-        table = numbered.select(
-            "feature", "value", "cnt", (F.col("_number") + first).cast("int").alias("idx")
-        )
-        return OneHotIndex(roles, Dictionary.write(table, "one-hot"))
+        pairs = _pairs(df, roles, positional)
+        entries = Dictionary.write(_numbered_from(pairs, len(roles.numeric)), "one-hot")
+        return OneHotIndex(roles, entries, positional, offset)
+
+    def refit(self, df: DataFrame) -> OneHotIndex:
+        """The index grown by the pairs of ``df`` that it lacks, numbered behind the others; no number changes.
+
+        How often a pair occurs, which only tells hot ones from cold ones in large lookups, stays as first seen.
+        """
+        known = self.entries.table.select("feature", "value")
+        new = _pairs(df, self.roles, self.positional).join(known, ["feature", "value"], "left_anti")
+        return replace(self, entries=self.entries.grown(_numbered_from(new, self.slots), "one-hot"))
 
     @property
     def slots(self) -> int:
         """Number of feature slots; the measured size of a model over them."""
-        return len(self.roles.numeric) + self.entries.table.count()
+        return len(self.roles.numeric) + self.entries.entries
 
     def transform(
-        self, df: DataFrame, keep: Sequence[str] = (), broadcast_rows: int = BROADCAST_ROWS
+        self,
+        df: DataFrame,
+        keep: Sequence[str] = (),
+        broadcast_rows: int = BROADCAST_ROWS,
+        spread: Sequence[str] = (),
     ) -> DataFrame:
-        """Sparse rows (row_id, keep..., y, features); pairs not seen in fitting have no cell."""
+        """Sparse rows (row_id, keep..., y, features); pairs not seen in fitting have no cell.
+
+        ``spread`` names columns that differ from row to row, where the id does not.
+        """
         roles = self.roles
         nowhere = {"idx": F.lit(None).cast("int")}
         wide, found = self.entries.lookup(
-            df, roles.categorical, {"idx": F.col("idx")}, nowhere, roles.id, broadcast_rows
+            df, roles.categorical, {"idx": F.col("idx")}, nowhere, spread or roles.id, broadcast_rows
         )
+        values = [_required(F.col(c).cast("double"), c) for c in roles.numeric]
         numbers = [
-            cell(F.lit(i), _required(F.col(c).cast("double"), c)) for i, c in enumerate(roles.numeric)
+            F.when(v > 0, cell(F.lit(i), v + self.offset)) if self.positional else cell(F.lit(i), v)
+            for i, v in enumerate(values)
         ]
         ones = [
             F.when(found[c]["idx"].isNotNull(), cell(found[c]["idx"], F.lit(1.0)))
@@ -165,6 +199,17 @@ class OneHotIndex:
         )
 
 
+def _pairs(df: DataFrame, roles: ColumnRoles, positional: bool) -> DataFrame:
+    """Distinct (feature, value) pairs with their counts."""
+    counted = value_counts(df, roles.categorical)
+    return counted.where("value <> ''") if positional else counted
+
+
+def _numbered_from(pairs: DataFrame, first: int) -> DataFrame:
+    numbered = running(pairs, ["feature", "value"], number="_number")
+    return numbered.select("feature", "value", "cnt", (F.col("_number") + first - 1).cast("int").alias("idx"))
+
+
 def cells(rows: DataFrame) -> DataFrame:
     """Long form of sparse rows: one row per cell, (other columns..., idx, x).
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.operators import metrics, splits, trees
-from clickloom.options import BoostingParams
+from clickloom.operators import ftrl, metrics, splits, trees
+from clickloom.options import BoostingParams, ColumnRoles, LearnerOptions
 from clickloom.plans.ctr import two_stage
 from clickloom.plans.learner import OnlineLearner
 from clickloom.session import new_path, write_table
-from clickloom.sources.sinks import write_csv
+from clickloom.sources.sinks import write_csv, write_lines
 from clickloom.sources.tables import EVENT_FEATURES, EVENT_ROLES, click_events
+from clickloom.sources.text import join_fields
 
 TOLERANCE = 1e-9
 
+# steps of an epoch where the log itself does not name them
+ORDERED_STEPS = 4
+
 
 def gbdt_consistency(spark: SparkSession, sf_dir: str, encoded: DataFrame, inputs: list[str]) -> DataFrame:
     """Rows, and how many of them disagree with the trained trees read as a table of nodes.
@@ -102,3 +106,37 @@ def learner_csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_csv(click_events(spark, sf_dir).select("event_id", "click", "hour", "user_id", "k", "batch"), path)
     learner = OnlineLearner(spark, EVENT_ROLES, batch="batch").fit_csv(path)
     return learner.evaluate_csv(path).select("rows", "logloss", "auc")
+
+
+def learner_csv_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model of the file learner on a CSV that names no steps and whose ids are all the same."""
+    path = new_path(spark, "learner-csv")
+    log = click_events(spark, sf_dir).orderBy("event_id")
+    write_csv(log.select(F.lit("same").alias("event_id"), "click", "hour", "user_id", "k"), path)
+    return ftrl.model_of(OnlineLearner(spark, EVENT_ROLES, batches=ORDERED_STEPS).fit_csv(path).state)
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Path of headerless lines label,hour,user,k in order of the events."""
+    path = new_path(spark, "learner-lines")
+    line = join_fields(F.col("click"), F.col("hour"), F.col("user_id"), F.col("k"))
+    write_lines(click_events(spark, sf_dir).orderBy("event_id").select(line.alias("value")), path)
+    return path
+
+
+LINE_ROLES = ColumnRoles("0", "id", (), ("1", "2", "3"))
+
+
+def learner_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, log loss and AUC of the learner on a headerless file, learned in the file's order."""
+    path = event_lines(spark, sf_dir)
+    learner = OnlineLearner(spark, LINE_ROLES, batches=ORDERED_STEPS).fit_file(path)
+    return learner.evaluate_file(path).select("rows", "logloss", "auc")
+
+
+def learner_file_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model of the learner on a headerless file without hashing, fitted on it twice."""
+    path = event_lines(spark, sf_dir)
+    options = LearnerOptions(hash_trick=False, epochs=1)
+    learner = OnlineLearner(spark, LINE_ROLES, options=options, batches=ORDERED_STEPS)
+    return ftrl.model_of(learner.fit_file(path).fit_file(path).state)

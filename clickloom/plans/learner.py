@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,25 +10,24 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.scalar import LOGISTIC, Loss
 from clickloom.operators import ftrl, metrics
-from clickloom.operators.vectorize import OneHotIndex, vectorize_named, vectorize_positional
+from clickloom.operators.vectorize import OneHotIndex, positional_columns, vectorize_named, vectorize_positional
 from clickloom.options import ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.session import write_table
-from clickloom.sources.sinks import submission, write_csv
-from clickloom.sources.text import read_by_name, read_lines, split_fields
+from clickloom.sources.records import PLACE, numbered, read_lines_in_place
+from clickloom.sources.sinks import write_submission
+from clickloom.sources.text import read_by_name, split_fields
 
-
-# without a number of steps: rows of a step at most, and steps of an epoch at least
-STEP_ROWS = 100_000
-LEAST_STEPS = 8
+# steps of an epoch: each learns this share of the log, whatever its size
+STEPS = 32
 
 
 @dataclass
 class OnlineLearner:
     """FTRL over headered CSV (columns by name) or headerless comma text (columns by position).
 
-    ``batches`` is how many learning steps an epoch has; by default steps have a set size. Rows are dealt to them by the hash of their id, or
-    in order of the column ``batch`` where the log has one. Bare files have no id; their rows are numbered
-    when they are read.
+    Rows are learned in the order of their files (files by name), in ``batches`` steps an epoch: each takes
+    the next run of rows, of the same length whatever the size of the log, so ids may repeat or be missing.
+    Where the log has a column for it, ``batch`` orders the steps instead.
     """
 
     spark: SparkSession
@@ -36,7 +35,7 @@ class OnlineLearner:
     params: FtrlParams = FtrlParams()
     options: LearnerOptions = LearnerOptions()
     loss: Loss = LOGISTIC
-    batches: int | None = None
+    batches: int = STEPS
     batch: str | None = None
     step: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     state: DataFrame | None = None
@@ -53,20 +52,24 @@ class OnlineLearner:
     def fit_csv(self, path: str) -> OnlineLearner:
         log = self._csv(path)
         if not self.options.hash_trick:
-            self.index = OneHotIndex.fit(log, self.roles)
-        return self._fit(self._named(log, [self.batch] if self.batch else []))
+            self.index = self.index.refit(log) if self.index else OneHotIndex.fit(log, self.roles)
+        return self._fit(self._named(log, [self.batch] if self.batch else PLACE))
 
     def fit_file(self, path: str) -> OnlineLearner:
-        return self._fit(self._positional(path))
+        lines = self._lines(path)
+        if not self.options.hash_trick:
+            columns = positional_columns(lines, "fields", self.roles)
+            self.index = self.index.refit(columns) if self.index else OneHotIndex.fit(columns, self.roles, positional=True)
+        return self._fit(self._positional(lines, PLACE))
 
     def _fit(self, rows: DataFrame) -> OnlineLearner:
         if self.batch:
             rows = rows.withColumnRenamed(self.batch, "batch")
         else:
-            rows = write_table(rows, "rows")
-            steps = self.batches or max(LEAST_STEPS, -(-rows.count() // STEP_ROWS))
-            dealt = F.pmod(F.xxhash64("row_id"), F.lit(steps))
-            rows = rows.withColumn("batch", dealt)
+            # the place depends on how files are split, the number does not
+            rows = numbered(write_table(rows, "rows"), "_number")
+            per_step = max(1, -(-rows.count() // self.batches))
+            rows = rows.withColumn("batch", F.expr(f"int(_number div {per_step})")).drop("_number")
         self.state = ftrl.fit(
             rows, "batch", self.learner, epochs=self.options.epochs, state=self.state, step=self.step
         )
@@ -84,15 +87,17 @@ class OnlineLearner:
         cut = self.base_rate()
         return metrics.predicted_class(self.predict_probability(path), "probability", cut).select("id", "class")
 
-    def write_submission(self, path: str, out: str) -> None:
-        """Write ``id,click`` for a headered CSV."""
-        write_csv(submission(self.predict_probability(path), "id"), out)
+    def write_submission(self, path: str, out: str, *, single_file: bool = False) -> None:
+        """Write ``id,click`` for a headered CSV, in the order of its rows."""
+        rows = self._named(self._csv(path), PLACE)
+        scored = write_table(self.learner.labelled_scores(rows, self._fitted(), ["row_id", *PLACE]), "scores")
+        write_submission(numbered(scored, "number"), out, number="number", single_file=single_file)
 
     def evaluate_csv(self, path: str) -> DataFrame:
         return self._evaluate(self._named(self._csv(path)))
 
     def evaluate_file(self, path: str) -> DataFrame:
-        return self._evaluate(self._positional(path))
+        return self._evaluate(self._positional(self._lines(path)))
 
     def _evaluate(self, rows: DataFrame) -> DataFrame:
         """One row (auc, accuracy at the base rate, logloss, rows)."""
@@ -111,20 +116,23 @@ class OnlineLearner:
         return self.state
 
     def _csv(self, path: str) -> DataFrame:
-        log = read_by_name(self.spark, path)
+        log = read_by_name(self.spark, path, place=True)
         if self.roles.target not in log.columns:
             log = log.withColumn(self.roles.target, F.lit(None).cast("int"))
         return log
 
     def _named(self, log: DataFrame, keep: list[str] | None = None) -> DataFrame:
         if self.index is not None:
-            return self.index.transform(log, keep or [])
+            return self.index.transform(log, keep or [], spread=PLACE)
         return vectorize_named(log, self.roles, self.options, keep or [])
 
-    def _positional(self, path: str) -> DataFrame:
-        lines = split_fields(read_lines(self.spark, path))
-        # the numbers depend on the file splits; writing them down fixes them for every later read
-        numbered = write_table(
-            lines.select(F.monotonically_increasing_id().alias(self.roles.id), "fields"), "lines"
-        )
-        return vectorize_positional(numbered, "fields", self.roles, self.options)
+    def _lines(self, path: str) -> DataFrame:
+        lines = split_fields(read_lines_in_place(self.spark, path))
+        # rows of a bare file have no id
+        return lines.withColumn(self.roles.id, F.lit(None).cast("string"))
+
+    def _positional(self, lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        if self.index is not None:
+            columns = positional_columns(lines, "fields", self.roles, PLACE)
+            return self.index.transform(columns, keep, spread=PLACE)
+        return vectorize_positional(lines, "fields", self.roles, self.options, keep)

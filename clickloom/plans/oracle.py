@@ -127,7 +127,31 @@ cl as materialized (
   group by 1, 2, 3)
 """
 
+# steps are runs of rows in order of the events
+ORDERED = """
+numbered as (
+  select *, (row_number() over (order by event_id) - 1) // ((count(*) over () + 3) // 4) as run from ev)
+"""
+
+ORDERED_CELLS = f"""{EVENTS}, {ORDERED},
+rws as materialized (select event_id as row_id, run as batch, click as y from numbered),
+cells as materialized (
+  select row_id, batch, y, {slot("feature || '_' || value")} as idx, count(*)::double as x
+  from ({unfold("numbered", ["hour", "user_id", "k"], "event_id as row_id, run as batch, click as y")})
+  group by 1, 2, 3, 4)
+"""
+
+LINE_CELLS = f"""{EVENTS}, {ORDERED},
+rws as materialized (select event_id as row_id, run as batch, click as y from numbered),
+cells as materialized (
+  select row_id, batch, y, {slot("p || '_' || v::varchar")} as idx, count(*)::double as x
+  from (select event_id as row_id, run as batch, click as y, unnest(['1', '2', '3']) as p,
+               unnest([hour::int, user_id::int, k::int]) as v from numbered)
+  where v <> 0 group by 1, 2, 3, 4)
+"""
+
 ALL_ROWS = ["true"]
+ORDERED_EPOCHS = [f"batch = {k}" for k in range(4)] * 2
 # rows without a time come first; a step without rows changes nothing
 ONE_EPOCH = ["batch is null", "batch = 0", "batch = 1", "batch = 2", "batch = 3"]
 TWO_EPOCHS = ONE_EPOCH * 2
@@ -215,6 +239,9 @@ ORACLE = {
         from events where event_type <> 'signup'""",
     "csv_files_read": f"""
         select p_partkey, p_name || ', "' || p_brand || '"' as title, {whole("p_size")} from part""",
+    "csv_breaks_read": f"""
+        select o_orderkey, o_orderpriority || chr(10) || '"as, it, is"' || chr(10) || o_orderdate::varchar as note,
+               {real("o_totalprice", "o_totalprice")} from orders""",
     "text_files_read": f"""
         with {EVENTS} select {whole("click")}, {whole("hour")}, user_id, k, event_id from ev""",
     "explode_features": f"""
@@ -257,6 +284,27 @@ ORACLE = {
     "onehot_index": f"""
         with {EVENTS} select feature, value, {whole("cnt")}, {whole("idx")}
         from ({pairs_with_number("ev", ["hour", "user_id", "k"], 0)})""",
+    "onehot_refit": f"""
+        with {EVENTS}, early as (select * from ev where batch = 0),
+        old as ({pairs_with_number("early", ["hour", "user_id", "k"], 0)}),
+        late as (
+          select * from ({pairs_with_number("ev", ["hour", "user_id", "k"], 0)}) a
+          where not exists (select 1 from old where old.feature = a.feature and old.value = a.value))
+        select feature, value, {whole("idx")} from old
+        union all
+        select feature, value, (select count(*) from old) + row_number() over (order by feature, value) - 1 from late""",
+    "onehot_positional": f"""
+        with {EVENTS},
+        lg as (
+          select event_id, click, unnest(['1', '2', '3']) as feature, unnest([hour::varchar, user_id::varchar, k]) as value
+          from ev),
+        dc as (
+          select feature, value, row_number() over (order by feature, value) as idx
+          from (select distinct feature, value from lg where value::int <> 0))
+        {LONG_OUT} (
+          select event_id as row_id, click::double as y, 0 as idx, value - 1 as x from ev where value - 1 > 0
+          union all
+          select event_id, click::double, idx, 1::double from lg join dc using (feature, value))""",
     "onehot_vector": f"""
         with {ORDERS},
         lg as ({unfold("oc", ["o_orderpriority", "c_mktsegment", "c_nationkey"], "o_orderkey as row_id, finished as y")}),
@@ -339,6 +387,10 @@ ORACLE = {
         with {EVENT_CELLS}, {ftrl_steps(ALL_ROWS)} select {whole("idx")}, {real(WEIGHT, "w")} from m1""",
     "ftrl_score": f"{SCORES} select row_id, {real('p', 'probability')} from scores",
     "submission": f"{SCORES} select row_id::varchar as id, {real('p', 'click')} from scores",
+    "submission_lines": f"""{SCORES}
+        select 0::bigint as position, 'id' as id, null::double as click
+        union all
+        select row_number() over (order by row_id), row_id::varchar, round(p, 6) + 0.0 from scores""",
     "ftrl_fit_epochs": f"with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)} {MODEL} m10",
     "ftrl_progress": f"""
         with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)}, pr as ({progress(10)})
@@ -391,6 +443,26 @@ ORACLE = {
         select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
                {real("(" + auc("sr") + ")", "auc")}
         from sr""",
+    "learner_csv_in_order": f"with {ORDERED_CELLS}, {ftrl_steps(ORDERED_EPOCHS)} {MODEL} m8",
+    "learner_file_onehot": f"""
+        with {EVENTS}, {ORDERED},
+        rws as materialized (select event_id as row_id, run as batch, click as y from numbered),
+        lg as (
+          select event_id as row_id, run as batch, click as y, unnest(['1', '2', '3']) as feature,
+                 unnest([hour::varchar, user_id::varchar, k]) as value from numbered),
+        dc as (
+          select feature, value, row_number() over (order by feature, value) - 1 as idx
+          from (select distinct feature, value from lg where value::int <> 0)),
+        cells as materialized (select row_id, batch, y, idx, 1::double as x from lg join dc using (feature, value)),
+        {ftrl_steps(ORDERED_EPOCHS)} {MODEL} m8""",
+    "learner_file_report": f"""
+        with {LINE_CELLS}, {ftrl_steps(ORDERED_EPOCHS)}, wt as (select idx, {WEIGHT} as w from m8),
+        sr as (
+          select rws.row_id, rws.y as click, {sigmoid("coalesce(sum(x * coalesce(w, 0)), 0)")} as probability
+          from rws left join cells using (row_id) left join wt using (idx) group by rws.row_id, rws.y)
+        select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
+               {real("(" + auc("sr") + ")", "auc")}
+        from sr""",
     "ftrl_fit_by_segment": f"""
         with recursive {EVENT_CELLS_BY_SEGMENT},
         st as (

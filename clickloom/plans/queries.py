@@ -17,6 +17,7 @@ from clickloom.operators.vectorize import (
     POSITIONAL_OFFSET,
     OneHotIndex,
     cells,
+    positional_columns,
     vectorize_named,
     vectorize_positional,
 )
@@ -24,6 +25,7 @@ from clickloom.options import BoostingParams, ColumnRoles, FtrlParams, LearnerOp
 from clickloom.plans import checks
 from clickloom.plans.ctr import two_stage
 from clickloom.session import new_path, write_table
+from clickloom.sources.records import numbered, read_lines_in_place
 from clickloom.sources.sinks import submission, write_csv, write_lines, write_submission
 from clickloom.sources.staging import stage_in_order
 from clickloom.sources.tables import (
@@ -109,6 +111,15 @@ def csv_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, parts.schema)
 
 
+def csv_breaks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted fields with line breaks, read back in byte ranges."""
+    path = new_path(spark, "csv")
+    titled = F.concat_ws("\n", F.col("o_orderpriority"), F.lit('"as, it, is"'), F.col("o_orderdate").cast("string"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", titled.alias("note"), "o_totalprice")
+    write_csv(orders, path)
+    return read_csv(spark, path, orders.schema, multi_line=True)
+
+
 def text_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "lines")
     lines = click_events(spark, sf_dir).select(
@@ -208,6 +219,20 @@ def onehot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return OneHotIndex.fit(click_events(spark, sf_dir), EVENT_ROLES).entries.table
 
 
+def onehot_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the first training batch, grown by the whole log: old numbers stay."""
+    log = click_events(spark, sf_dir)
+    return OneHotIndex.fit(log.where("batch = 0"), EVENT_ROLES).refit(log).entries.table.select("feature", "value", "idx")
+
+
+def onehot_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by position without hashing: zero categories and numbers that are not positive have no cell."""
+    line = join_fields(F.col("click"), F.col("hour"), F.col("user_id"), F.col("k"), F.col("value") - 1)
+    lines = split_fields(click_events(spark, sf_dir).select("event_id", line.alias("value")))
+    columns = positional_columns(lines, "fields", LINE_ROLES)
+    return cells(OneHotIndex.fit(columns, LINE_ROLES, positional=True).transform(columns))
+
+
 def onehot_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = write_table(customer_orders(spark, sf_dir), "customer-orders")
     return cells(OneHotIndex.fit(orders, ORDER_ROLES).transform(orders))
@@ -378,6 +403,15 @@ def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, "id string, click double")
 
 
+def submission_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a submission file in order of the rows: one header, then the scores."""
+    path = f"{new_path(spark, 'submission')}/scores.csv"
+    write_submission(ftrl_score(spark, sf_dir), path, number="row_id", single_file=True)
+    lines = numbered(write_table(read_lines_in_place(spark, path), "lines"), "position")
+    fields = F.split("value", ",")
+    return lines.select("position", F.get(fields, F.lit(0)).alias("id"), F.get(fields, F.lit(1)).try_cast("double").alias("click"))
+
+
 def ftrl_fit_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.model_of(_state_after(spark, sf_dir, OPTIONS.epochs))
 
@@ -517,6 +551,7 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         csv_lines_parse,
         csv_files_read,
+        csv_breaks_read,
         text_files_read,
         q_explode_features,
         q_count_stats,
@@ -530,6 +565,8 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hash_vector_collisions,
         hash_vector_positional,
         onehot_index,
+        onehot_refit,
+        onehot_positional,
         onehot_vector,
         rank_rows,
         rank_rows_by_keys,
@@ -554,6 +591,7 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ftrl_weights,
         ftrl_score,
         q_submission,
+        submission_lines,
         ftrl_fit_epochs,
         ftrl_progress,
         ftrl_fit_by_segment,
@@ -571,6 +609,9 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         checks.random_split_counts,
         checks.learner_csv_scores,
         checks.learner_csv_report,
+        checks.learner_csv_in_order,
+        checks.learner_file_report,
+        checks.learner_file_onehot,
         ftrl_stream,
         ftrl_stream_metrics,
         stream_score,

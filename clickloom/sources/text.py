@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.sources.records import PLACE, read_records
+
 # fixed values: the columns of the click log, in file order
 CLICK_LOG_COLUMNS = [
     "id", "click", "hour", "C1", "banner_pos",
@@ -37,12 +39,14 @@ def read_csv(
 ) -> DataFrame:
     """Headered CSV with quoted fields and doubled quotes; a bad number is an error.
 
-    ``multi_line`` allows line breaks inside quotes; a file can then no longer be split over tasks.
+    ``multi_line`` allows line breaks inside quotes; files are split over tasks all the same, behind one scan
+    that counts quotes.
     """
+    if multi_line:
+        return _parsed(read_records(spark, path), schema, [])
     return (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .option("nullValue", _MISSING)
         .option("mode", "FAILFAST")
         .schema(schema)
@@ -50,19 +54,23 @@ def read_csv(
     )
 
 
-def read_by_name(spark: SparkSession, path: str) -> DataFrame:
-    """Headered CSV whose columns are taken by name, all as text; only the header is looked at first.
+def read_by_name(spark: SparkSession, path: str, *, place: bool = False) -> DataFrame:
+    """Headered CSV whose columns are taken by name, all as text; the first file's header names them.
 
-    Quoted fields may hold line breaks, and a row that does not fit the header is an error.
+    Quoted fields may hold line breaks, and a row that does not fit the header is an error. With ``place`` the
+    rows carry where they stand, for ``sources.records.numbered``.
     """
-    return (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("nullValue", _MISSING)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    names = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return _parsed(read_records(spark, path), schema, PLACE if place else [])
+
+
+def _parsed(records: DataFrame, schema: T.StructType | str, keep: Sequence[str]) -> DataFrame:
+    """Records below the header as columns."""
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    options = {"escape": '"', "nullValue": _MISSING, "mode": "FAILFAST"}
+    below = records.where("_block > 0 OR _place > 0")
+    return below.select(*keep, F.from_csv("record", ddl, options).alias("_fields")).select(*keep, "_fields.*")
 
 
 def read_click_log(spark: SparkSession, path: str) -> DataFrame:

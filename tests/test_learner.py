@@ -1,5 +1,6 @@
 import pytest
 
+from clickloom.operators.vectorize import OneHotIndex
 from clickloom.options import ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.plans.learner import OnlineLearner
 from clickloom.sources.text import read_by_name
@@ -51,3 +52,47 @@ def test_positional_file(spark, tmp_path):
 def test_unfitted_learner_says_so(spark, log_path):
     with pytest.raises(ValueError, match="fit the learner first"):
         OnlineLearner(spark, ROLES).predict_probability(log_path)
+
+
+@pytest.mark.parametrize("single_file", [False, True])
+def test_submission_keeps_the_order_of_the_input(spark, tmp_path, single_file):
+    ids = [(i * 7919) % 1000 for i in range(1000)]
+    (tmp_path / "log.csv").write_text("id,click,site,app,n\n" + "".join(f"{i},{i % 2},s{i % 3},a,1\n" for i in ids))
+    model = OnlineLearner(spark, ROLES, PARAMS, LearnerOptions(epochs=1), batches=1).fit_csv(str(tmp_path / "log.csv"))
+    model.write_submission(str(tmp_path / "log.csv"), f"{tmp_path}/out", single_file=single_file)
+    out = tmp_path / "out"
+    files = [out] if single_file else sorted(out.glob("part-*"))
+    lines = "".join(p.read_text() for p in files).splitlines()
+    assert lines[0] == "id,click" and [int(x.split(",")[0]) for x in lines[1:]] == ids
+
+
+def test_refit_keeps_the_numbers_of_the_first_fit(spark, tmp_path):
+    for name, sites in (("one", "bd"), ("two", "abcd")):
+        rows = "".join(f"{i},{i % 2},{sites[i % len(sites)]},x,1\n" for i in range(200))
+        (tmp_path / name).write_text("id,click,site,app,n\n" + rows)
+    model = OnlineLearner(spark, ROLES, PARAMS, LearnerOptions(hash_trick=False, epochs=1), batches=2)
+    numbers = []
+    for name in ("one", "two", "two"):
+        model.fit_csv(str(tmp_path / name))
+        numbers.append({(r["feature"], r["value"]): r["idx"] for r in model.index.entries.table.collect()})
+    assert numbers[0] == {("app", "x"): 1, ("site", "b"): 2, ("site", "d"): 3}
+    assert numbers[1] == numbers[2] == numbers[0] | {("site", "a"): 4, ("site", "c"): 5}
+    assert model.learner.slots == 6
+
+
+def test_many_refits_leave_one_dictionary(spark):
+    index = None
+    for k in range(12):
+        df = spark.createDataFrame([(1, 0, 1.0, f"s{k}", "a")], "id int, click int, n double, site string, app string")
+        index = index.refit(df) if index else OneHotIndex.fit(df, ROLES)
+    assert {r["value"]: r["idx"] for r in index.entries.table.where("feature = 'site'").collect()} == {f"s{k}": k + 2 for k in range(12)}
+    assert index.entries.parts < 12 and index.slots == 14
+
+
+def test_positional_file_without_hashing(spark, tmp_path):
+    (tmp_path / "leaf").write_text("".join(f"{int(i % 4 == 0)},{int(i % 4 == 0)},{int(i % 4 != 0)},{i % 3 - 1}\n" for i in range(200)))
+    roles = ColumnRoles("0", "id", ("3",), ("1", "2"))
+    model = OnlineLearner(spark, roles, PARAMS, LearnerOptions(hash_trick=False), batches=2).fit_file(str(tmp_path))
+    assert {(r["feature"], r["value"], r["idx"]) for r in model.index.entries.table.collect()} == {("1", "1", 1), ("2", "1", 2)}
+    report = model.evaluate_file(str(tmp_path)).first()
+    assert (report["auc"], report["rows"]) == (1.0, 200)
