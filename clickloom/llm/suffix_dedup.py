@@ -401,7 +401,11 @@ class SuffixDedup:
         often = write_table(
             every.groupBy("suffix").agg(F.sum("n").alias("n")).where("n > 1").select("suffix"), "repeated-suffixes"
         )
-        steps = every.join(often, "suffix").groupBy(*kind).agg(F.min("step").alias("first"), F.max("step").alias("last"))
+        # written, so that a kind of many pieces can be split where they meet
+        steps = write_table(
+            every.join(often, "suffix").groupBy(*kind).agg(F.min("step").alias("first"), F.max("step").alias("last")),
+            "repeated-steps",
+        )
         found = mixed.join(steps, kind).selectExpr("d1", "d2", "low + first AS first", "low + last AS last")
         sure = shared.where("NOT mixed").selectExpr("d1", "d2", "low AS first", "high AS last")
         return sure.unionByName(found).groupBy("d1", "d2").agg(
