@@ -178,6 +178,70 @@ def train(p: Params, symbols: np.ndarray, lengths: np.ndarray, tags: np.ndarray,
     return p
 
 
+# steps of one segment of a long sequence
+_SEGMENT = 512
+
+
+def viterbi_long(e: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The best tags of one long sequence (steps, tags): its segments are worked on side by side.
+
+    For each tag that may stand before a segment the best scores behind it are found, these are chained, and
+    with the tags at the edges known each segment is traced by itself. Memory is linear, and small, in the steps.
+    """
+    steps, tags = e.shape
+    n = -(-steps // _SEGMENT)
+    lengths = np.full(n, _SEGMENT)
+    lengths[-1] = steps - (n - 1) * _SEGMENT
+    padded = np.zeros((n * _SEGMENT, tags), e.dtype)
+    padded[:steps] = e
+    parts = padded.reshape(n, _SEGMENT, tags)
+    ends = np.empty((n, tags, tags), np.float64)
+    group = max(1, 65_536 // (tags * tags))
+    for a in range(0, n, group):
+        own = parts[a : a + group]
+        best = transition[None].astype(np.float64) + own[:, 0][:, None, :]
+        for t in range(1, _SEGMENT):
+            moved = (best[:, :, :, None] + transition[None, None]).max(axis=2) + own[:, t][:, None, :]
+            best = np.where((t < lengths[a : a + group])[:, None, None], moved, best)
+        ends[a : a + group] = best
+    came = np.zeros((n, tags), np.int64)
+    # nothing stands before the first segment
+    reach = _through(parts[0], transition, lengths[0])
+    for k in range(1, n):
+        paths = reach[:, None] + ends[k]
+        came[k] = paths.argmax(axis=0)
+        reach = paths.max(axis=0)
+    last = np.empty(n, np.int64)
+    last[-1] = int(reach.argmax())
+    for k in range(n - 1, 0, -1):
+        last[k - 1] = came[k, last[k]]
+    out = np.empty((n, _SEGMENT), np.int8)
+    for a in range(0, n, group * tags):
+        own = parts[a : a + group * tags]
+        rows = np.arange(len(own))
+        before = np.concatenate([[0], last])[a : a + len(own)]
+        best = np.where((rows + a == 0)[:, None], 0.0, transition[before]) + own[:, 0]
+        back = np.empty((_SEGMENT, len(own), tags), np.int8)
+        for t in range(1, _SEGMENT):
+            reached = best[:, :, None] + transition[None]
+            back[t] = reached.argmax(axis=1)
+            best = np.where((t < lengths[a : a + len(own)])[:, None], reached.max(axis=1) + own[:, t], best)
+        tag = last[a : a + len(own)]
+        for t in range(_SEGMENT - 1, -1, -1):
+            out[a : a + len(own), t] = tag
+            if t:
+                tag = np.where(t < lengths[a : a + len(own)], back[t][rows, tag], tag)
+    return out.reshape(-1)[:steps]
+
+
+def _through(e: np.ndarray, transition: np.ndarray, steps: int) -> np.ndarray:
+    """Best scores behind the first ``steps`` of a segment that begins a sequence."""
+    best = e[0].astype(np.float64)
+    for t in range(1, steps):
+        best = (best[:, None] + transition).max(axis=0) + e[t]
+    return best
+
+
 def viterbi(e: np.ndarray, transition: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(steps, batch) best tags; padding gets the last real tag."""
     steps, batch, _ = e.shape

@@ -7,7 +7,7 @@ and each stretch of overlapping windows is decoded as one sequence, so a span ma
 windows. A span is added if it has the form of its kind and does not meet a span of the patterns.
 
 Every form holds a digit, an at sign or a spelled-out one ("(at)", "[at]", "at" between blanks) before a
-host and a dot, so windows that are further from all of these than a span is long are not scored.
+host and a dot, so windows far from all of these are scored only where a decoded span leads to them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,6 @@ _ADDED = {
     "card": re.compile(r"[0-9]{4}(?:[\x20./-]{0,3}[0-9]{2,6}){2,4}"),
     "phone": re.compile(r"[+(]{0,2}[0-9]{1,4}(?:[\x20()./-]{1,3}[0-9]{2,5}){2,5}"),
 }
-MOST_SPAN = 160  # characters of an added span
 # what every form holds one of: a digit or an at sign, or an at sign as a word before a host and a dot
 _TRIGGER = byte_set((0x30, 0x39), (0x40, 0x40))
 _AT_WORD = re.compile(
@@ -111,7 +110,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 def well_formed(text: str, kind: str) -> bool:
     """Whether a decoded span may be added."""
-    if len(text) > MOST_SPAN or not _ADDED[kind].fullmatch(text):
+    if not _ADDED[kind].fullmatch(text):
         return False
     digits = _digits(text)
     if kind == "ip":
@@ -178,11 +177,14 @@ def _other_spellings(span: str, kind: int, rng: np.random.Generator) -> str:
 
 @dataclass(frozen=True)
 class PiiFinder:
-    """Windows of ``window`` characters every ``stride``; the fit takes ``sample_docs`` documents at most."""
+    """Windows of ``window`` characters every ``stride``; the fit takes ``sample_windows`` labelled ones at most.
+
+    Windows further than ``reach`` characters from all triggers are scored only where a span leads to them.
+    """
 
     window: int = 96
     stride: int = 48
-    sample_docs: int = 8_000
+    reach: int = 160
     sample_windows: int = 1_500
     embed: int = 12
     hidden: int = 20
@@ -192,36 +194,46 @@ class PiiFinder:
     # ---- training
 
     def fit(self, docs: DataFrame) -> bilstm_crf.Params | None:
-        """Parameters of the network, or None where the sample holds no labelled span.
+        """Parameters of the network, or None where no text holds a labelled span.
 
-        The sample is the documents with the smallest hashes of their ids. Half of the windows at most are
-        without spans: those are taken around digits that no pattern accepts.
+        All texts are labelled. Each kind of span gives a fourth of the windows at most, and half as many windows
+        again are without spans, taken around digits that no pattern accepts: those with the smallest hashes of
+        their content, equal ones once. A first pass counts, so that a second one hands on few more than are taken.
         """
-        ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
-        ids = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(self.seed)), "doc_id").limit(self.sample_docs)
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
         window = self.window
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rows += [(doc_id, *w) for w in _labelled(text or "", window)]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                for first, _, data, offsets in pieces(batch.column(0)):
+                    at = triggers(data)
+                    for k in np.unique(np.searchsorted(offsets, at, "right") - 1):
+                        rows += _labelled(data[offsets[k] : offsets[k + 1]].tobytes().decode(), window)
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    ["doc_id", "context", "start", "end", "kind"],
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["context", "start", "end", "kind"]
                 )
 
-        found = text_batches(texts).join(F.broadcast(ids), "doc_id").mapInArrow(
-            tidy(label), "doc_id bigint, context string, start int, end int, kind int"
-        )
-        order = [F.col("kind") < 0, F.xxhash64("context"), "doc_id", "start", "kind"]
-        with_span = found.where("kind >= 0").orderBy(*order).limit(self.sample_windows)
-        without = found.where("kind < 0").orderBy(*order).limit(self.sample_windows // 2)
-        labelled, plain = with_span.collect(), without.collect()
-        return self._train(labelled, plain) if labelled else None
+        found = text_batches(texts).mapInArrow(tidy(label), "context string, start int, end int, kind int")
+        # a row per kind
+        held = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+        if not any(kind >= 0 for kind in held):
+            return None
+        take = {k: self.sample_windows // (4 if k >= 0 else 2) for k in held}
+        hashed = F.xxhash64("context", "start", "end", "kind", F.lit(self.seed))
+        share = F.shiftrightunsigned(hashed, 32) / float(1 << 32)
+        few = F.lit(False)
+        for kind, n in held.items():
+            few = few | ((F.col("kind") == kind) & (share < min(1.0, 4 * take[kind] / n)))
+        order = Window.partitionBy("kind").orderBy(hashed, "context", "start", "end")
+        place, most = F.row_number().over(order), F.when(F.col("kind") >= 0, self.sample_windows // 4)
+        ranked = found.where(few).distinct().select("*", place.alias("place"))
+        taken = ranked.where(F.col("place") <= most.otherwise(self.sample_windows // 2)).collect()
+        taken.sort(key=lambda r: (r["kind"], r["place"]))
+        labelled = [r for r in taken if r["kind"] >= 0]
+        return self._train(labelled, [r for r in taken if r["kind"] < 0]) if labelled else None
 
     def _train(self, labelled: list, plain: list) -> bilstm_crf.Params:
         rng = np.random.default_rng(self.seed)
@@ -252,69 +264,102 @@ class PiiFinder:
     # ---- finding
 
     def decode(self, p: bilstm_crf.Params, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Per text the decoded spans, each of its kind's form."""
-        cut: list[tuple[int, int]] = []
+        """Per text the decoded spans, each of its kind's form.
+
+        Windows within ``reach`` of a trigger are scored. Where a span goes up to the edge of what was scored,
+        all windows of its text are, so that spans of any length are found as if there were no such reach.
+        """
         coded = [_symbols(t) for t in texts]
-        for k, s in enumerate(coded):
-            if len(s) == 0:
-                continue
-            words = [m.start() for m in _AT_WORD.finditer(texts[k])]
-            at = np.append(np.flatnonzero(((s >= 17) & (s <= 26)) | (s == 33)), np.array(words, np.int64))
-            last = max(0, -(-(len(s) - self.window) // self.stride))
-            # all windows of the grid over any character of a span that may hold a trigger
-            first = np.maximum(0, -(-(at - MOST_SPAN - self.window + 2) // self.stride))
-            end = np.minimum(last, (at + MOST_SPAN - 1) // self.stride) + 1
-            edges = np.zeros(last + 2, np.int64)
-            np.add.at(edges, first, 1)
-            np.add.at(edges, end, -1)
-            cut += [(k, int(w) * self.stride) for w in np.flatnonzero(np.cumsum(edges) > 0)]
-        centre = 1 + np.minimum(np.arange(self.window), np.arange(self.window)[::-1]).astype(np.float32)
-        stretches: list[tuple[int, int, np.ndarray]] = []
-        sums = weight = None
-        open_text = open_start = -1
-        for a in range(0, len(cut), 256):
-            part = cut[a : a + 256]
-            symbols = np.zeros((self.window, len(part)), np.int16)
-            lengths = np.zeros(len(part), np.int64)
-            for j, (k, at) in enumerate(part):
-                s = coded[k][at : at + self.window]
-                symbols[: len(s), j] = s
-                lengths[j] = len(s)
-            e = bilstm_crf.scores(p, symbols, lengths)
-            for j, (k, at) in enumerate(part):
-                n = int(lengths[j])
-                fresh = k != open_text or at > open_start + len(weight)
-                if fresh:
-                    if open_text >= 0:
-                        stretches.append((open_text, open_start, sums / weight[:, None]))
-                    open_text, open_start = k, at
-                    sums, weight = np.zeros((0, TAGS), np.float32), np.zeros(0, np.float32)
-                more = at + n - open_start - len(weight)
-                if more > 0:
-                    sums = np.concatenate([sums, np.zeros((more, TAGS), np.float32)])
-                    weight = np.concatenate([weight, np.zeros(more, np.float32)])
-                place = slice(at - open_start, at - open_start + n)
-                sums[place] += e[:n, j] * centre[:n, None]
-                weight[place] += centre[:n]
-        if open_text >= 0:
-            stretches.append((open_text, open_start, sums / weight[:, None]))
+        near = [self._windows(s, t) for s, t in zip(coded, texts, strict=True)]
+        out, open_texts = self._decoded(p, coded, texts, near)
+        if open_texts:
+            every = [np.arange(self._last(len(coded[k])) + 1) for k in open_texts]
+            again, _ = self._decoded(p, [coded[k] for k in open_texts], [texts[k] for k in open_texts], every)
+            for k, spans in zip(open_texts, again, strict=True):
+                out[k] = spans
+        return out
+
+    def _last(self, length: int) -> int:
+        return max(0, -(-(length - self.window) // self.stride))
+
+    def _windows(self, s: np.ndarray, text: str) -> np.ndarray:
+        """Numbers of the windows within reach of a trigger."""
+        if len(s) == 0:
+            return np.zeros(0, np.int64)
+        words = [m.start() for m in _AT_WORD.finditer(text)]
+        at = np.append(np.flatnonzero(((s >= 17) & (s <= 26)) | (s == 33)), np.array(words, np.int64))
+        last = self._last(len(s))
+        first = np.maximum(0, -(-(at - self.reach - self.window + 2) // self.stride))
+        end = np.minimum(last, (at + self.reach - 1) // self.stride) + 1
+        edges = np.bincount(first, minlength=last + 2) - np.bincount(end, minlength=last + 2)
+        return np.flatnonzero(np.cumsum(edges) > 0)
+
+    def _decoded(
+        self, p: bilstm_crf.Params, coded: list[np.ndarray], texts: list[str], windows: list[np.ndarray]
+    ) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+        """Spans per text, and the texts in which one goes up to an edge that is none of the text."""
+        # a stretch is a run of windows that touch: (text, first window, windows)
+        stretches: list[tuple[int, int, int]] = []
+        apart = self.window // self.stride
+        for k, own in enumerate(windows):
+            if len(own):
+                cuts = np.flatnonzero(np.diff(own) > apart) + 1
+                stretches += [(k, int(run[0]), int(run[-1])) for run in np.split(own, cuts)]
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        stretches.sort(key=lambda s: len(s[2]))
-        a = 0
-        while a < len(stretches):
-            b = a + 1
-            while b < len(stretches) and b - a < 256 and len(stretches[b][2]) * (b - a + 1) <= 65_536:
-                b += 1
-            part = stretches[a:b]
-            lengths = np.array([len(s[2]) for s in part])
-            e = np.zeros((int(lengths.max()), len(part), TAGS), np.float32)
-            for j, (_, _, s) in enumerate(part):
-                e[: len(s), j] = s
-            tags = bilstm_crf.viterbi(e, p["transition"], lengths)
-            for j, (k, at, _) in enumerate(part):
-                out[k] += _spans_of(texts[k], tags[: lengths[j], j], at)
-            a = b
-        return [sorted(spans) for spans in out]
+        open_texts: set[int] = set()
+        sizes = [min(len(coded[k]), b * self.stride + self.window) - a * self.stride for k, a, b in stretches]
+        order = sorted(range(len(stretches)), key=sizes.__getitem__)
+        start = 0
+        while start < len(order):
+            end = start + 1
+            while end < len(order) and end - start < 256 and sizes[order[end]] * (end - start + 1) <= 65_536:
+                end += 1
+            part = [stretches[j] for j in order[start:end]]
+            lengths = np.array([sizes[j] for j in order[start:end]])
+            scored = self._averaged(p, coded, part, windows, lengths)
+            if len(part) == 1 and lengths[0] > 4_096:
+                found = [bilstm_crf.viterbi_long(scored[0], p["transition"])]
+            else:
+                e = np.zeros((int(lengths.max()), len(part), TAGS), np.float32)
+                for j, s in enumerate(scored):
+                    e[: len(s), j] = s
+                tags = bilstm_crf.viterbi(e, p["transition"], lengths)
+                found = [tags[:n, j] for j, n in enumerate(lengths)]
+            for (k, a, _), tags, n in zip(part, found, lengths.tolist(), strict=True):
+                at = a * self.stride
+                out[k] += _spans_of(texts[k], tags, at)
+                if (tags[0] and at > 0) or (tags[-1] and at + n < len(coded[k])):
+                    open_texts.add(k)
+            start = end
+        return [sorted(spans) for spans in out], sorted(open_texts)
+
+    def _averaged(
+        self, p: bilstm_crf.Params, coded: list, part: list[tuple[int, int, int]], windows: list, lengths: np.ndarray
+    ) -> list[np.ndarray]:
+        """Tag scores of some stretches, averaged over their windows; one buffer for each stretch."""
+        centre = 1 + np.minimum(np.arange(self.window), np.arange(self.window)[::-1]).astype(np.float32)
+        sums = [np.zeros((n, TAGS), np.float32) for n in lengths]
+        weight = [np.zeros(n, np.float32) for n in lengths]
+        jobs = []
+        for j, (k, a, b) in enumerate(part):
+            own = windows[k]
+            jobs += [(j, k, int(w)) for w in own[np.searchsorted(own, a) : np.searchsorted(own, b, "right")]]
+        for start in range(0, len(jobs), 256):
+            some = jobs[start : start + 256]
+            symbols = np.zeros((self.window, len(some)), np.int16)
+            held = np.zeros(len(some), np.int64)
+            for c, (_, k, w) in enumerate(some):
+                s = coded[k][w * self.stride : w * self.stride + self.window]
+                symbols[: len(s), c] = s
+                held[c] = len(s)
+            e = bilstm_crf.scores(p, symbols, held)
+            for c, (j, _, w) in enumerate(some):
+                n, at = int(held[c]), (w - part[j][1]) * self.stride
+                sums[j][at : at + n] += e[:n, c] * centre[:n, None]
+                weight[j][at : at + n] += centre[:n]
+        for s, w in zip(sums, weight, strict=True):
+            s /= w[:, None]
+        return sums
 
     def find(self, docs: DataFrame, params: bilstm_crf.Params | None, out: str) -> DataFrame:
         """``docs`` with all columns and ``out``: base and added spans as (kind, start, end, added), by start.

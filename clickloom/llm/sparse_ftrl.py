@@ -18,16 +18,24 @@ from pyspark.sql import types as T
 from clickloom.llm.tables import text_batches
 from clickloom.llm.words import pieces, tidy
 
+# tasks that featurize a sample
+_PARTS = 16
+
 # (bytes, offsets) of a run of texts -> (hashes of all features, text number of each)
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
 class Sample:
-    """How many labelled rows a fit may take: those with the smallest hashes of their ids."""
+    """What a fit may take: at most ``rows`` labelled rows with texts of at most ``text_bytes`` each.
+
+    Ids with the smallest hashes are chosen; where their rows are more, since ids repeat, the rows with the
+    smallest hashes of id and text.
+    """
 
     rows: int = 8_000
     seed: int = 11
+    text_bytes: int = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -114,7 +122,10 @@ def fit(
                     ["doc_id", "y", "at", "x"],
                 )
 
-    rows = texts.join(chosen, "doc_id").select("doc_id", "y", "text")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= sample.text_bytes
+    matches = texts.where(short).join(chosen, "doc_id").select("doc_id", "y", "text")
+    # ids may stand for any number of rows, so the bound holds for what the join gives
+    rows = matches.orderBy(F.xxhash64("doc_id", "y", "text"), "doc_id", "y", "text").limit(sample.rows).repartition(_PARTS)
     table = text_batches(rows).mapInArrow(tidy(featurize), "doc_id bigint, y int, at array<int>, x array<float>").toArrow()
     examples = [
         (i, y, np.asarray(a.values, np.int64), np.asarray(x.values, np.float64))

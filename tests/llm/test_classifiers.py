@@ -98,3 +98,71 @@ def test_one_update_is_ftrl_proximal():
             zs[k] += g - sigma * ws[k]
             ns[k] += g * g
     assert np.allclose(z[[0, 2]], zs) and np.allclose(n[[0, 2]], ns) and z[1] == z[3] == 0
+
+
+def test_the_bound_of_the_sample_binds(spark, docs_of, monkeypatch):
+    updates = []
+    plain = sparse_ftrl.update
+    monkeypatch.setattr(sparse_ftrl, "update", lambda *a: (updates.append(1), plain(*a)))
+    docs = docs_of([(7, f"text number {k}") for k in range(300)] + [(8, "long " * 40_000)])
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id bigint, quality int")
+    f = sparse_ftrl.Ftrl(epochs=1, bits=10)
+    for rows, want in ((1, 1), (5, 5)):
+        updates.clear()
+        sparse_ftrl.fit(docs.where("doc_id = 7"), labels, "quality", quality.features, quality.damp, f, sparse_ftrl.Sample(rows=rows))
+        assert len(updates) == want
+    updates.clear()
+    sparse_ftrl.fit(docs, labels.where("doc_id = 8"), "quality", quality.features, quality.damp, f, sparse_ftrl.Sample())
+    assert not updates
+
+
+@pytest.mark.parametrize(("module", "classifier", "label", "cut"), [
+    (quality, quality.QualityClassifier, "quality", 0.7), (toxicity, toxicity.ToxicityClassifier, "toxic", 0.5),
+])
+def test_whole_result_like_plain_learning(spark, docs_of, module, classifier, label, cut):
+    import math
+    import random
+    import zlib
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["good", "bad", "THE", "of!", "x1"] if k % 2 else ["good", "so", "well"]) for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    rows += [(60, None), (None, "bad bad"), (61, "")]
+    labels = [(k, k % 2) for k in range(0, 60, 2)] + [(k, k % 2) for k in range(1, 60, 4)] + [(5, None), (None, 1)]
+    one = classifier()
+    f, bits = one.ftrl, one.ftrl.bits
+
+    def cells(text):
+        (_, _, data, offsets), = pieces(pa.array([text or ""]))
+        hashes, _ = module.features(data, offsets)
+        at, counts = np.unique(sparse_ftrl.slots(hashes, bits), return_counts=True)
+        x = module.damp(counts, np.full(len(counts), len(hashes))).astype(np.float32)
+        return list(zip(at.tolist(), [float(v) for v in x], strict=True))
+
+    left_out = {i: zlib.crc32(str(i).encode()) % module.FOLDS == module.HELD_OUT for i, _ in rows if i is not None}
+    texts = dict(rows)
+    known = sorted(((i, y) for i, y in labels if i is not None and y is not None and not left_out[i]), key=lambda e: hash((e[0], bits, one.sample.seed)))
+    z, n = {}, {}
+
+    def weight(k):
+        a, b = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(a) <= f.l1 else ((f.l1 if a > 0 else -f.l1) - a) / ((f.beta + math.sqrt(b)) / f.alpha + f.l2)
+
+    def margin(row, w):
+        return sum(w(k) * x for k, x in row)
+
+    for _ in range(f.epochs):
+        for i, y in known:
+            row = [*cells(texts[i]), (0, 1.0)]
+            p = 1 / (1 + math.exp(-margin(row, weight)))
+            old = {k: weight(k) for k, _ in row}
+            for k, x in row:
+                g = (p - y) * x
+                b = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(b + g * g) - math.sqrt(b)) / f.alpha * old[k]
+                n[k] = b + g * g
+    got = one.classify(docs_of(rows), spark.createDataFrame(labels, f"doc_id bigint, {label} int")).collect()
+    assert len(got) == len(rows)
+    for (i, text), r in zip(sorted(rows, key=repr), sorted(got, key=lambda r: repr((r["doc_id"], texts[r["doc_id"]]))), strict=True):
+        want = 1 / (1 + math.exp(-margin([*cells(text), (0, 1.0)], weight)))
+        assert r["doc_id"] == i and abs(r["score"] - want) < 1e-4
+        assert r["held_out"] == left_out.get(i, False) and r["predicted"] == int(r["score"] >= cut)

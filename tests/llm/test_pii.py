@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from clickloom.llm import bilstm_crf, pii
 from clickloom.llm.pii import PiiFinder
 from clickloom.llm.tables import read
 
+TAGS_HERE = 5
+
 PLAIN = [
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -157,3 +160,44 @@ def test_viterbi_is_the_best_path():
             key=lambda p, j=j, n=n: sum(e[t, j, p[t]] for t in range(n)) + sum(transition[p[t], p[t + 1]] for t in range(n - 1)),
         )
         assert tuple(got[:n, j]) == best
+
+
+def test_long_sequences_are_decoded_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    transition = rng.normal(size=(TAGS_HERE, TAGS_HERE)).astype(np.float32)
+    for n in (1, 7, 8, 9, 100, 515):
+        e = rng.normal(size=(n, TAGS_HERE)).astype(np.float32)
+        want = bilstm_crf.viterbi(e[:, None], transition, np.array([n]))[:, 0]
+        for segment in (1, 8, 512):
+            monkeypatch.setattr(bilstm_crf, "_SEGMENT", segment)
+            assert bilstm_crf.viterbi_long(e, transition).tolist() == want.tolist()
+
+
+def test_long_stretches_take_linear_time(trained):
+    finder = PiiFinder()
+    for text in ("9" * 1_000_000, "1 2 " * 250_000):
+        start = time.time()
+        finder.decode(trained, [text])
+        assert time.time() - start < 120
+
+
+def test_spans_beyond_the_reach_are_found_whole(trained):
+    address = "a" * 150 + "." + "b" * 150 + " (at) " + "mail." * 40 + "example.com"
+    text = "thon er the onre " * 30 + address + " inthe er" * 30
+    near, every = (PiiFinder(reach=r).decode(trained, [text])[0] for r in (160, 10_000))
+    assert near == every
+
+
+def test_rare_kinds_are_learned(docs_of):
+    rows = [(k, f"call +1 (988) 555-{k:04d} now, number {k}") for k in range(9_999)]
+    rows += [(20_000 + k, "no such thing") for k in range(3_000)] + [(30_000, "mail joe.doe@mail.example.com to")]
+    seen = []
+
+    class Watched(PiiFinder):
+        def _train(self, labelled, plain):
+            seen.append((labelled, plain))
+
+    Watched().fit(docs_of([*rows, *rows[:500]]))
+    kinds = [r["kind"] for r in seen[0][0]]
+    assert kinds.count(0) == 1 and kinds.count(3) == 375 and len(seen[0][1]) <= 750
+    assert len({r["context"] for r in seen[0][0]}) == len(seen[0][0])
