@@ -1,13 +1,15 @@
 """FTRL-Proximal logistic regression as set-based DataFrame steps.
 
 State is a table, one row per feature slot: ``idx, z, n, seen`` (adjusted gradient sum, squared-gradient
-sum, cells seen). The reserved slot -1 carries the running scalars of the learner: rows seen, sum of
-labels, sum of the progressive loss. A slot without a row is all zero.
+sum, cells seen). The reserved slot -1 carries the running scalars of the learner: rows seen, their weight
+(as n), sum of labels, sum of the progressive loss. A slot without a row is all zero. Rows may have a weight,
+which then counts in gradients, labels and losses, as a row that stands for several others should.
 
 One step scores a batch with the state before it, then adds the batch's gradient. With one row per batch
 this is the record-at-a-time algorithm; with more rows it is the delayed-gradient form. A step costs one
 scan of the batch (two when the rows are needed to spread the probabilities back over their cells) and one
-shuffle by slot, in which gradients are summed on the map side before they move.
+shuffle by slot, in which gradients are summed on the map side before they move. The state itself stays where
+it is: it is written in buckets of slots, and gradients come to them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from clickloom.session import (
 
 SCALARS = -1
 
+# weight of a row, 1 where there is no such column
+WEIGHT = "weight"
+
 # own number of a row: callers' ids are labels, which may repeat or be missing
 KEY = "_key"
 
@@ -82,7 +87,8 @@ def progress_of(state: DataFrame) -> DataFrame:
         F.col("seen").alias("rows"),
         "label_sum",
         "loss_sum",
-        (F.col("label_sum") / F.nullif(F.col("seen"), F.lit(0))).alias("base_rate"),
+        # a step of the caller's own need not keep weights
+        (F.col("label_sum") / F.coalesce(F.nullif("n", F.lit(0.0)), F.nullif("seen", F.lit(0)))).alias("base_rate"),
     )
 
 
@@ -91,8 +97,9 @@ class Ftrl:
     """The learner: hyper-parameters, loss, and how its weights are looked up.
 
     ``slots`` is the number of feature slots when that is known beforehand, as it is under the hashing
-    trick. While it is within ``broadcast_rows`` the weights are broadcast without further ado; otherwise
-    their number is measured, and larger models are joined by shuffle with the hot slots split off.
+    trick: all features lie below it. While it is within ``broadcast_rows`` the weights of these slots are
+    broadcast without being counted; otherwise their number is measured, and larger models are joined by
+    shuffle with the hot slots split off.
     """
 
     params: FtrlParams = FtrlParams()
@@ -105,18 +112,17 @@ class Ftrl:
 
         A row without cells has the margin 0. Carried columns ride along, so nothing has to be joined back.
         """
-        if KEY not in rows.columns:
-            rows = rows.withColumn(KEY, F.monotonically_increasing_id())
-        flat = rows.select(KEY, *carry, F.inline_outer("features"))
+        flat = keyed(rows).select(KEY, *carry, F.inline_outer("features"))
         known = (
             state.where(f"idx > {SCALARS}")
             .selectExpr("idx", "seen", f"{weight(self.params)} AS w")
             .where("w <> 0")
         )
         size, total = 0, 0
-        # a state handed in may be larger than the slots say, so its rows count where they are cheap to count
-        rows_of_state = state.count() if self.slots is not None else None
-        if self.slots is None or max(self.slots, rows_of_state) > self.broadcast_rows:
+        if self.slots is not None and self.slots <= self.broadcast_rows:
+            # whatever else a state that was handed in may hold, there are no more rows than slots
+            known = known.where(F.col("idx") < self.slots)
+        else:
             measured = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("seen"), F.lit(0))).first()
             size, total = measured[0], measured[1]
         looked_up = lookup_join(
@@ -158,36 +164,36 @@ class Ftrl:
         z gains the sum of the gradients, n the sum of their squares, each taken per record, so the rates
         fall as they do record by record, however many rows a batch has.
         """
-        scored = self.predict(keyed(rows).select(KEY, "y", "features"), state, "_p")
+        weighted = [WEIGHT] if WEIGHT in rows.columns else []
+        scored = self.predict(keyed(rows).select(KEY, "y", "features", *weighted), state, "_p")
         # one more cell per row, for the running scalars
         anchor = f"array(named_struct('idx', {SCALARS}, 'x', 0D))"
-        flat = scored.select("y", "_p", F.expr(f"inline(concat(features, {anchor}))"))
+        share = F.col(WEIGHT).cast("double") if weighted else F.lit(1.0)
+        flat = scored.select("y", "_p", share.alias("share"), F.expr(f"inline(concat(features, {anchor}))"))
         p, y, x = F.col("_p"), F.col("y"), F.col("x")
-        gained = flat.select(
-            "idx",
-            self.loss.gradient(p, y, x).alias("g"),
-            self.loss.cost(p, y).alias("cost"),
-            "y",
-        ).selectExpr(
-            "idx",
-            f"IF(idx = {SCALARS}, 0D, g) AS g",
-            f"IF(idx = {SCALARS}, 0D, g * g) AS gg",
-            "0D AS z",
-            "0D AS n",
-            "1L AS seen",
-            f"IF(idx = {SCALARS}, y, 0D) AS label_sum",
-            f"IF(idx = {SCALARS}, cost, 0D) AS loss_sum",
-        )
-        before = state.selectExpr("idx", "0D AS g", "0D AS gg", "z", "n", "seen", "label_sum", "loss_sum")
-        merged = (
-            gained.union(before)
-            .groupBy("idx")
-            .agg({c: "sum" for c in ("g", "gg", "z", "n", "seen", "label_sum", "loss_sum")})
+        gained = (
+            flat.select(
+                "idx",
+                "share",
+                (F.col("share") * self.loss.gradient(p, y, x)).alias("g"),
+                (F.col("share") * self.loss.cost(p, y)).alias("cost"),
+                (F.col("share") * y).alias("y"),
+            )
             .selectExpr(
                 "idx",
-                *[f"`sum({c})` AS {c}" for c in ("g", "gg", "z", "n", "seen", "label_sum", "loss_sum")],
+                f"IF(idx = {SCALARS}, 0D, g) AS g",
+                f"IF(idx = {SCALARS}, share, g * g) AS gg",
+                f"IF(idx = {SCALARS}, y, 0D) AS more_labels",
+                f"IF(idx = {SCALARS}, cost, 0D) AS more_loss",
             )
+            .groupBy("idx")
+            .agg(*[F.sum(c).alias(c) for c in ("g", "gg", "more_labels", "more_loss")], F.count(F.lit(1)).alias("more"))
         )
+        merged = state.join(gained, "idx", "full_outer").selectExpr(
+            "idx", *[f"coalesce({c}, 0D) AS {c}" for c in ("z", "n", "g", "gg")],
+            "coalesce(seen, 0L) + coalesce(more, 0L) AS seen",
+            *[f"coalesce({c}, 0D) + coalesce({m}, 0D) AS {c}" for c, m in (("label_sum", "more_labels"), ("loss_sum", "more_loss"))],
+        )
         rate = f"(sqrt(n + gg) - sqrt(n)) / {_double(self.params.alpha)}"
         return merged.selectExpr(
             "idx",
@@ -226,7 +232,7 @@ class FeatureTable:
             spark, f"clickloom_rows_{uuid.uuid4().hex}", new_path(spark, "rows"), batch, order
         )
         (
-            rows.select("y", "features", batch)
+            rows.select("y", "features", *([WEIGHT] if WEIGHT in rows.columns else []), batch)
             .withColumn(KEY, F.monotonically_increasing_id())
             .repartition(n, KEY)
             .write.partitionBy(batch)
@@ -248,20 +254,27 @@ class FeatureTable:
 
 @dataclass
 class Versions:
-    """States written one directory per step; a step reads one version and writes the next."""
+    """States written one directory per step; a step reads one version and writes the next.
+
+    They are tables bucketed by slot, as many buckets as a shuffle has partitions, so a step shuffles its
+    gradients alone.
+    """
 
     spark: SparkSession
     base: str
     keep: int | None = 2
-    written: list[str] = field(default_factory=list)
+    written: list[tuple[str, str]] = field(default_factory=list)
 
     def write(self, state: DataFrame, version: int) -> DataFrame:
-        path = f"{self.base}/version={version}"
-        stored = write_table(state, "state", path)
-        self.written.append(path)
+        path, name = f"{self.base}/version={version}", f"clickloom_state_{uuid.uuid4().hex}"
+        writer = state.write.bucketBy(shuffle_partitions(self.spark), "idx").sortBy("idx").format("parquet")
+        writer.option("path", path).saveAsTable(name)
+        self.written.append((path, name))
         if self.keep is not None and len(self.written) > self.keep:
-            delete_directory(self.spark, self.written.pop(0))
-        return stored
+            path, old = self.written.pop(0)
+            self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+            delete_directory(self.spark, path)
+        return self.spark.table(name)
 
 
 def fit(

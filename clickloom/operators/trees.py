@@ -15,7 +15,7 @@ from clickloom.functions.hashing import slot_number
 from clickloom.functions.scalar import boosting_probability
 from clickloom.operators.vectorize import cell
 from clickloom.options import BoostingParams
-from clickloom.session import new_path
+from clickloom.session import new_path, shared_dir
 
 
 @dataclass(frozen=True)
@@ -124,14 +124,25 @@ def leaf_cells(slots: Column, leaf_counts: Sequence[int], max_features: int) ->
     s + 1 of the text holds slot s and the hashed text is ``<column>_1``. The hash of every possible slot
     is known beforehand, so the text detour is not needed.
     """
-    hashed = F.lit([slot_number(f"{s + 1}_1", max_features) for s in range(sum(leaf_counts))])
+    numbers = [slot_number(f"{s + 1}_1", max_features) for s in range(sum(leaf_counts))]
+    hashed = F.lit(numbers)
     found = F.transform(slots, lambda s: F.element_at(hashed, s + 1))
+    starts = [sum(leaf_counts[:t]) for t in range(len(leaf_counts) + 1)]
+    own = [set(numbers[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+    if sum(map(len, own)) == len(set().union(*own)):
+        # a row has one leaf of each tree, and no slot is shared between trees
+        return F.transform(found, lambda s: cell(s, F.lit(1.0)))
     # leaves that share a slot are one cell: squares of gradients are taken per slot
     return F.transform(
         F.array_distinct(found), lambda s: cell(s, F.size(F.filter(found, lambda t: t == s)).cast("double"))
     )
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 # ---- Spark ML boosting ------------------------------------------------------------------------
 
 
@@ -155,7 +166,13 @@ class BoostedTrees:
             maxBins=params.bins,
             seed=params.seed,
             leafCol="leaf",
+            cacheNodeIds=params.cache_node_ids,
+            checkpointInterval=params.checkpoint_interval,
+            maxMemoryInMB=params.memory_mb,
         )
+        if params.cache_node_ids and params.checkpoint_interval > 0:
+            # node ids are checkpointed where the session keeps its scratch tables
+            _checkpoint_folder(df.sparkSession)
         labelled = df.withColumn("label", F.col(label).cast("double"))
         dense = BoostedTrees._dense(inputs).transform(labelled).select("label", "features")
         return BoostedTrees(tuple(inputs), booster.fit(dense))

@@ -43,7 +43,11 @@ class FtrlParams:
 
 @dataclass(frozen=True)
 class BoostingParams:
-    """Boosted-tree settings."""
+    """Boosted-tree settings.
+
+    The last three are Spark ML's for large inputs: node ids kept per row instead of the trees being walked
+    again, how often these are checkpointed, and the memory for statistics, which bounds the nodes of one pass.
+    """
 
     # fixed values: the settings of the original two-stage job
     trees: int = 30
@@ -51,6 +55,9 @@ class BoostingParams:
     learning_rate: float = 0.01
     bins: int = 120
     seed: int = 42
+    cache_node_ids: bool = False
+    checkpoint_interval: int = 10
+    memory_mb: int = 256
 
 
 # fixed value: a category value must occur this often to receive click-rate features

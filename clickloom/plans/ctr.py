@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import metrics
 from clickloom.operators.counts import CountEncoder
-from clickloom.operators.ftrl import Ftrl, fit, progress_of
+from clickloom.operators.ftrl import KEY, Ftrl, fit, keyed, progress_of
 from clickloom.operators.splits import in_training
 from clickloom.operators.trees import BoostedTrees, leaf_cells, leaf_line, leaf_slots
 from clickloom.options import MIN_SUPPORT, BoostingParams, FtrlParams, LearnerOptions
@@ -39,7 +39,7 @@ class TwoStageModel:
 
     def ftrl_scores(self) -> DataFrame:
         """Held-out rows (row_id, y, probability) scored by the second stage."""
-        rows = self.held_out(self.leaf_rows).select("row_id", "y", "features")
+        rows = self.held_out(self.leaf_rows).select(KEY, "row_id", "y", "features")
         return self.learner.labelled_scores(rows, self.state)
 
     def report(self) -> DataFrame:
@@ -99,13 +99,16 @@ def two_stage(
         "tree-scores",
     )
     slots = leaf_slots(F.col("leaf_positions"), trees.leaf_counts)
-    rows = scores.select(
-        "row_id",
-        "y",
-        "batch",
-        "is_train",
-        leaf_cells(slots, trees.leaf_counts, options.max_features).alias("features"),
+    # leaf features are written once, numbered, for both fitting and scoring
+    rows = keyed(
+        scores.select(
+            "row_id",
+            "y",
+            "batch",
+            "is_train",
+            leaf_cells(slots, trees.leaf_counts, options.max_features).alias("features"),
+        )
     )
-    learner = Ftrl(ftrl, slots=sum(trees.leaf_counts))
+    learner = Ftrl(ftrl, slots=options.max_features)
     state = fit(rows.where("is_train"), "batch", learner, epochs=options.epochs)
     return TwoStageModel(encoder, trees, state, learner, scores, rows)

@@ -370,8 +370,8 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows from a written table, for steps that read them more than once."""
-    return write_table(event_rows(spark, sf_dir), "event-rows")
+    """The same rows, numbered in a written table, for steps that read them more than once."""
+    return ftrl.keyed(event_rows(spark, sf_dir))
 
 
 def _state_after(spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
