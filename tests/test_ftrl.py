@@ -182,8 +182,10 @@ def test_pluggable_loss_and_step(spark):
     assert sigmoid is ftrl.LOGISTIC.link
 
 
-@pytest.mark.parametrize("round_rows", [1000, 7])
-def test_segments_learn_in_exact_order(spark, round_rows):
+@pytest.mark.parametrize("batch_rows", ["1000", "7"])
+def test_segments_learn_in_exact_order(spark, batch_rows):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     rng = random.Random(9)
     rows = sample(6, 90)
     # one segment holds more than a third of the rows
@@ -193,9 +195,42 @@ def test_segments_learn_in_exact_order(spark, round_rows):
         "segment string, seq int, y double, features array<struct<idx:int,x:double>>",
     ).repartition(4)
     got = {}
-    for r in fit_by_segment(df, "segment", "seq", SOFT, round_rows=round_rows).collect():
+    for r in fit_by_segment(df, "segment", "seq", SOFT).collect():
         got.setdefault(r["segment"], {})[r["idx"]] = (r["z"], r["n"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got.keys() == set(segment)
     for s in got:
         want, _ = one_by_one([r for r, name in zip(rows, segment, strict=True) if name == s], SOFT)
         same(got[s], want)
+
+
+def test_weights_stand_for_repeated_rows(spark):
+    rows = sample(4, 20, batch=lambda i: i)
+    light = spark.createDataFrame([(*r, 1.0 + r[0] % 3) for r in rows], f"{ROWS}, weight double")
+    learner = ftrl.Ftrl(SOFT, slots=25)
+    state = ftrl.fit(light, "batch", learner, epochs=1)
+    z, n, held, labels = {}, {}, 0.0, 0.0
+    for i, _, y, features in rows:
+        share = 1.0 + i % 3
+        w = {k: 0.0 if abs(z.get(k, 0.0)) <= SOFT.l1 else -(z[k] - np.sign(z[k]) * SOFT.l1) / (SOFT.l2 + (SOFT.beta + n[k] ** 0.5) / SOFT.alpha) for k, _ in features}
+        p = 1 / (1 + np.exp(-sum(w[k] * x for k, x in features)))
+        held, labels = held + share, labels + share * y
+        for k, x in features:
+            g, b = share * (p - y) * x, n.get(k, 0.0)
+            z[k], n[k] = z.get(k, 0.0) + g - ((b + g * g) ** 0.5 - b**0.5) / SOFT.alpha * w[k], b + g * g
+    got = model(state)
+    assert got.keys() == z.keys() and all(got[k] == pytest.approx((z[k], n[k])) for k in z)
+    assert ftrl.progress_of(state).first()["base_rate"] == pytest.approx(labels / held)
+
+
+def test_only_gradients_move_to_a_written_state(spark, plan_of, tmp_path):
+    rows = table(spark, sample(4, 40, batch=lambda i: i % 2))
+    learner = ftrl.Ftrl(SOFT, slots=25)
+    versions = ftrl.Versions(spark, str(tmp_path / "s"))
+    state = versions.write(learner.step(ftrl.empty_state(spark), rows), 1)
+    stored = ftrl.FeatureTable.write(rows, "batch", 2)
+    plan = plan_of(learner.step(state, stored.rows(1)))
+    join = plan[plan.index("SortMergeJoin") :]
+    left = join[: join.index("Exchange hashpartitioning")]
+    assert "Bucketed: true" in left and plan.count("Exchange hashpartitioning") == 1
+    stored.drop()
