@@ -15,13 +15,15 @@ def _ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def score_counts(
-    df: DataFrame, label: str, score: str, prediction: str | None = None
+    df: DataFrame, label: str, score: str, prediction: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """Positives, negatives and wrong predictions per distinct score; labels must be 0 or 1.
 
     Every metric below depends only on these counts, so the rows are scanned and shuffled once, and equal
-    scores are collapsed on the map side.
+    scores are collapsed on the map side. With ``weight`` they are sums of that column, and ``held`` always is
+    the number of rows.
     """
+    share = F.col(weight).cast("double") if weight else F.lit(1)
     y = F.col(label)
     positive = (
         F.when(y == 1, F.lit(1))
@@ -33,9 +35,10 @@ def score_counts(
     # a missing prediction is a wrong one
     wrong = (~y.eqNullSafe(F.col(prediction))).cast("int") if prediction else F.lit(0)
     return df.groupBy(F.col(score).alias("score")).agg(
-        F.sum(positive).alias("pos"),
-        F.sum(1 - positive).alias("neg"),
-        F.sum(wrong).alias("wrong"),
+        F.sum(share * positive).alias("pos"),
+        F.sum(share * (1 - positive)).alias("neg"),
+        F.sum(share * wrong).alias("wrong"),
+        F.count(F.lit(1)).alias("held"),
     )
 
 
@@ -50,9 +53,12 @@ def _auc() -> Column:
     return _ratio(F.sum(_pairs_won(F.col("neg_upto"))), pairs)
 
 
-def auc(df: DataFrame, label: str, score: str, blocks: int | None = None) -> DataFrame:
-    """One row (auc, pos, neg): exact, tie-averaged; NULL when a class is missing."""
-    counts = score_counts(df, label, score)
+def auc(df: DataFrame, label: str, score: str, blocks: int | None = None, weight: str | None = None) -> DataFrame:
+    """One row (auc, pos, neg): exact, tie-averaged; NULL when a class is missing.
+
+    With ``weight`` a pair of rows counts as the product of their weights, and pos and neg are sums of them.
+    """
+    counts = score_counts(df, label, score, weight=weight)
     ranked = running(counts, ["score"], sums={"neg_upto": F.col("neg")}, blocks=blocks)
     return ranked.agg(
         _auc().alias("auc"),
@@ -61,19 +67,29 @@ def auc(df: DataFrame, label: str, score: str, blocks: int | None = None) -> Dat
     )
 
 
-def mean_log_loss(df: DataFrame, label: str, score: str) -> DataFrame:
+def _mean(value: Column, weight: str | None) -> Column:
+    if weight is None:
+        return F.avg(value)
+    return _ratio(F.sum(F.col(weight) * value), F.sum(F.when(value.isNotNull(), F.col(weight))).cast("double"))
+
+
+def mean_log_loss(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """One row (logloss, rows)."""
     return df.agg(
-        F.avg(log_loss(F.col(score), F.col(label))).alias("logloss"),
+        _mean(log_loss(F.col(score), F.col(label)), weight).alias("logloss"),
         F.count(F.lit(1)).alias("rows"),
     )
 
 
-def error_rate(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row (error_rate, accuracy, errors, rows); a missing prediction is an error."""
-    errors = F.count_if(~F.col(label).eqNullSafe(F.col(prediction)))
+def error_rate(df: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """One row (error_rate, accuracy, errors, rows); a missing prediction is an error.
+
+    With ``weight`` the two rates are shares of it; errors and rows stay numbers of rows.
+    """
+    wrong = ~F.col(label).eqNullSafe(F.col(prediction))
+    errors = F.count_if(wrong)
     rows = F.count(F.lit(1))
-    share = _ratio(errors, rows)
+    share = _mean(wrong.cast("double"), weight) if weight else _ratio(errors, rows)
     return df.agg(
         share.alias("error_rate"),
         (1 - share).alias("accuracy"),
@@ -82,9 +98,9 @@ def error_rate(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
-def base_rate(df: DataFrame, label: str) -> DataFrame:
+def base_rate(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
     """One row (base_rate): the mean label."""
-    return df.agg(F.avg(F.col(label).cast("double")).alias("base_rate"))
+    return df.agg(_mean(F.col(label).cast("double"), weight).alias("base_rate"))
 
 
 def right_at(threshold: Column, label: Column, score: Column) -> Column:
@@ -93,11 +109,11 @@ def right_at(threshold: Column, label: Column, score: Column) -> Column:
     return F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def accuracy_at(df: DataFrame, label: str, score: str, threshold: DataFrame) -> DataFrame:
+def accuracy_at(df: DataFrame, label: str, score: str, threshold: DataFrame, weight: str | None = None) -> DataFrame:
     """One row (accuracy, rows) at the threshold held in the one-row, one-column ``threshold``."""
     cut = threshold.scalar()
     return df.agg(
-        F.avg(right_at(cut, F.col(label), F.col(score))).alias("accuracy"),
+        _mean(right_at(cut, F.col(label), F.col(score)), weight).alias("accuracy"),
         F.count(F.lit(1)).alias("rows"),
     )
 
@@ -116,20 +132,22 @@ def report(
     *,
     prediction: str | None = None,
     threshold: DataFrame | None = None,
+    weight: str | None = None,
     blocks: int | None = None,
 ) -> DataFrame:
     """One row (auc, accuracy, logloss, rows).
 
     Accuracy is the share of right predictions, or, given a one-row ``threshold``, the share of scores on
-    the right side of it.
+    the right side of it. With ``weight`` all three are those of the rows that a row stands for, while rows
+    stays the number of rows.
     """
     if (prediction is None) == (threshold is None):
         raise ValueError("give either a prediction column or a threshold")
     ranked = running(
-        score_counts(df, label, score, prediction), ["score"], sums={"neg_upto": F.col("neg")}, blocks=blocks
+        score_counts(df, label, score, prediction, weight), ["score"], sums={"neg_upto": F.col("neg")}, blocks=blocks
     )
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
-    rows = F.sum(pos + neg)
+    total = F.sum(pos + neg)
     if threshold is None:
         right = F.sum(pos + neg - F.col("wrong")).cast("double")
     else:
@@ -138,9 +156,9 @@ def report(
     loss = F.sum(pos * log_loss(s, F.lit(1)) + neg * log_loss(s, F.lit(0)))
     return ranked.agg(
         _auc().alias("auc"),
-        _ratio(right, rows).alias("accuracy"),
-        _ratio(loss, rows).alias("logloss"),
-        F.coalesce(rows, F.lit(0)).alias("rows"),
+        _ratio(right, total).alias("accuracy"),
+        _ratio(loss, total).alias("logloss"),
+        F.coalesce(F.sum("held"), F.lit(0)).alias("rows"),
     )
 
 

@@ -14,7 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.session import write_table
+from clickloom.session import bytes_of, delete_directory, new_path, write_table
+
+# written size of a block, compressed, above which it is too much for one task
+BLOCK_BYTES = 64 << 20
+
+# times that ranges are cut anew: the first cut follows the size, further ones follow uneven ranges
+_CUTS = 4
 
 
 def running(
@@ -32,21 +38,18 @@ def running(
     to and including the current row. ``number`` names a 1-based position column. ``order`` should end
     in a unique key, so that the result does not depend on chance.
 
-    Without ``blocks`` there are at most ``spark.sql.shuffle.partitions`` blocks, and adaptive execution
-    merges neighbouring small ones.
+    Without ``blocks`` their number follows the size of the rows: what ``spark.sql.shuffle.partitions`` gives is
+    measured once it is written, adaptive execution having merged small neighbours, and where a block is above
+    ``BLOCK_BYTES`` the ranges are cut anew, as often as it takes.
     """
     measures = dict(sums or {})
     if number:
         measures[number] = F.lit(1).cast("bigint")
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     measured = df.select("*", *[e.alias(f"_in_{name}") for name, e in measures.items()])
-    by_range = ([blocks] if blocks else []) + [*map(F.col, by), *order_cols]
-    staged = write_table(
-        measured.repartitionByRange(*by_range).withColumn("_block", F.spark_partition_id()), "blocks"
-    )
+    staged, held = _staged(measured, [*map(F.col, by), *order_cols], blocks)
     # one task per block and no second shuffle for the window
-    held = staged.agg(F.max("_block")).first()[0]
-    by_block = staged.repartitionById((held or 0) + 1, F.col("_block"))
+    by_block = staged.repartitionById(held, F.col("_block"))
 
     block_totals = staged.groupBy(*by, "_block").agg(
         *[F.sum(f"_in_{name}").alias(f"_sum_{name}") for name in measures]
@@ -83,6 +86,27 @@ def running(
     )
 
 
+def _staged(rows: DataFrame, order: list[Column], blocks: int | None) -> tuple[DataFrame, int]:
+    """The rows written in ranges of ``order``, numbered as ``_block``, and how many numbers there may be."""
+    spark, fixed, old = rows.sparkSession, blocks, None
+    for cut in range(_CUTS):
+        path = new_path(spark, "blocks")
+        ranged = rows.repartitionByRange(*([blocks] if blocks else []), *order)
+        staged = write_table(ranged.withColumn("_block", F.spark_partition_id()), "blocks", path)
+        if old:
+            delete_directory(spark, old)
+        sizes = staged.groupBy("_block").count()
+        last, most, total = sizes.agg(F.max("_block"), F.max("count"), F.sum("count")).first()
+        if last is None:
+            return staged, 1
+        size = bytes_of(spark, path)
+        if fixed or most == 1 or cut + 1 == _CUTS or size * most <= BLOCK_BYTES * total:
+            return staged, last + 1
+        rows, old = staged.drop("_block"), path
+        # twice as many as even ranges would need, and more than there were
+        blocks = max(-(-2 * size // BLOCK_BYTES), 2 * (last + 1))
+
+
 def rank_rows(
     df: DataFrame, keys: Sequence[Column | str], position: str = "position", blocks: int | None = None
 ) -> DataFrame:

@@ -28,6 +28,8 @@ class LearnerOptions:
     report_every: int = 100_000
     max_features: int = 4_000_000
     epochs: int = 2
+    # share of the rows with label 0 that is learned, in percent; each then stands for 100 / share of them
+    keep_negatives: int = 100
 
 
 @dataclass(frozen=True)

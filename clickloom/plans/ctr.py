@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.functions.scalar import LOGISTIC, Loss
 from clickloom.operators import metrics
 from clickloom.operators.counts import CountEncoder
 from clickloom.operators.ftrl import KEY, Ftrl, fit, keyed, progress_of
@@ -67,6 +68,7 @@ def two_stage(
     *,
     boosting: BoostingParams = BoostingParams(),
     ftrl: FtrlParams = FtrlParams(),
+    loss: Loss = LOGISTIC,
     options: LearnerOptions = LearnerOptions(),
     fit_on: str = "train",
     min_support: int = MIN_SUPPORT,
@@ -74,7 +76,8 @@ def two_stage(
     """Run both stages on a log with a unique ``row_key`` and a ``batch`` column that orders learning.
 
     ``fit_on="all"`` takes the count statistics from all rows, held-out labels included, as the original
-    job did; the default keeps them out.
+    job did; the default keeps them out. ``loss`` is that of the second stage; its link has to give
+    probabilities for the report.
     """
     if fit_on not in ("train", "all"):
         raise ValueError("fit_on is 'train' or 'all'")
@@ -109,6 +112,6 @@ def two_stage(
             leaf_cells(slots, trees.leaf_counts, options.max_features).alias("features"),
         )
     )
-    learner = Ftrl(ftrl, slots=options.max_features)
+    learner = Ftrl(ftrl, loss, slots=options.max_features)
     state = fit(rows.where("is_train"), "batch", learner, epochs=options.epochs)
     return TwoStageModel(encoder, trees, state, learner, scores, rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.scalar import LOGISTIC, Loss
 from clickloom.operators import ftrl, metrics
+from clickloom.operators.splits import sample_negatives
 from clickloom.operators.vectorize import OneHotIndex, positional_columns, vectorize_named, vectorize_positional
 from clickloom.options import ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.session import write_table
@@ -64,11 +65,17 @@ class OnlineLearner:
 
     def _fit(self, rows: DataFrame) -> OnlineLearner:
         if self.batch:
+            if self.options.keep_negatives < 100:
+                raise ValueError("sampling of negatives needs rows numbered in file order, so no batch column")
             rows = rows.withColumnRenamed(self.batch, "batch")
         else:
             # the place depends on how files are split, the number does not
             rows = numbered(write_table(rows, "rows"), "_number")
-            per_step = max(1, -(-rows.count() // self.batches))
+            if self.options.keep_negatives < 100:
+                # rows are drawn by number, since ids may repeat; steps stay runs of the whole log
+                rows = write_table(sample_negatives(rows, "y", "_number", self.options.keep_negatives), "sampled-rows")
+            last = rows.agg(F.max("_number")).first()[0]
+            per_step = max(1, -(-((last or 0) + 1) // self.batches))
             rows = rows.withColumn("batch", F.expr(f"int(_number div {per_step})")).drop("_number")
         self.state = ftrl.fit(
             rows, "batch", self.learner, epochs=self.options.epochs, state=self.state, step=self.step

@@ -82,10 +82,11 @@ WEIGHT = (
 )
 
 
-def ftrl_steps(batches: list[str]) -> str:
+def ftrl_steps(batches: list[str], share: str = "1", link=sigmoid) -> str:
     """CTEs m1, m2, ... over ``cells(row_id, batch, y, idx, x)`` and ``rws(row_id, batch, y)``.
 
-    ``batches`` is one filter per step; p1, p2, ... hold the probabilities before each step.
+    ``batches`` is one filter per step; p1, p2, ... hold the probabilities before each step. ``share`` is the
+    weight of a row of ``rws``.
     """
     ctes = ["m0 as (select 0 as idx, 0::double as z, 0::double as n where false)"]
     for i, chosen in enumerate(batches, 1):
@@ -95,10 +96,10 @@ def ftrl_steps(batches: list[str]) -> str:
               select row_id, sum(x * coalesce(w, 0)) as v
               from (select * from cells where {chosen}) left join w{i} using (idx) group by row_id)""",
             f"""p{i} as materialized (
-              select row_id, y, {sigmoid("coalesce(v, 0)")} as p
+              select row_id, y, {link("coalesce(v, 0)")} as p, {share} as share
               from (select * from rws where {chosen}) left join v{i} using (row_id))""",
             f"""g{i} as materialized (
-              select idx, sum((p - p{i}.y) * x) as g, sum(((p - p{i}.y) * x) ** 2) as gg
+              select idx, sum(share * (p - p{i}.y) * x) as g, sum((share * (p - p{i}.y) * x) ** 2) as gg
               from (select * from cells where {chosen}) c join p{i} using (row_id) group by idx)""",
             f"""m{i} as materialized (
               select idx, z + g - (sqrt(n + gg) - sqrt(n)) / {_P.alpha} * ({WEIGHT}) as z, n + gg as n
@@ -150,6 +151,20 @@ cells as materialized (
   where v <> 0 group by 1, 2, 3, 4)
 """
 
+# states of a segment after its first pos records
+SEGMENT_STATES = f"""
+st as (
+          select seg, 0::bigint as pos, idx, 0::double as z, 0::double as n from (select distinct seg, idx from cl)
+          union all
+          select seg, pos + 1, idx, z + g - (sqrt(n + g * g) - sqrt(n)) / {_P.alpha} * w, n + g * g
+          from (
+            select v.*, ({sigmoid("sum(v.w * v.x) over (partition by v.seg)")} - v.y) * v.x as g
+            from (
+              select st.*, {WEIGHT} as w, coalesce(cl.x, 0) as x, rn.y
+              from st join rn on rn.seg is not distinct from st.seg and rn.pos = st.pos + 1
+              left join cl on cl.row_id = rn.row_id and cl.idx = st.idx) v))
+"""
+
 ALL_ROWS = ["true"]
 ORDERED_EPOCHS = [f"batch = {k}" for k in range(4)] * 2
 # rows without a time come first; a step without rows changes nothing
@@ -463,18 +478,44 @@ ORACLE = {
         select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
                {real("(" + auc("sr") + ")", "auc")}
         from sr""",
+    "ftrl_fit_sampled": f"""
+        with {EVENTS}, kept as (
+          select *, case when click = 1 then 1 else 4 end as weight from ev
+          where click = 1 or {IN_TRAIN.replace("< 70", "< 25")}),
+        rws as materialized (select event_id as row_id, batch, click as y, weight from kept),
+        cells as materialized (
+          select row_id, batch, y, {slot("feature || '_' || value")} as idx, count(*)::double as x
+          from ({unfold("kept", ["hour", "user_id", "k"], "event_id as row_id, batch, click as y")})
+          group by 1, 2, 3, 4),
+        {ftrl_steps(TWO_EPOCHS, "weight")} {MODEL} m10""",
+    "eval_report_weighted": f"""
+        with {SCORED}, kept as (
+          select *, case when click = 1 then 1::double else 4 end as w from sc
+          where click = 1 or {IN_TRAIN.replace("< 70", "< 25")}),
+        below as (
+          select click, w, probability,
+                 sum(w * (1 - click)) over (order by probability) - sum(w * (1 - click)) over (partition by probability) / 2 as won
+          from kept)
+        select (select {real("sum(w * click * won) / (sum(w * click) * (select sum(w * (1 - click)) from kept))", "auc")} from below) as auc,
+          {real("sum(w * (click = prediction)::int) / sum(w)", "accuracy")},
+          {real(f"sum(w * {loss('kept.probability', 'click')}) / sum(w)", "logloss")}, count(*) as rows from kept""",
+    "ftrl_squared_loss": f"with {EVENT_CELLS}, {ftrl_steps(ALL_ROWS, link=lambda v: v)} {MODEL} m1",
+    "ftrl_custom_step": f"""
+        with {EVENT_CELLS} select {whole("idx")}, {real("sum(x * y)", "z")}, {real("sum(x)", "n")} from cells group by idx""",
+    "overwrite_and_delete": f"""
+        with {EVENTS} select {whole("sum(click)", "rows")}, 1::bigint as deleted_0, 0::bigint as deleted_1, 0::bigint as there from ev""",
+    "progressive_by_segment": f"""
+        with recursive {EVENT_CELLS_BY_SEGMENT}, {SEGMENT_STATES},
+        told as (
+          select rn.row_id, rn.seg, rn.pos, rn.y, {sigmoid("sum(cl.x * coalesce(w, 0))")} as p
+          from rn join cl on cl.row_id = rn.row_id
+          join (select *, {WEIGHT} as w from st) s on s.seg is not distinct from rn.seg and s.pos = rn.pos - 1 and s.idx = cl.idx
+          group by all)
+        select seg as user_id, row_id as event_id, pos as seq, {real("p", "probability")},
+          {real("avg(y) over r", "running_base_rate")}, {real(f"sum({loss('p', 'y')}) over r", "cumulative_loss")}
+        from told window r as (partition by seg order by pos rows unbounded preceding)""",
     "ftrl_fit_by_segment": f"""
-        with recursive {EVENT_CELLS_BY_SEGMENT},
-        st as (
-          select seg, 0::bigint as pos, idx, 0::double as z, 0::double as n from (select distinct seg, idx from cl)
-          union all
-          select seg, pos + 1, idx, z + g - (sqrt(n + g * g) - sqrt(n)) / {_P.alpha} * w, n + g * g
-          from (
-            select v.*, ({sigmoid("sum(v.w * v.x) over (partition by v.seg)")} - v.y) * v.x as g
-            from (
-              select st.*, {WEIGHT} as w, coalesce(cl.x, 0) as x, rn.y
-              from st join rn on rn.seg is not distinct from st.seg and rn.pos = st.pos + 1
-              left join cl on cl.row_id = rn.row_id and cl.idx = st.idx) v))
+        with recursive {EVENT_CELLS_BY_SEGMENT}, {SEGMENT_STATES}
         select seg as user_id, {whole("idx")}, {real("z", "z")}, {real("n", "n")}
         from st where pos = (select max(pos) from rn where rn.seg is not distinct from st.seg)""",
 }

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions.hashing import hashed_slot
+from clickloom.functions.scalar import Loss
 from clickloom.operators import ftrl, metrics, running, splits, trees
 from clickloom.operators.counts import CountEncoder, count_stats, explode_features
 from clickloom.operators.encode import category_text
-from clickloom.operators.segments import fit_by_segment
+from clickloom.operators.segments import fit_by_segment, progress_by_segment
 from clickloom.operators.vectorize import (
     POSITIONAL_OFFSET,
     OneHotIndex,
@@ -24,7 +25,7 @@ from clickloom.operators.vectorize import (
 from clickloom.options import BoostingParams, ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.plans import checks
 from clickloom.plans.ctr import two_stage
-from clickloom.session import new_path, write_table
+from clickloom.session import delete_directory, new_path, path_exists, write_table
 from clickloom.sources.records import numbered, read_lines_in_place
 from clickloom.sources.sinks import submission, write_csv, write_lines, write_submission
 from clickloom.sources.staging import stage_in_order
@@ -403,6 +404,61 @@ def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, "id string, click double")
 
 
+def ftrl_fit_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model of a quarter of the negatives, each weighing four."""
+    log = splits.sample_negatives(click_events(spark, sf_dir), "click", "event_id", 25)
+    rows = vectorize_named(log, EVENT_ROLES, OPTIONS, ["batch", "weight"])
+    return ftrl.model_of(ftrl.fit(rows, "batch", HASHED, epochs=OPTIONS.epochs))
+
+
+def eval_report_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the sampled events as what they stand for."""
+    log = splits.sample_negatives(scored_events(spark, sf_dir), "click", "event_id", 25)
+    return metrics.report(log, "click", "probability", prediction="prediction", weight="weight")
+
+
+def progressive_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's probability before its update, in the exact order of its user."""
+    rows = vectorize_named(click_events(spark, sf_dir), EVENT_ROLES, OPTIONS, ["user_id", "event_id"])
+    return progress_by_segment(rows, "user_id", "event_id", PARAMS, report_every=1)
+
+
+def ftrl_squared_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step with another model plugged in: identity link, squared loss."""
+    squared = Loss(
+        link=lambda margin: margin, gradient=lambda p, y, x: (p - y) * x, cost=lambda p, y: (p - y) * (p - y)
+    )
+    learner = ftrl.Ftrl(PARAMS, squared, OPTIONS.max_features)
+    return ftrl.model_of(learner.step(ftrl.empty_state(spark), stored_event_rows(spark, sf_dir)))
+
+
+def ftrl_custom_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit loop with another learner plugged in: per slot the sums of values and of values times labels."""
+
+    def step(state: DataFrame, rows: DataFrame) -> DataFrame:
+        cell = rows.select("y", F.inline("features")).selectExpr(
+            "idx", "x * y AS z", "x AS n", "1L AS seen", "0D AS label_sum", "0D AS loss_sum"
+        )
+        sums = [F.sum(c).alias(c) for c in ("z", "n", "seen", "label_sum", "loss_sum")]
+        return state.unionByName(cell).groupBy("idx").agg(*sums)
+
+    return ftrl.model_of(ftrl.fit(event_rows(spark, sf_dir), "batch", epochs=1, step=step))
+
+
+def overwrite_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a folder that is written twice, and whether it is there after it was deleted twice."""
+    path, log = new_path(spark, "overwritten"), click_events(spark, sf_dir).select("event_id", "click")
+    write_csv(log, path)
+    write_csv(log.where("click = 1"), path)
+    rows = read_csv(spark, path, "event_id bigint, click int").count()
+    deleted = [delete_directory(spark, path) for _ in range(2)]
+    return spark.range(1).select(
+        F.lit(rows).alias("rows"),
+        *[F.lit(int(d)).alias(f"deleted_{k}") for k, d in enumerate(deleted)],
+        F.lit(int(path_exists(spark, path))).alias("there"),
+    )
+
+
 def submission_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a submission file in order of the rows: one header, then the scores."""
     path = f"{new_path(spark, 'submission')}/scores.csv"
@@ -584,6 +640,7 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         accuracy_at_base_rate,
         eval_report,
         eval_report_at_base_rate,
+        eval_report_weighted,
         predict_class,
         running_base_rate,
         progressive_loss,
@@ -592,6 +649,11 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ftrl_score,
         q_submission,
         submission_lines,
+        ftrl_fit_sampled,
+        ftrl_squared_loss,
+        ftrl_custom_step,
+        progressive_by_segment,
+        overwrite_and_delete,
         ftrl_fit_epochs,
         ftrl_progress,
         ftrl_fit_by_segment,

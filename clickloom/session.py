@@ -54,6 +54,12 @@ def delete_directory(spark: SparkSession, path: str) -> bool:
     return fs.delete(jvm_path, True)
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Size of all files below a path, from the file system alone."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from clickloom.operators.ftrl import progress_of
 from clickloom.operators.vectorize import OneHotIndex
 from clickloom.options import ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.plans.learner import OnlineLearner
@@ -96,3 +99,21 @@ def test_positional_file_without_hashing(spark, tmp_path):
     assert {(r["feature"], r["value"], r["idx"]) for r in model.index.entries.table.collect()} == {("1", "1", 1), ("2", "1", 2)}
     report = model.evaluate_file(str(tmp_path)).first()
     assert (report["auc"], report["rows"]) == (1.0, 200)
+
+
+def test_sampled_negatives_learn_nearly_the_same(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(s, a, int(rng.random() < 0.05 + 0.3 * (s == 1) + 0.2 * (a == 2))) for s, a in ((rng.randrange(4), rng.randrange(4)) for _ in range(6_000))]
+    (tmp_path / "log.csv").write_text("id,click,site,app,n\n" + "".join(f"x,{y},s{s},a{a},1\n" for s, a, y in rows))
+    reports, sizes = [], []
+    for keep in (100, 30):
+        options = LearnerOptions(epochs=3, keep_negatives=keep)
+        model = OnlineLearner(spark, ROLES, PARAMS, options, batches=16).fit_csv(str(tmp_path))
+        reports.append(model.evaluate_csv(str(tmp_path)).first())
+        progress = progress_of(model.state).first()
+        sizes.append(progress["rows"])
+        assert progress["base_rate"] == pytest.approx(sum(y for *_, y in rows) / len(rows), abs=0.02)
+    assert sizes[1] < 0.5 * sizes[0]
+    assert reports[1]["logloss"] < 1.03 * reports[0]["logloss"] and reports[1]["auc"] > reports[0]["auc"] - 0.03
+    with pytest.raises(ValueError, match="no batch column"):
+        OnlineLearner(spark, ROLES, options=LearnerOptions(keep_negatives=30), batch="n").fit_csv(str(tmp_path))

@@ -69,3 +69,21 @@ def test_rows_without_a_position_stay(spark):
     df = spark.createDataFrame([("g", 0, 3), ("g", 1, 1), ("g", None, 2)], "g string, original bigint, v int")
     got = running.sort_within_groups(df, "g", ["v"], original="original", head=2).collect()
     assert sorted((r["v"], r["sorted_position"]) for r in got) == [(1, 0), (2, None), (3, 1)]
+
+
+def test_blocks_follow_the_size_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(running, "BLOCK_BYTES", 20_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    held = []
+    for n in (100, 20_000):
+        # half of the rows share the first key
+        df = spark.range(n).select("id", (F.col("id") % 2 * F.xxhash64("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+        staged, blocks = running._staged(df, [F.col("k"), F.col("id")], None)
+        counts = {r["_block"]: r["count"] for r in staged.groupBy("_block").count().collect()}
+        held.append(len(counts))
+        assert max(counts) < blocks and sum(counts.values()) == n
+        got = running.running(df, ["k", "id"], number="position").orderBy("k", "id").collect()
+        assert [r["position"] for r in got] == list(range(1, n + 1))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert held[0] <= 4 and held[1] > 30
