@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import ftrl, metrics, splits, trees
+from clickloom.operators.counts import CountEncoder
 from clickloom.options import BoostingParams, ColumnRoles, LearnerOptions
-from clickloom.plans.ctr import two_stage
+from clickloom.plans.ctr import TwoStageModel, two_stage
 from clickloom.plans.learner import OnlineLearner
 from clickloom.session import new_path, write_table
 from clickloom.sources.sinks import write_csv, write_lines
-from clickloom.sources.tables import EVENT_FEATURES, EVENT_ROLES, click_events
-from clickloom.sources.text import join_fields
+from clickloom.sources.tables import EVENT_FEATURES, EVENT_ROLES, click_events, click_log_csv
+from clickloom.sources.text import CLICK_LOG_FEATURES, CLICK_LOG_LABEL, join_fields, read_click_log
 
 TOLERANCE = 1e-9
 
@@ -69,7 +70,10 @@ def random_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per stage the held-out rows, and whether its metrics are in range and its AUC is that of its scores."""
-    fitted = two_stage(click_events(spark, sf_dir), EVENT_FEATURES, "click", "event_id", "batch")
+    return _stages_checked(two_stage(click_events(spark, sf_dir), EVENT_FEATURES, "click", "event_id", "batch"))
+
+
+def _stages_checked(fitted: TwoStageModel) -> DataFrame:
     stages = {
         "boosted_trees": fitted.held_out(fitted.tree_scores).select("y", "probability"),
         "ftrl_on_leaves": fitted.ftrl_scores().select("y", "probability"),
@@ -91,6 +95,24 @@ def two_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def click_log_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 24-column click log from its CSV: 23 features in 46 slots, fitted on the training part."""
+    path = new_path(spark, "click-log")
+    click_log_csv(spark, sf_dir, path)
+    log = read_click_log(spark, path)
+    train, _ = splits.hash_split(log, "id")
+    encoder = CountEncoder.fit(train, CLICK_LOG_FEATURES, CLICK_LOG_LABEL)
+    return encoder.transform(log, "id").select("id", CLICK_LOG_LABEL, *encoder.slots)
+
+
+def click_log_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both stages over the 24-column click log, steps by hour: the checks of ``two_stage_counts``."""
+    path = new_path(spark, "click-log")
+    click_log_csv(spark, sf_dir, path)
+    log = read_click_log(spark, path).withColumn("part", F.expr("int(hour) div 6"))
+    return _stages_checked(two_stage(log, CLICK_LOG_FEATURES, CLICK_LOG_LABEL, "id", "part"))
+
+
 def learner_csv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file learner end to end: events as CSV, two epochs over their batches, scores by name."""
     path = new_path(spark, "learner-csv")

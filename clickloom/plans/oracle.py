@@ -230,6 +230,26 @@ STATS_OUT = f"select feature, value, {whole('pos')}, {whole('cnt')}, {real('p1',
 LONG_OUT = f"select {whole('row_id')}, {real('y', 'y')}, {whole('idx')}, {real('x', 'x')} from "
 
 
+# the made-up categories of the click log: name, and how many values it has
+CLICK_LOG = dict(zip(
+    ("id hour C1 banner_pos site_id site_domain site_category app_id app_domain app_category device_id device_ip "
+     "device_model device_type device_conn_type C14 C15 C16 C17 C18 C19 C20 C21").split(), range(2, 200, 5), strict=False,
+))
+
+
+def _click_log_value(name: str, values: int) -> str:
+    if name in ("id", "hour"):
+        return {"id": "event_id::varchar", "hour": "hour::varchar"}[name]
+    number = f"(user_id * {values} + event_id) % {values}"
+    return f"case when {number} > 0 then 'v' || ({number}) else '' end"
+
+
+CLICK_LOG_ROWS = f"""{EVENTS},
+cl as materialized (
+  select event_id, click, {", ".join(f'{_click_log_value(c, v)} as "{c}"' for c, v in CLICK_LOG.items())} from ev)
+"""
+
+
 def order_cells(max_features: int) -> str:
     return f"""
       with {ORDERS}
@@ -458,6 +478,17 @@ ORACLE = {
         select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
                {real("(" + auc("sr") + ")", "auc")}
         from sr""",
+    "click_log_encode": f"""
+        with {CLICK_LOG_ROWS}, tr as (select * from cl where {IN_TRAIN}),
+        st as materialized ({stats("tr", list(CLICK_LOG), "click")})
+        select id, {whole("click")}, """
+    + ", ".join(real(f'coalesce("{c}_s".{p}, 0)', f'"{c}_{p}"') for c in CLICK_LOG for p in ("p1", "p0"))
+    + " from cl "
+    + " ".join(f"""left join st "{c}_s" on "{c}_s".feature = '{c}' and "{c}_s".value = cl."{c}" """ for c in CLICK_LOG),
+    "click_log_two_stage": f"""
+        with {EVENTS}, h as (select count(*) as rows from ev where not ({IN_TRAIN}))
+        select stage, rows, 1::bigint as sound
+        from h, (select unnest(['boosted_trees', 'ftrl_on_leaves']) as stage)""",
     "learner_csv_in_order": f"with {ORDERED_CELLS}, {ftrl_steps(ORDERED_EPOCHS)} {MODEL} m8",
     "learner_file_onehot": f"""
         with {EVENTS}, {ORDERED},

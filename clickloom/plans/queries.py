@@ -669,6 +669,8 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ctr_two_stage_report,
         checks.two_stage_counts,
         checks.random_split_counts,
+        checks.click_log_encode,
+        checks.click_log_two_stage,
         checks.learner_csv_scores,
         checks.learner_csv_report,
         checks.learner_csv_in_order,

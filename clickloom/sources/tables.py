@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.options import ColumnRoles
+from clickloom.sources.sinks import write_csv
+from clickloom.sources.text import CLICK_LOG_COLUMNS, CLICK_LOG_FEATURES, CLICK_LOG_LABEL
 
 EVENT_FEATURES = ["event_id", "hour", "user_id", "k"]
 
@@ -52,6 +54,21 @@ def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# values of each made-up category of the click log, from few to many
+_CLICK_LOG_VALUES = {c: 2 + 5 * k for k, c in enumerate(CLICK_LOG_FEATURES)}
+
+
+def click_log_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write ``events`` as a CSV of the 24 columns of the click log: own id, label and hour, other categories from
+    the user and the event; an empty field now and then."""
+    log = click_events(spark, sf_dir)
+    made = {"id": F.col("event_id").cast("string"), "hour": F.col("hour").cast("string"), CLICK_LOG_LABEL: F.col("click")}
+    for c, values in _CLICK_LOG_VALUES.items():
+        number = F.expr(f"(user_id * {values} + event_id) % {values}")
+        made.setdefault(c, F.when(number > 0, F.concat(F.lit("v"), number)))
+    write_csv(log.select(*[made[c].alias(c) for c in CLICK_LOG_COLUMNS]), path)
+
+
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a scored table: a probability from the value column, and its rounded class."""
     return click_events(spark, sf_dir).select(
