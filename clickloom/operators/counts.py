@@ -59,13 +59,11 @@ class CountEncoder:
         """Names of the encoded columns in slot order: two per column, the label column left out."""
         return [f"{c}_{p}" for c in self.columns for p in ("p1", "p0")]
 
-    def transform(
-        self, df: DataFrame, row_key: str, broadcast_rows: int = BROADCAST_ROWS
-    ) -> DataFrame:
+    def transform(self, df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
         """Add ``<column>_p1`` and ``<column>_p0`` per column; unknown and rare values become 0, 0."""
         shares = {p: F.col(p) for p in ("p1", "p0")}
         zeros = {p: F.lit(0.0) for p in ("p1", "p0")}
-        wide, found = self.stats.lookup(df, self.columns, shares, zeros, row_key, broadcast_rows)
+        wide, found = self.stats.lookup(df, self.columns, shares, zeros, broadcast_rows)
         return wide.select(
             *df.columns,
             *[found[c][p].alias(f"{c}_{p}") for c in self.columns for p in ("p1", "p0")],

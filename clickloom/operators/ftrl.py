@@ -132,10 +132,10 @@ class Ftrl:
             "idx",
             {"w": F.col("w")},
             lookup_rows=size,
-            spread=[KEY, "idx"],
             occurrences="seen",
             total=total,
             limit=self.broadcast_rows,
+            stored=True,
         )
         part = F.coalesce(F.col("x") * F.col("w"), F.lit(0.0))
         return looked_up.groupBy(KEY, *carry).agg(F.sum(part).alias("margin"))

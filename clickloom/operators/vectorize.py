@@ -171,16 +171,12 @@ class OneHotIndex:
         df: DataFrame,
         keep: Sequence[str] = (),
         broadcast_rows: int = BROADCAST_ROWS,
-        spread: Sequence[str] = (),
     ) -> DataFrame:
-        """Sparse rows (row_id, keep..., y, features); pairs not seen in fitting have no cell.
-
-        ``spread`` names columns that differ from row to row, where the id does not.
-        """
+        """Sparse rows (row_id, keep..., y, features); pairs not seen in fitting have no cell."""
         roles = self.roles
         nowhere = {"idx": F.lit(None).cast("int")}
         wide, found = self.entries.lookup(
-            df, roles.categorical, {"idx": F.col("idx")}, nowhere, spread or roles.id, broadcast_rows
+            df, roles.categorical, {"idx": F.col("idx")}, nowhere, broadcast_rows
         )
         values = [_required(F.col(c).cast("double"), c) for c in roles.numeric]
         numbers = [

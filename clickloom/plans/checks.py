@@ -102,7 +102,7 @@ def click_log_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read_click_log(spark, path)
     train, _ = splits.hash_split(log, "id")
     encoder = CountEncoder.fit(train, CLICK_LOG_FEATURES, CLICK_LOG_LABEL)
-    return encoder.transform(log, "id").select("id", CLICK_LOG_LABEL, *encoder.slots)
+    return encoder.transform(log).select("id", CLICK_LOG_LABEL, *encoder.slots)
 
 
 def click_log_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:

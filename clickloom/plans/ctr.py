@@ -85,7 +85,7 @@ def two_stage(
     encoder = CountEncoder.fit(log.where(train) if fit_on == "train" else log, columns, label, min_support)
     # encoded once; training, scoring and leaf features all read this table
     encoded = write_table(
-        encoder.transform(log, row_key).select(
+        encoder.transform(log).select(
             F.col(row_key).alias("row_id"),
             F.col(label).cast("double").alias("y"),
             F.col(batch).alias("batch"),

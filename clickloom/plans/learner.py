@@ -130,7 +130,7 @@ class OnlineLearner:
 
     def _named(self, log: DataFrame, keep: list[str] | None = None) -> DataFrame:
         if self.index is not None:
-            return self.index.transform(log, keep or [], spread=PLACE)
+            return self.index.transform(log, keep or [])
         return vectorize_named(log, self.roles, self.options, keep or [])
 
     def _lines(self, path: str) -> DataFrame:
@@ -141,5 +141,5 @@ class OnlineLearner:
     def _positional(self, lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         if self.index is not None:
             columns = positional_columns(lines, "fields", self.roles, PLACE)
-            return self.index.transform(columns, keep, spread=PLACE)
+            return self.index.transform(columns, keep)
         return vectorize_positional(lines, "fields", self.roles, self.options, keep)

@@ -151,7 +151,7 @@ def count_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = click_events(spark, sf_dir)
     train, _ = splits.hash_split(log, "event_id")
     encoder = CountEncoder.fit(train, EVENT_FEATURES, "click")
-    return encoder.transform(log.select("click", *EVENT_FEATURES), "event_id").select(
+    return encoder.transform(log.select("click", *EVENT_FEATURES)).select(
         "event_id", "click", *encoder.slots
     )
 
@@ -520,7 +520,7 @@ def _encoded_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CountE
     log = click_events(spark, sf_dir)
     train, _ = splits.hash_split(log, "event_id")
     encoder = CountEncoder.fit(train, EVENT_FEATURES, "click")
-    return write_table(encoder.transform(log, "event_id"), "encoded"), encoder
+    return write_table(encoder.transform(log), "encoded"), encoder
 
 
 def _boosted_events(spark: SparkSession, sf_dir: str) -> tuple[trees.BoostedTrees, DataFrame]:

@@ -41,7 +41,7 @@ def log(spark):
 def test_encoding_is_the_same_on_every_join_path(spark, log, broadcast_rows, monkeypatch):
     monkeypatch.setattr(lookup, "HOT_SHARE", 0.1)
     encoder = CountEncoder.fit(log, ["u", "a", "b"], "y")
-    got = {r["id"]: r for r in encoder.transform(log, "id", broadcast_rows).collect()}
+    got = {r["id"]: r for r in encoder.transform(log, broadcast_rows).collect()}
     assert len(got) == 1500
     counts = {}
     for r in log.collect():
@@ -58,7 +58,7 @@ def test_encoding_is_the_same_on_every_join_path(spark, log, broadcast_rows, mon
 
 def test_small_dictionaries_are_applied_without_a_shuffle(spark, log, plan_of):
     encoder = CountEncoder.fit(log, ["a", "b"], "y")
-    plan = plan_of(encoder.transform(log, "id"))
+    plan = plan_of(encoder.transform(log))
     assert plan.count("BroadcastHashJoin") == 2
     assert "Exchange hashpartitioning" not in plan
 
@@ -69,7 +69,7 @@ def test_many_columns_keep_their_slots(spark):
     encoder = CountEncoder.fit(df, names, "y")
     assert len(encoder.slots) == 46
     stats = {(r["feature"], r["value"]): r["p1"] for r in encoder.stats.table.collect()}
-    for r in encoder.transform(df, "id").collect():
+    for r in encoder.transform(df).collect():
         for c in names:
             assert r[f"{c}_p1"] == stats.get((c, r[c]), 0.0)
 
