@@ -8,7 +8,8 @@ known words are streamed.
 
 Automata are built by tasks, each over items of at most ``shard_words`` words, and written to the shared
 folder. Documents are streamed past as many of them at a time as ``broadcast_words`` allows; further ones
-mean further passes, and the spans of all passes are united per document.
+mean further passes, each over what the one before has written, and the spans of all passes are united per
+document.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ class Decontaminator:
 
     span: int = 10
     shard_words: int = 50_000
-    broadcast_words: int = 1_000_000
+    broadcast_words: int = 200_000  # some 100 MB of automata, of which a worker holds one pass
 
     def automata(self, benchmark: DataFrame) -> DataFrame:
         """(shard, words, automaton) over all items; missing or empty texts have no words, missing ids no item.
@@ -173,7 +174,8 @@ class Decontaminator:
         total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
         shards = max(1, -(-total // self.shard_words))
         if shards > 1:
-            shard = F.pmod(F.xxhash64("item_id"), F.lit(shards))
+            # rows of one item may be many, and hits are united by item
+            shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
         else:
             shard = F.lit(0)
 
@@ -221,7 +223,12 @@ class Decontaminator:
             [("n_words", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("starts", "ends", "items")]]
         )
         column = docs.columns.index("text")
+        shared = None
         for automata in self.passes(benchmark):
+            if shared is not None:
+                # a pass is over before the next one's automata are sent
+                docs = write_table(docs, "pass")
+                shared.unpersist()
             # within broadcast_words
             raw = [bytes(r["automaton"]) for r in automata.toLocalIterator()]
             shared = docs.sparkSession.sparkContext.broadcast(raw)

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators.running import running
 from clickloom.session import write_table
 
 # records of one archive file, by page id
@@ -61,15 +62,15 @@ class FixityAudit:
             F.octet_length("content").cast("bigint").alias("length"),
             F.sha2(F.col("content").cast("binary"), 256).alias("digest"),
         )
-        order = Window.partitionBy("file").orderBy(F.col("key").asc_nulls_first(), "digest")
-        return hashed.select(
+        # files of any size and keys of any number: running totals over ranges of records
+        placed = running(hashed, ["key", "digest"], by=["file"], sums={"end": F.col("length")}, number="place")
+        told = running(placed, ["digest", "place"], by=["file", "key"], number="copy")
+        return told.select(
             "file",
-            (F.row_number().over(order) - 1).cast("bigint").alias("seq"),
+            (F.col("place") - 1).alias("seq"),
             "key",
-            F.row_number().over(Window.partitionBy("file", "key").orderBy("digest")).alias("copy"),
-            F.coalesce(
-                F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("start"),
+            F.col("copy").cast("int").alias("copy"),
+            (F.col("end") - F.col("length")).alias("start"),
             "length",
             "digest",
         )

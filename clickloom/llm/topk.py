@@ -28,21 +28,24 @@ FIRST_DEPTH = 8
 class SortedLists:
     """A block of candidate vectors with a sorted list per dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        # what tells rows with the same id apart
+        self.rows = self.ids if rows is None else rows[order]
         self.floats = self.vectors.astype(np.float64)
         # rows in ascending order of each component
         self.lists = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.vectors, self.lists, axis=0)
 
     def top(self, key: int, query: np.ndarray, k: int) -> tuple[list[int], list[int], int]:
-        """(ids, scores) of the best k rows other than ``key``, ties to smaller ids; rows scored."""
+        """(ids, scores) of the best k rows other than the row ``key``, ties to smaller ids; rows scored."""
         n, used = len(self.ids), np.flatnonzero(query)
         weights = query[used]
         seen = np.zeros(n, bool)
         scores = np.full(n, np.iinfo(np.int64).min)
-        seen[self.ids == key] = True
+        own = self.rows == key
+        seen[own] = True
         depth, step = 0, FIRST_DEPTH
         # lists of the weights that favour large components are read from their ends
         falling = weights > 0
@@ -61,7 +64,7 @@ class SortedLists:
             if depth < n:
                 at = np.where(falling, self.sorted[n - depth, used], self.sorted[depth - 1, used])
                 bound = int(weights @ at)
-                found = scores[seen & (self.ids != key)]
+                found = scores[seen & ~own]
                 if len(found) >= k:
                     kth = int(np.partition(found, len(found) - k)[len(found) - k])
                     if bound < kth:
@@ -69,7 +72,7 @@ class SortedLists:
         if len(used) == 0:  # nothing to walk: every row scores 0
             seen[:] = True
             scores[:] = 0
-        open_ = np.flatnonzero(seen & (self.ids != key))
+        open_ = np.flatnonzero(seen & ~own)
         best = open_[np.lexsort((self.ids[open_], -scores[open_]))[:k]]
         return self.ids[best].tolist(), scores[best].tolist(), int(seen.sum())
 
@@ -86,25 +89,26 @@ class ThresholdSearch:
         """(query_id, rank, vec_id, score) of rows (key, vector array<bigint>); a row is not its own candidate.
 
         Rows with a missing key, a missing vector or a missing component take no part. Rows with the same
-        key are candidates one by one and one query, that with the smallest vector. A query with fewer
-        candidates than ``k`` gets all, one without any no row. Vectors of another length than the query's
-        do not meet it.
+        key are candidates and queries one by one, so they meet each other and their ranks stand side by side.
+        A query with fewer candidates than ``k`` gets all, one without any no row. Vectors of another length
+        than the query's do not meet it.
         """
         rows = vectors.select(
             F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<bigint>").alias("v"), is_query.alias("q")
         ).where("id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL)")
-        rows = write_table(rows.withColumn("size", F.size("v")), "vectors")
+        rows = write_table(
+            rows.withColumns({"size": F.size("v"), "row": F.monotonically_increasing_id()}), "vectors"
+        )
         total, asked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("q").cast("int")), F.lit(0))).first()
         blocks, parts = max(1, -(-total // self.block_rows)), max(1, -(-asked // self.query_rows))
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")
+        block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+        part = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int")
         candidates = rows.select(
-            "size", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "v",
+            "size", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "row", "id", "v",
             F.lit(False).alias("asks"),
         )
-        asking = rows.where("q").groupBy("id", "size").agg(F.min("v").alias("v"))
-        queries = asking.select(
-            "size", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), "id", "v",
+        queries = rows.where("q").select(
+            "size", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), "row", "id", "v",
             F.lit(True).alias("asks"),
         )
         k = self.k
@@ -113,19 +117,19 @@ class ThresholdSearch:
             asks = g["asks"].to_numpy()
             out = []
             if asks.any() and not asks.all():
-                ids, stacked = g["id"].to_numpy(), np.array(g["v"].tolist(), np.int64).reshape(len(g), -1)
-                lists = SortedLists(ids[~asks], stacked[~asks])
-                for key_, query in zip(ids[asks].tolist(), stacked[asks], strict=True):
-                    found, scores, _ = lists.top(key_, query, k)
-                    out += [(key_, i, s) for i, s in zip(found, scores, strict=True)]
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+                ids, own, stacked = g["id"].to_numpy(), g["row"].to_numpy(), np.array(g["v"].tolist(), np.int64).reshape(len(g), -1)
+                lists = SortedLists(ids[~asks], stacked[~asks], own[~asks])
+                for row, key_, query in zip(own[asks].tolist(), ids[asks].tolist(), stacked[asks], strict=True):
+                    found, scores, _ = lists.top(row, query, k)
+                    out += [(row, key_, i, s) for i, s in zip(found, scores, strict=True)]
+            return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"], dtype="int64")
 
         best = (
             candidates.union(queries)
             .groupBy("size", "block", "part")
-            .applyInPandas(join, "query_id bigint, vec_id bigint, score bigint")
+            .applyInPandas(join, "row bigint, query_id bigint, vec_id bigint, score bigint")
         )
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
         ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from clickloom.llm.backoff_lm import BackoffScorer
 from clickloom.llm.fixity import FixityAudit, warc_records
 from clickloom.llm.topk import SortedLists, ThresholdSearch, quantized
+from clickloom.operators import running
 
 # ---- language model
 
@@ -104,6 +106,12 @@ def test_small_searches(spark):
     two = spark.createDataFrame([(0, [1, 2]), (1, [0, 0]), (2, [7])], schema)
     assert sorted(map(tuple, search(two, F.lit(True)).collect())) == [(0, 1, 1, 0), (1, 1, 0, 0)]
     assert search(one.limit(0), F.lit(True)).count() == 0
+    # rows with one id are queries and candidates one by one
+    same = spark.createDataFrame([(0, [1, 2]), (0, [3, 1]), (1, [1, 0])], schema)
+    want = [(0, 1, 0, 5), (0, 1, 0, 5), (0, 2, 1, 1), (0, 2, 1, 3)]
+    assert sorted(map(tuple, search(same, F.expr("vec_id = 0")).collect())) == want
+    empty = spark.createDataFrame([(0, []), (1, []), (2, [])], schema)
+    assert sorted(map(tuple, search(empty, F.expr("vec_id = 0")).collect())) == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
 # ---- fixity
@@ -143,6 +151,22 @@ def test_starts_are_offsets(spark):
     ]
 
 
+def test_files_of_many_blocks(spark, monkeypatch):
+    """Pages without id and copies of one id stand in one file each, which no single task may have to sort."""
+    monkeypatch.setattr(running, "BLOCK_BYTES", 20_000)
+    rows = [(None, f"u{k}", "h" * (k % 7)) for k in range(1_500)] + [(5, "u", f"h{k % 40}") for k in range(1_500)]
+    records = FixityAudit().records(warc_records(pages(spark, rows)))
+    got = {(r["file"], r["seq"]): r for r in records.collect()}
+    for file in (-1, 0):
+        own = [got[file, k] for k in range(1_500)]
+        assert [r["start"] for r in own] == list(accumulate([0, *[r["length"] for r in own[:-1]]]))
+        assert [r["copy"] for r in own] == list(range(1, 1_501))
+        assert [r["digest"] for r in own] == sorted(r["digest"] for r in own)
+    other = [*rows[:-1], (5, "u", "changed"), (6, "new", "page")]
+    differing = FixityAudit().audit(warc_records(pages(spark, rows)), warc_records(pages(spark, other))).collect()
+    assert ("surplus", 6) in {(r["status"], r["key"]) for r in differing} and len(differing) > 1
+
+
 def test_equal_and_empty_replicas(spark):
     rows = warc_records(pages(spark, [(k, "u", "h") for k in range(100)]))
     none = rows.limit(0)
