@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import components
-from clickloom.llm.tables import bounded_broadcast, keyed_texts, text_batches
+from clickloom.llm.tables import bounded_broadcast, keyed_texts, text_batches, written_broadcast
 from clickloom.llm.words import NOT_BLANK, hash_words, mix, pieces, shingle_sets, tidy
 from clickloom.session import write_table
 
@@ -42,6 +42,8 @@ MAX_SKETCH = 1 << 24
 SKETCH_SHARE = 64
 # least number of buckets of a signature, which counts the shingles of the set that fall on each
 SIGNATURE = 256
+# tasks whose counts are added in one group
+ADDED_AT_ONCE = 256
 # bytes of sets that one batch hands on
 BATCH_BYTES = 4 << 20
 
@@ -129,8 +131,7 @@ class JaccardJoin:
             # a document has no more cells than prefix shingles
             .agg(F.collect_set("small").alias("small"), F.collect_set("large").alias("large"))
         )
-        placed = write_table(placed, "placed")
-        texts = keyed_texts(docs).join(bounded_broadcast(placed, placed.count()), "doc_id")
+        texts = keyed_texts(docs).join(written_broadcast(placed, "placed"), "doc_id")
         leaves = (
             self._sets(texts, "small")
             .groupBy("cell")
@@ -266,7 +267,8 @@ class JaccardJoin:
         cut = outside.withColumn("slice", slices)
         counts = cut.groupBy("cell", "home", "slice").agg(F.count(F.lit(1)).alias("docs"))
         parts = F.ceil(F.col("docs") / block).cast("int")
-        cut = cut.join(F.broadcast(counts.withColumn("parts", parts).drop("docs")), ["cell", "home", "slice"])
+        counts = counts.withColumn("parts", parts).drop("docs")
+        cut = cut.join(written_broadcast(counts, "slices"), ["cell", "home", "slice"])
         cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         region = ["cell", "home", "slice", "part"]
         cut = write_table(cut.select(*region, "doc_id", "d"), "outside")
@@ -327,8 +329,11 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
     """Per counter the logarithm of the number of documents with a shingle that falls on it.
 
     A sketch of fixed size over all documents: any fixed order of shingles gives exact joins, and this one
-    puts what many documents share last.
+    puts what many documents share last. The counts of many tasks are added in two steps, about the root of
+    their number in a group each.
     """
+    tasks = text_batches(docs).rdd.getNumPartitions()
+    lanes = int(tasks**0.5) if tasks > ADDED_AT_ONCE else 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, slot, texts = np.zeros(counters, np.uint16), np.uint64(counters - 1), 0
@@ -357,16 +362,26 @@ def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
         table[:] = 0
         return out
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        total, codec = np.zeros(SKETCH_BLOCK, np.int64), pa.Codec("zstd", 1)
+    def total(g: pd.DataFrame) -> np.ndarray:
+        out, codec = np.zeros(SKETCH_BLOCK, np.int64), pa.Codec("zstd", 1)
         for size, counts in zip(g["bytes"], g["counts"], strict=True):
             raw = codec.decompress(counts, SKETCH_BLOCK * size, asbytes=True)
-            total += np.frombuffer(raw, f"<u{size}").astype(np.int64)
-        levels = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+            out += np.frombuffer(raw, f"<u{size}").astype(np.int64)
+        return out
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        packed = pa.Codec("zstd", 1).compress(total(g).astype("<u8"), asbytes=True)
+        return pd.DataFrame({"block": g["block"].iloc[:1], "bytes": [8], "counts": [packed]})
+
+    def level(g: pd.DataFrame) -> pd.DataFrame:
+        levels = np.floor(np.log2(np.maximum(total(g), 1))).astype(np.uint8)
         return pd.DataFrame({"block": g["block"].iloc[:1], "levels": [levels.tobytes()]})
 
     counted = text_batches(docs).select(F.col("text").cast("string")).mapInArrow(tidy(count), "block int, bytes int, counts binary")
-    merged = counted.groupBy("block").applyInPandas(add, "block int, levels binary")
+    if lanes > 1:
+        lane = F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")
+        counted = counted.select("*", lane).groupBy("block", "lane").applyInPandas(add, "block int, bytes int, counts binary")
+    merged = counted.groupBy("block").applyInPandas(level, "block int, levels binary")
     out = np.zeros(counters, np.uint8)
     for row in merged.toLocalIterator():  # at most MAX_SKETCH bytes in all
         out[row["block"] * SKETCH_BLOCK :][:SKETCH_BLOCK] = np.frombuffer(row["levels"], np.uint8)

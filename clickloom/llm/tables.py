@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.session import BROADCAST_ROWS
+from clickloom.session import BROADCAST_ROWS, bytes_of, new_path, write_table
+
+# written size, compressed, up to which a table is broadcast: some ten times that in memory
+BROADCAST_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +39,10 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast while the measured ``rows`` are within ``limit``; a shuffled join otherwise."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def written_broadcast(df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Write ``df`` and hint a broadcast while what was written is within ``limit`` bytes, whatever its rows hold."""
+    path = new_path(df.sparkSession, name)
+    written = write_table(df, name, path)
+    return F.broadcast(written) if bytes_of(df.sparkSession, path) <= limit else written

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from clickloom.llm import jaccard_join, tables
 from clickloom.llm.components import components
 from clickloom.llm.jaccard_join import JaccardJoin
 
@@ -61,6 +62,29 @@ def test_other_width_and_threshold(docs_of):
     assert {tuple(r) for r in got} == brute_force(rows, 5, 80)
 
 
+def test_large_cells_and_long_sets_at_default_settings(docs_of):
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(1_400)]
+    rows = []
+    for k in range(230):
+        ws = list(common)
+        for _ in range(rng.choice([0, 1, 20, 45, 90])):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(ws[: rng.choice([1_400, 1_300, 1_200])])))
+    got = JaccardJoin().classes(docs_of(rows)).collect()
+    want = brute_force(rows, 5, 80)
+    assert {tuple(r) for r in got} == want
+    assert 1 < len({c for *_, c in want}) < 230 and max(n for _, n, _ in want) > 1_024
+
+
+def test_counts_of_many_tasks_and_joins_without_broadcast(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ADDED_AT_ONCE", 3)
+    monkeypatch.setattr(tables.written_broadcast, "__defaults__", (0,))
+    rows = corpus(6)
+    got = JaccardJoin(width=4, percent=85, leaf_docs=4, pivots=4).classes(docs_of(rows).repartition(9)).collect()
+    assert {tuple(r) for r in got} == brute_force(rows, 4, 85)
+
+
 def test_missing_and_repeated_ids(docs_of):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (2, "p q r s t"), (5, "p q r s t"), (None, None)]
     got = sorted(map(tuple, JaccardJoin(4, 85).classes(docs_of(rows)).collect()), key=str)
