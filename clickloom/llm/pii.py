@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from clickloom.llm import bilstm_crf
 from clickloom.llm.sparse_ftrl import free_name
 from clickloom.llm.tables import text_batches
-from clickloom.llm.words import byte_set, pieces, tidy
+from clickloom.llm.words import byte_set, pieces, release, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of every kind
@@ -233,7 +233,9 @@ class PiiFinder:
         taken = ranked.where(F.col("place") <= most.otherwise(self.sample_windows // 2)).collect()
         taken.sort(key=lambda r: (r["kind"], r["place"]))
         labelled = [r for r in taken if r["kind"] >= 0]
-        return self._train(labelled, [r for r in taken if r["kind"] < 0]) if labelled else None
+        trained = self._train(labelled, [r for r in taken if r["kind"] < 0]) if labelled else None
+        release()
+        return trained
 
     def _train(self, labelled: list, plain: list) -> bilstm_crf.Params:
         rng = np.random.default_rng(self.seed)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.llm.tables import text_batches
-from clickloom.llm.words import pieces, tidy
+from clickloom.llm.words import pieces, release, tidy
 
 # tasks that featurize a sample
 _PARTS = 16
@@ -128,7 +128,8 @@ def fit(
     rows = matches.orderBy(F.xxhash64("doc_id", "y", "text"), "doc_id", "y", "text").limit(sample.rows).repartition(_PARTS)
     table = text_batches(rows).mapInArrow(tidy(featurize), "doc_id bigint, y int, at array<int>, x array<float>").toArrow()
     examples = [
-        (i, y, np.asarray(a.values, np.int64), np.asarray(x.values, np.float64))
+        # views of what Arrow holds: widened one example at a time
+        (i, y, np.asarray(a.values), np.asarray(x.values))
         for i, y, a, x in zip(
             table["doc_id"].to_pylist(), table["y"].to_pylist(), table["at"], table["x"], strict=True
         )
@@ -140,6 +141,8 @@ def fit(
             update(z, n, np.append(at, 0), np.append(x, 1.0), y, ftrl)
     w = weights(z, n, ftrl)
     index = np.flatnonzero(w)
+    del table, examples, z, n
+    release()
     return Weights(bits, index, w[index].astype(np.float32))
 
 
