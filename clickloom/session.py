@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+# folder of the scratch space that the code at hand runs in
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/clickloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the scratch space at hand, or else below the shared folder."""
+    return f"{_scope.get() or f'{shared_dir(spark)}/clickloom'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch") -> Iterator[str]:
+    """A folder for all that jobs write in between, removed with everything in it at the end of the block.
+
+    Results that are DataFrames read from it, so they have to be written elsewhere, or collected, within the
+    block. Blocks may be nested; each thread has its own, so what a stream's batches write is not in it.
+    """
+    path = new_path(spark, name)
+    token = _scope.set(path)
+    try:
+        yield path
+    finally:
+        _scope.reset(token)
+        delete_directory(spark, path)
 
 
 def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
