@@ -2,7 +2,7 @@
 
 Relationally: explode every document into n-grams, count them in tables partitioned by n-gram hash, join the
 counts back to the exploded n-grams, and sum per document. A row per n-gram and document would be shuffled
-several times, so documents are dealt to blocks by the hash of their id and both relations travel packed: a
+several times, so documents are dealt to blocks by the hash of id and text and both relations travel packed: a
 block sends each hash partition its distinct n-grams with their numbers, as sorted hashes in compressed
 differences, and gets back their counts in the same order. A frequent n-gram is one entry per block, however
 many documents have it. Blocks and hash partitions have a set size, so their numbers follow the input.
@@ -157,7 +157,8 @@ class BackoffScorer:
                 )
             return pd.concat(out)
 
-        block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+        # by text as well: rows without an id, or of one id, are documents like others
+        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
         dealt = text_batches(texts).select("doc_id", "text", block).mapInArrow(
             tidy(pack), "block bigint, ids binary, held binary, offsets binary, texts binary"
         )

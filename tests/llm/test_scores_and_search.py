@@ -58,6 +58,15 @@ def test_scores_like_brute_force(docs_of, scorer):
         assert g[3] is None if w[1] == 0 else g[3] == pytest.approx(w[2] / w[1])
 
 
+def test_documents_of_one_id_are_dealt_to_many_blocks(spark, docs_of):
+    rng = random.Random(4)
+    rows = [(key, " ".join(rng.choice("abcdefg") for _ in range(40))) for key in (None, 7) for _ in range(60)]
+    scorer = BackoffScorer(block_bytes=800, partition_bytes=2_000)
+    got = sorted((r["n_words"], round(r["log_score"], 9)) for r in scorer.score(docs_of(rows)).collect())
+    own_ids = docs_of([(k, t) for k, (_, t) in enumerate(rows)])
+    assert got == sorted((r["n_words"], round(r["log_score"], 9)) for r in BackoffScorer().score(own_ids).collect())
+
+
 def test_no_documents(docs_of):
     assert BackoffScorer().score(docs_of([])).count() == 0
 
