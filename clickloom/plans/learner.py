@@ -21,6 +21,9 @@ from clickloom.sources.text import read_by_name, split_fields
 # steps of an epoch: each learns this share of the log, whatever its size
 STEPS = 32
 
+# places of a score that tell rows apart; sums in another order differ behind them
+TIED = 12
+
 
 @dataclass
 class OnlineLearner:
@@ -107,8 +110,13 @@ class OnlineLearner:
         return self._evaluate(self._positional(self._lines(path)))
 
     def _evaluate(self, rows: DataFrame) -> DataFrame:
-        """One row (auc, accuracy at the base rate, logloss, rows)."""
+        """One row (auc, accuracy at the base rate, logloss, rows).
+
+        Rows with the same features tie, whatever the order in which their cells were added: scores are rounded
+        to ``TIED`` places.
+        """
         scored = self.learner.labelled_scores(rows, self._fitted())
+        scored = scored.withColumn("probability", F.round("probability", TIED))
         return metrics.report(scored, "y", "probability", threshold=self.base_rate())
 
     def base_rate(self) -> DataFrame:

@@ -473,7 +473,7 @@ ORACLE = {
     "learner_csv_report": f"""
         with {EVENT_CELLS}, {ftrl_steps(TWO_EPOCHS)}, wt as (select idx, {WEIGHT} as w from m10),
         sr as (
-          select row_id, y as click, {sigmoid("sum(x * coalesce(w, 0))")} as probability
+          select row_id, y as click, round({sigmoid("sum(x * coalesce(w, 0))")}, 12) as probability
           from cells left join wt using (idx) group by row_id, y)
         select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
                {real("(" + auc("sr") + ")", "auc")}
@@ -504,7 +504,7 @@ ORACLE = {
     "learner_file_report": f"""
         with {LINE_CELLS}, {ftrl_steps(ORDERED_EPOCHS)}, wt as (select idx, {WEIGHT} as w from m8),
         sr as (
-          select rws.row_id, rws.y as click, {sigmoid("coalesce(sum(x * coalesce(w, 0)), 0)")} as probability
+          select rws.row_id, rws.y as click, round({sigmoid("coalesce(sum(x * coalesce(w, 0)), 0)")}, 12) as probability
           from rws left join cells using (row_id) left join wt using (idx) group by rws.row_id, rws.y)
         select count(*) as rows, {real(f"avg({loss('probability', 'click')})", "logloss")},
                {real("(" + auc("sr") + ")", "auc")}
