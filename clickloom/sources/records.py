@@ -63,23 +63,30 @@ class _Assembler:
         """The next lines of the block."""
         odd = pc.count_substring(values, '"').to_numpy(zero_copy_only=False) & 1
         after = (np.cumsum(odd) + self.odd) & 1
-        before = np.concatenate([[int(self.odd)], after[:-1]])
-        single = np.flatnonzero((before == 0) & (after == 0))
-        alone = pc.replace_substring_regex(values.take(pa.array(single)), "\r$", "")
-        filled = pc.not_equal(pc.utf8_trim_whitespace(alone), "").to_numpy(zero_copy_only=False)
-        single, alone = single[filled], alone.filter(pa.array(filled))
-        begun = np.sort(np.concatenate([single, np.flatnonzero((before == 0) & (after == 1))]))
-        if len(single):
-            self._emit(self.next + np.searchsorted(begun, single), alone, _WHOLE)
-        # lines of records with line breaks, one by one
-        for k in np.flatnonzero((before == 1) | (after == 1)).tolist():
-            if not before[k]:
-                self.at = self.next + int(np.searchsorted(begun, k))
-            self.held.append(values[k].as_py())
-            if not after[k]:
+        starts = np.flatnonzero(np.concatenate([[int(self.odd)], after[:-1]]) == 0)
+        ends = np.flatnonzero(after == 0)
+        if self.odd:
+            # the record that is open, up to its end or that of the lines
+            last = int(ends[0]) + 1 if len(ends) else len(values)
+            self.held += values.slice(0, last).to_pylist()
+            if len(ends):
                 self._emit([self.at], pa.array(["\n".join(self.held).removesuffix("\r")]), _LAST if self.carried else _WHOLE)
                 self.held, self.at, self.carried = [], -1, False
-        self.next += len(begun)
+            ends = ends[1:]
+        if len(ends):
+            # all lines between the first start and the last end are records that begin and end here
+            within = values.slice(int(starts[0]), int(ends[-1] + 1 - starts[0]))
+            bounds = np.append(starts[: len(ends)], ends[-1] + 1) - starts[0]
+            records = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), within), "\n")
+            records = pc.replace_substring_regex(records, "\r$", "")
+            records = records.filter(pc.not_equal(pc.utf8_trim_whitespace(records), ""))
+            if len(records):
+                self._emit(self.next + np.arange(len(records)), records, _WHOLE)
+            self.next += len(records)
+        if len(starts) > len(ends):
+            self.at = self.next
+            self.held = values.slice(int(starts[-1])).to_pylist()
+            self.next += 1
         self.odd = bool(after[-1])
 
 
@@ -135,11 +142,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     placed = lines.join(carried, ["_file", "_block"], "left").select(
         "_file", "_block", F.coalesce("odd", F.lit(False)).alias("odd"), "value"
     )
-    pieces = placed.mapInArrow(_pieces, _PIECES)
-    whole = pieces.where(F.col("part") == _WHOLE).drop("part")
+    whole = placed.mapInArrow(_pieces, _PIECES).where(F.col("part") == _WHOLE).drop("part")
     if split_inside.isEmpty():
         return whole
-    return whole.unionByName(_joined(pieces.where(F.col("part") != _WHOLE)))
+    # only blocks that begin or end inside a field hold pieces, so only these are put together again
+    reaching = lines.join(carried, ["_file", "_block"]).select("_file", "_block", "odd", "value")
+    return whole.unionByName(_joined(reaching.mapInArrow(_pieces, _PIECES).where(F.col("part") != _WHOLE)))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:

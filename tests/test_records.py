@@ -2,12 +2,13 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from clickloom.options import ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.plans.learner import OnlineLearner
 from clickloom.session import write_table
-from clickloom.sources.records import numbered, read_lines_in_place, read_records
+from clickloom.sources.records import _pieces, numbered, read_lines_in_place, read_records
 from clickloom.sources.text import read_by_name
 
 
@@ -43,6 +44,24 @@ def test_quoted_breaks_over_many_splits(spark, tmp_path, small_splits):
     assert [(r["id"], r["t"] or "") for r in got] == [tuple(r) for r in want]
 
 
+def test_records_with_breaks_leave_a_batch_of_lines_together():
+    lines = [x for i in range(3_000) for x in (f'{i},"a\r', " ", f'{i}"\r', " \r", f"{i},b")]
+    n = len(lines)
+    columns = [pa.array(["f"] * n), pa.array([7] * n, pa.int64()), pa.array([False] * n), pa.array(lines)]
+    out = list(_pieces(iter([pa.RecordBatch.from_arrays(columns, ["_file", "_block", "odd", "value"]).slice(2, n - 4)])))
+    whole = [r for batch in out for r in batch.to_pylist() if r["part"] == 0]
+    # the first line left closes a quote and so opens one here
+    assert len(out) <= 3
+    assert [r["_place"] for r in whole] == list(range(len(whole)))
+
+    out = list(_pieces(iter([pa.RecordBatch.from_arrays(columns, ["_file", "_block", "odd", "value"])])))
+    assert len(out) <= 3
+    want = [r for i in range(3_000) for r in (f'{i},"a\r\n \n{i}"', f"{i},b")]
+    assert [(r["_file"], r["_block"], r["_place"], r["record"], r["part"]) for b in out for r in b.to_pylist()] == [
+        ("f", 7, k, r, 0) for k, r in enumerate(want)
+    ]
+
+
 def test_blank_records_and_files_without_records(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,t\n\n1,x\n   \n"2","\n"\n\n')
     (tmp_path / "b.csv").write_text("id,t\n")
