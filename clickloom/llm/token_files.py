@@ -12,6 +12,7 @@ certainly cut into such runs goes to the tokenizer as it is.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +26,8 @@ from clickloom.llm.tables import bounded_broadcast, text_batches
 from clickloom.llm.words import byte_set, pieces, run_hashes, tidy
 from clickloom.session import new_path
 
-# runs whose ids a Python worker keeps; a full store is emptied, which costs time alone
-KEPT_RUNS = 1_500_000
+# runs whose ids a Python worker keeps, in some 200 MB; a full store is emptied, which costs time alone
+KEPT_RUNS = 1_000_000
 
 def default_tokenizer() -> str:
     """The vocabulary file of the installed package of public tokenizers."""
@@ -59,6 +60,8 @@ class RunEncoder:
     """
 
     def __init__(self, tokenizer_file: str) -> None:
+        # tasks are what runs side by side; threads of a worker would each hold buffers of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -208,7 +211,7 @@ class TokenFiles:
 
             part, total, own = TaskContext.get().partitionId(), 0, encoder(file)
             for batch in batches:
-                for a, b, data, offsets in pieces(batch.column(1), 1 << 21):
+                for a, b, data, offsets in pieces(batch.column(1)):
                     ids, bounds = own.encode(data, offsets)
                     n = np.diff(bounds)
                     ids = np.insert(ids, bounds[1:], end)

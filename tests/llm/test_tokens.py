@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from clickloom.llm.pieces_sampling import PieceSampler, Vocabulary, default_model
 from clickloom.llm.tables import read
 from clickloom.llm.token_files import RunEncoder, TokenFiles, default_tokenizer
-from clickloom.llm.words import buffers
+from clickloom.llm.words import PIECE, buffers
 
 ODD = ["", "a", " ", "   ", "\n", "a \n b", "Hello  world\n\tÉté ▁x 日本語 \U0001f600", "it's <|endoftext|> 'll", " lead trail ", "\0 ", "x" * 3000, "×÷ ß", "a\n\nb", "12ab!!c"]
 
@@ -30,6 +30,23 @@ def test_runs_give_the_tokenizer_s_ids():
             assert ids[bounds[k] : bounds[k + 1]].tolist() == own.whole(t).tolist(), t
 
 
+def test_long_batches_are_encoded_in_small_pieces_with_a_bounded_store(docs_of, tmp_path, monkeypatch):
+    from clickloom.llm import token_files
+
+    seen, plain = [], token_files.pieces
+    monkeypatch.setattr(token_files, "pieces", lambda texts, limit=PIECE: seen.append(limit) or plain(texts, limit))
+    caught = []
+    monkeypatch.setattr(token_files, "tidy", lambda run: caught.append(run) or (lambda batches: iter(())))
+    TokenFiles().write(docs_of([(1, "a")]), f"{tmp_path}/files")
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    texts = pa.array([f"text {i} " + "word " * 2_000 + "end" for i in range(150)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150), pa.int64()), texts], ["doc_id", "text"])
+    out = list(caught[0](iter([batch])))
+    assert seen == [PIECE] and max(r.num_rows for r in out) <= PIECE // 10_000
+    assert sum(r.num_rows for r in out) == 150
+    assert token_files.KEPT_RUNS <= 1_000_000
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_come_back(spark, docs_of, tmp_path, encoding):
     rows = [(None, "no id"), (7, None), (-3, "first"), *[(10 + k, t) for k, t in enumerate(ODD)], (7, "again"), (7, "again")]
