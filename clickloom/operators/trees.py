@@ -15,7 +15,7 @@ from clickloom.functions.hashing import slot_number
 from clickloom.functions.scalar import boosting_probability
 from clickloom.operators.vectorize import cell
 from clickloom.options import BoostingParams
-from clickloom.session import new_path, shared_dir
+from clickloom.session import new_path, shared_dir, spread
 
 
 @dataclass(frozen=True)
@@ -173,8 +173,10 @@ class BoostedTrees:
         if params.cache_node_ids and params.checkpoint_interval > 0:
             # node ids are checkpointed where the session keeps its scratch tables
             _checkpoint_folder(df.sparkSession)
-        labelled = df.withColumn("label", F.col(label).cast("double"))
-        dense = BoostedTrees._dense(inputs).transform(labelled).select("label", "features")
+        labelled = df.withColumn("label", F.col(label).cast("double")).select(*dict.fromkeys(["label", *inputs]))
+        # each level of each tree is a pass over the rows, so these are dealt out evenly once
+        even = spread(labelled, df.count())
+        dense = BoostedTrees._dense(inputs).transform(even).select("label", "features")
         return BoostedTrees(tuple(inputs), booster.fit(dense))
 
     @staticmethod

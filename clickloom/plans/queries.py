@@ -25,7 +25,7 @@ from clickloom.operators.vectorize import (
 from clickloom.options import BoostingParams, ColumnRoles, FtrlParams, LearnerOptions
 from clickloom.plans import checks
 from clickloom.plans.ctr import two_stage
-from clickloom.session import delete_directory, new_path, path_exists, write_table
+from clickloom.session import delete_directory, new_path, path_exists, spread, write_table
 from clickloom.sources.records import numbered, read_lines_in_place
 from clickloom.sources.sinks import submission, write_csv, write_lines, write_submission
 from clickloom.sources.staging import stage_in_order
@@ -518,6 +518,7 @@ def ftrl_fit_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encoded_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CountEncoder]:
     log = click_events(spark, sf_dir)
+    log = spread(log, log.count())
     train, _ = splits.hash_split(log, "event_id")
     encoder = CountEncoder.fit(train, EVENT_FEATURES, "click")
     return write_table(encoder.transform(log), "encoded"), encoder

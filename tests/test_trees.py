@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import slot_number
@@ -94,3 +95,12 @@ def test_exported_trees_route_and_score_alike(fitted):
     both = trees.transform(df).withColumn("p", exported.leaf_positions()).withColumn("f", exported.raw())
     assert both.where("p <> leaf_positions").count() == 0
     assert both.agg(F.max(F.abs(F.col("f") - F.col("raw_score")))).first()[0] < 1e-12
+
+
+def test_training_rows_of_one_partition_are_spread(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+    for rows in (100_000, 600):
+        log = spark.range(0, rows, 1, 1).selectExpr("id % 2 AS y", "double(id) AS a", "double(id % 7) AS b")
+        BoostedTrees.fit(log, ["a", "b", "a"], "y")
+    assert seen == [min(spark.sparkContext.defaultParallelism, 2), 1]
