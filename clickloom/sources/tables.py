@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.options import ColumnRoles
+from clickloom.session import spread
 from clickloom.sources.sinks import write_csv
 from clickloom.sources.text import CLICK_LOG_COLUMNS, CLICK_LOG_FEATURES, CLICK_LOG_LABEL
 
@@ -66,6 +67,7 @@ def click_log_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
     for c, values in _CLICK_LOG_VALUES.items():
         number = F.expr(f"(user_id * {values} + event_id) % {values}")
         made.setdefault(c, F.when(number > 0, F.concat(F.lit("v"), number)))
+    log = spread(log, log.count())
     write_csv(log.select(*[made[c].alias(c) for c in CLICK_LOG_COLUMNS]), path)
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom import session
-from clickloom.sources import sinks, text
+from clickloom.sources import sinks, tables, text
 
 
 def test_click_log(spark, tmp_path):
@@ -85,3 +85,15 @@ def test_intermediate_tables_go_to_the_configured_folder(spark):
     assert path.startswith(session.shared_dir(spark))
     if configured:
         assert path.startswith(configured)
+
+
+def test_click_log_of_one_partition_is_written_by_many_tasks(spark, tmp_path):
+    made = spark.range(0, 120_000, 1, 1).selectExpr(
+        "id AS event_id", "timestamp_seconds(id * 60) AS ts", "id % 90 AS user_id",
+        "IF(id % 3 = 0, 'click', 'view') AS event_type", "double(id % 11) AS value", "concat('{\"k\": ', id % 5, '}') AS props",
+    )
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    tables.click_log_csv(spark, str(tmp_path), f"{tmp_path}/log")
+    log = text.read_click_log(spark, f"{tmp_path}/log")
+    assert len(log.inputFiles()) == min(spark.sparkContext.defaultParallelism, 3)
+    assert sorted(int(r["id"]) for r in log.select("id").collect()) == list(range(120_000))
