@@ -16,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from clickloom.llm.tables import bounded_broadcast, text_batches
 from clickloom.llm.words import byte_set, pieces, run_hashes, tidy
 from clickloom.session import new_path
 
-# runs whose ids a Python worker keeps, in some 200 MB; a full store is emptied, which costs time alone
+# runs whose ids a Python worker keeps, in some 60 MB; a full store is emptied, which costs time alone
 KEPT_RUNS = 1_000_000
+# new runs that go to the tokenizer as one text
+JOINED_RUNS = 4_000
+
 
 def default_tokenizer() -> str:
     """The vocabulary file of the installed package of public tokenizers."""
@@ -66,11 +70,15 @@ class RunEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        # a token's characters stand for one byte each
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.keys, self.slots = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+        self.flat, self.used, self.entries = np.zeros(1 << 16, np.int32), 0, 0
         self.starts = np.zeros(1 << 14, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
@@ -92,8 +100,7 @@ class RunEncoder:
         text = np.searchsorted(offsets, starts, "right") - 1
         fine = ~odd[text]
         starts, ends, text = starts[fine], ends[fine], text[fine]
-        hashes, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        entries = self._entries(hashes, data, starts[first], ends[first])[which]
+        entries = self._entries(run_hashes(data, starts, ends), data, starts, ends)
         sizes = self.starts[entries + 1] - self.starts[entries]
         counts = np.bincount(text, sizes, minlength=rows).astype(np.int64)
         others = {int(k): self.whole(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in np.flatnonzero(odd)}
@@ -133,46 +140,86 @@ class RunEncoder:
         return odd
 
     def _entries(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.index) + len(hashes) > KEPT_RUNS:
+        found = self._find(hashes)
+        if not (found < 0).any():
+            return found
+        unknown = np.flatnonzero(found < 0)
+        new, first = np.unique(hashes[unknown], return_index=True)
+        if self.entries and self.entries + len(new) > KEPT_RUNS:
             self._clear()
-        found = list(map(self.index.get, hashes.tolist()))
-        fresh = [k for k, e in enumerate(found) if e is None]
-        if fresh:
-            raw = data.tobytes()
-            a, b = starts[fresh].tolist(), ends[fresh].tolist()
-            runs = [raw[i:j].decode() for i, j in zip(a, b, strict=True)]
-            words = [k for k, r in enumerate(runs) if r[0] == " " and r[1:].isalpha()]
-            rest = sorted(set(range(len(runs))) - set(words))
-            self._words([fresh[k] for k in words], [runs[k] for k in words], hashes)
-            made = self.tokenizer.encode_batch_fast([runs[k] for k in rest], add_special_tokens=False)
-            for k, e in zip(rest, made, strict=True):
-                self._add([fresh[k]], hashes, np.array(e.ids, np.int32), np.array([0, len(e.ids)]))
-            found = list(map(self.index.__getitem__, hashes.tolist()))
-        return np.array(found, np.int64)
-
-    def _words(self, where: list[int], runs: list[str], hashes: np.ndarray) -> None:
-        """Blanks followed by letters are one run each, so many go to the tokenizer as one text."""
-        for a in range(0, len(runs), 4_000):
-            part = runs[a : a + 4_000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(e.ids, np.int32), np.array(e.word_ids)
-            at = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(ids)]])
-            if len(at) == len(part) + 1:
-                self._add(where[a : a + 4_000], hashes, ids, at)
-                continue
-            for k, one in zip(where[a : a + 4_000], self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._add([k], hashes, np.array(one.ids, np.int32), np.array([0, len(one.ids)]))
-
-    def _add(self, where: list[int], hashes: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
-        n = len(self.index)
+            return self._entries(hashes, data, starts, ends)
+        fresh = unknown[first]
+        led = data[starts[fresh]] == 0x20
+        fresh, n = np.concatenate([fresh[led], fresh[~led]]), int(led.sum())
+        kept = np.arange(self.entries, self.entries + len(fresh), dtype=np.int32)
+        for at in range(0, n, JOINED_RUNS):
+            part = fresh[at : min(n, at + JOINED_RUNS)]
+            self._add(*self._joined(data, starts[part], ends[part]))
+        if n < len(fresh):
+            self._add(*self._single(data, starts[fresh[n:]], ends[fresh[n:]]))
+        self._keep(hashes[fresh], kept)
+        found[unknown] = self._find(hashes[unknown])
+        return found
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none; a slot that another hash has leads to the next."""
+        at = hashes & np.uint64(len(self.slots) - 1)
+        found = self.slots[at]
+        rest = np.flatnonzero((found >= 0) & (self.keys[at] != hashes))
+        while len(rest):
+            at[rest] = (at[rest] + np.uint64(1)) & np.uint64(len(self.slots) - 1)
+            found[rest] = self.slots[at[rest]]
+            rest = rest[(found[rest] >= 0) & (self.keys[at[rest]] != hashes[rest])]
+        return found
+
+    def _keep(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Take in distinct new hashes; at least half of the slots stay free."""
+        if 2 * self.entries > len(self.slots):
+            used = self.slots >= 0
+            hashes, entries = np.concatenate([self.keys[used], hashes]), np.concatenate([self.slots[used], entries])
+            size = 1 << (2 * self.entries).bit_length()
+            self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        at = hashes & np.uint64(len(self.slots) - 1)
+        while len(hashes):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[free]
+            # of several for one slot, the last has it
+            done = self.slots[at] == entries
+            self.keys[at[done]] = hashes[done]
+            hashes, entries, at = hashes[~done], entries[~done], at[~done]
+            at = (at + np.uint64(1)) & np.uint64(len(self.slots) - 1)
+
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each run and the end) of runs led by blanks, which stay apart in one text.
+
+        Tokens stand for bytes, so the bytes behind the ids tell where a run ends.
+        """
+        sizes = ends - starts
+        last = np.cumsum(sizes)
+        text = data[np.repeat(starts - (last - sizes), sizes) + np.arange(last[-1])].tobytes().decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        behind = np.concatenate([[0], np.cumsum(self.token_bytes[ids])])
+        bounds = np.searchsorted(behind, np.concatenate([[0], last]))
+        if behind[-1] != last[-1] or (behind[bounds[1:]] != last).any():
+            return self._single(data, starts, ends)
+        return ids, bounds
+
+    def _single(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])
+        return np.fromiter(chain.from_iterable(made), np.int32, int(bounds[-1])), bounds
+
+    def _add(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+        n = self.entries
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(where) + 1 > len(self.starts):
+        while n + len(bounds) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(where) + 1] = self.used + bounds
+        self.starts[n : n + len(bounds)] = self.used + bounds
         self.used += len(ids)
-        self.index.update(zip(hashes[where].tolist(), range(n, n + len(where)), strict=True))
+        self.entries += len(bounds) - 1
 
 
 _encoders: dict[str, RunEncoder] = {}

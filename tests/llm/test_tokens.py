@@ -30,6 +30,56 @@ def test_runs_give_the_tokenizer_s_ids():
             assert ids[bounds[k] : bounds[k + 1]].tolist() == own.whole(t).tolist(), t
 
 
+def test_new_runs_led_by_blanks_go_to_the_tokenizer_as_one_text():
+    own = RunEncoder(default_tokenizer())
+    plain, given = own.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **how):
+            given.append(text)
+            return plain.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+    own.tokenizer = Counted()
+    texts = [f"a {k} w{'xyzéß'[k % 5] * (k // 5)} {'+-=#'[k % 4] * (k // 4 + 1)}" for k in range(400)]
+    for _ in range(2):
+        ids, bounds = own.encode(*buffers(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert len(given) == 2  # all that blanks lead, and the first "a" of every text
+
+
+@pytest.mark.parametrize("kept", [1, 40, 1_000])
+def test_runs_that_share_slots_and_a_store_that_is_emptied_keep_the_ids(monkeypatch, kept):
+    import random
+
+    from clickloom.llm import token_files
+
+    plain, rng = token_files.run_hashes, random.Random(2)
+    monkeypatch.setattr(token_files, "run_hashes", lambda *a: plain(*a) << np.uint64(16) | np.uint64((1 << 16) - 1))
+    monkeypatch.setattr(token_files, "KEPT_RUNS", kept)
+    monkeypatch.setattr(token_files, "JOINED_RUNS", 7)
+    own = RunEncoder(default_tokenizer())
+    for _ in range(30):
+        texts = [" ".join(rng.choice("ab1+é") * rng.randint(1, 9) for _ in range(rng.randint(0, 30))) for _ in range(9)]
+        ids, bounds = own.encode(*buffers(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == own.whole(t).tolist(), t
+
+
+def test_more_runs_than_slots_make_more_slots():
+    own = RunEncoder(default_tokenizer())
+    texts = [" ".join(f"x{k}" for k in range(a, a + 1_000)) for a in range(0, 40_000, 1_000)]
+    for _ in range(2):
+        ids, bounds = own.encode(*buffers(pa.array(texts)))
+        for k in (0, 20, 39):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == own.whole(texts[k]).tolist()
+    assert 2 * own.entries <= len(own.slots)
+
+
 def test_long_batches_are_encoded_in_small_pieces_with_a_bounded_store(docs_of, tmp_path, monkeypatch):
     from clickloom.llm import token_files
 
