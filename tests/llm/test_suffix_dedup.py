@@ -1,11 +1,14 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 
 from clickloom.llm.suffix_dedup import SuffixDedup, anchored, merged, repeated_suffixes, without
+from clickloom.session import scratch
 
 
 def brute_force(rows, length):
@@ -59,6 +62,26 @@ def test_production_length_with_a_hot_passage(spark, docs_of):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows, 400)
 
 
+def test_steps_over_many_small_partitions_write_few_files(spark, docs_of):
+    most = 4 * spark.sparkContext.defaultParallelism
+    rows = texts(6, 60, 60)
+    settings = {"spark.sql.shuffle.partitions": 2 * most, "spark.sql.adaptive.coalescePartitions.enabled": False}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        with scratch(spark) as path:
+            report = SuffixDedup(12, 3_000).report(docs_of(rows))
+            report.write.parquet(f"{path}/report-1")
+            got = spark.read.parquet(f"{path}/report-1").collect()
+            files = {d.name.rpartition("-")[0]: len(list(d.glob("part-*"))) for d in Path(urlparse(path).path).iterdir()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=repr) == brute_force(rows, 12)
+    assert len(files) > 10 and max(files.values()) <= most, files
+
+
 def test_anchors_cover_all_starts_and_follow_the_content():
     rng = np.random.default_rng(2)
     common = rng.integers(97, 105, 300, dtype=np.uint8)
