@@ -6,6 +6,10 @@ cell is that of each pivot whose list it is on. Two linked documents always shar
 they share a cell. (At distances near 1, where nearly all documents are from each other, windows of the
 triangle inequality alone would put every document in every cell; the prefix decides first.)
 
+Most shingles stand in one document alone. The sketch that orders them also bounds how many documents have
+each: lists that it bounds are brought together in one shuffle, and the others are joined to what was found
+to be shared.
+
 Cells of up to ``leaf_docs`` documents are joined in memory, in two steps. Bucket counts of the sets come
 first: their L1 distance never exceeds the symmetric difference, so a document without a neighbour within
 that bound and the size bound has no link in the cell, and its set stays where it is. In a larger cell every document measures its
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import components
@@ -40,8 +44,10 @@ SKETCH_BLOCK = 1 << 15
 MAX_SKETCH = 1 << 24
 # counters for each document, while there are fewer than MAX_SKETCH
 SKETCH_SHARE = 64
+# a shingle on a counter of a lower level is rare: fewer than 2^RARE_LEVEL documents have it
+RARE_LEVEL = 11
 # least number of buckets of a signature, which counts the shingles of the set that fall on each
-SIGNATURE = 256
+SIGNATURE = 64
 # tasks whose counts are added in one group
 ADDED_AT_ONCE = 256
 # bytes of sets that one batch hands on
@@ -89,9 +95,17 @@ class JaccardJoin:
 
     def links(self, docs: DataFrame, signed: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
         """(a, b): verified links between class representatives that connect all linked ones."""
-        postings = signed.where("n > 0 AND doc_id IS NOT NULL").select(
-            "doc_id", "fp1", "fp2", F.explode("prefix").alias("shingle")
+        full = signed.where("n > 0 AND doc_id IS NOT NULL")
+        # lists of rare shingles are bounded, so one shuffle brings each together; most hold one document
+        together = Window.partitionBy("shingle")
+        rare = (
+            full.select("doc_id", F.explode("rare").alias("shingle"))
+            .select("doc_id", F.min("doc_id").over(together).alias("pivot"), F.max("doc_id").over(together).alias("last"))
+            .where("pivot <> last")
+            .select("pivot", "doc_id")
         )
+        # the others may be of any size: they are never brought together
+        postings = full.select("doc_id", "fp1", "fp2", F.explode("common").alias("shingle"))
         lists = (
             postings.groupBy("shingle")
             .agg(
@@ -106,6 +120,7 @@ class JaccardJoin:
         cells = (
             postings.join(lists, "shingle")
             .select("pivot", "doc_id")
+            .union(rare)
             .distinct()
             .join(reps, "doc_id", "left_semi")
         )
@@ -149,7 +164,7 @@ class JaccardJoin:
     # ---- texts to sets
 
     def _signed(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n, fp1, fp2, prefix, signature): set size, fingerprint, prefix with rare ones first, bucket counts."""
+        """(doc_id, n, fp1, fp2, rare, common, signature): set size, fingerprint, prefix in two parts, bucket counts."""
         spark = docs.sparkSession
         rows = docs.count()
         bits = min(MAX_SKETCH, max(SKETCH_BLOCK, 1 << (max(rows, 1) * SKETCH_SHARE - 1).bit_length()))
@@ -161,30 +176,32 @@ class JaccardJoin:
             slot = np.uint64(len(rank) - 1)
             for batch in batches:
                 for first, end, data, offsets in pieces(batch.column(1)):
-                    n, fp1, fp2, prefixes, counts = [], [], [], [], []
+                    n, fp1, fp2, rare, common, counts = [], [], [], [], [], []
                     for s in shingle_sets(*hash_words(data, offsets, NOT_BLANK), width):
                         n.append(len(s))
                         fp1.append(np.sum(mix(s)))
                         fp2.append(np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
                         keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                        order = np.lexsort((s, rank[(s & slot).astype(np.int64)]))[:keep]
-                        prefixes.append(s[order])
+                        level = rank[(s & slot).astype(np.int64)]
+                        order = np.lexsort((s, level))[:keep]
+                        first_common = int(np.searchsorted(level[order], RARE_LEVEL))
+                        rare.append(s[order[:first_common]])
+                        common.append(s[order[first_common:]])
                         counts.append(_signature(s))
-                    flat = np.concatenate(prefixes).view(np.int64)
-                    ends = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(first, end - first),
                             pa.array(n, pa.int64()),
                             pa.array(np.array(fp1, np.uint64).view(np.int64)),
                             pa.array(np.array(fp2, np.uint64).view(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                            _lists(rare),
+                            _lists(common),
                             pa.array(counts, pa.binary()),
                         ],
-                        ["doc_id", "n", "fp1", "fp2", "prefix", "signature"],
+                        ["doc_id", "n", "fp1", "fp2", "rare", "common", "signature"],
                     )
 
-        schema = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>, signature binary"
+        schema = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, rare array<bigint>, common array<bigint>, signature binary"
         return keyed_texts(docs).mapInArrow(tidy(sign), schema)
 
     def _sets(self, texts: DataFrame, cells: str) -> DataFrame:
@@ -319,10 +336,19 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+
+
 def _signature(s: np.ndarray) -> bytes:
-    """How many shingles fall on each of a power of two of buckets, some four to a bucket in large sets."""
-    bits = max(SIGNATURE.bit_length() - 1, (len(s) // 4).bit_length())
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+    """How many shingles fall on each of a power of two of buckets, some eight to a bucket in large sets.
+
+    A byte each: counts above 255 become 255, which takes them no further apart.
+    """
+    bits = max(SIGNATURE.bit_length() - 1, (len(s) // 8).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _levels(docs: DataFrame, width: int, counters: int) -> bytes:
@@ -392,7 +418,7 @@ def _possible(g: pd.DataFrame, percent: int) -> pd.DataFrame:
     """The documents of a cell with another one that bucket counts and sizes do not rule out."""
     g = g.sort_values(["n", "doc_id"])
     n = g["n"].to_numpy()
-    raw = [np.frombuffer(s, np.uint16).astype(np.int32) for s in g["signature"]]
+    raw = [np.frombuffer(s, np.uint8).astype(np.int32) for s in g["signature"]]
     width = np.array([len(r) for r in raw])
     counts, first = np.zeros((0, 0), np.int32), 0
     # at best the smaller set is contained in the larger one, so sizes alone bound the similarity

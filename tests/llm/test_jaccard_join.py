@@ -100,3 +100,33 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize(("level", "leaf"), [(0, 192), (3, 4), (11, 192)])
+def test_rare_shingles_are_brought_together_once(docs_of, monkeypatch, level, leaf):
+    tables_of, write = {}, jaccard_join.write_table
+    monkeypatch.setattr(jaccard_join, "write_table", lambda df, name, *a: tables_of.setdefault(name, write(df, name, *a)))
+    monkeypatch.setattr(jaccard_join, "RARE_LEVEL", level)
+    rows = corpus(8)
+    got = JaccardJoin(width=4, percent=85, leaf_docs=leaf, pivots=4).classes(docs_of(rows)).collect()
+    assert {tuple(r) for r in got} == brute_force(rows, 4, 85)
+    prefixes = tables_of["signed"].selectExpr("sum(size(rare))", "sum(size(common))").first()
+    # lists are joined to postings for common shingles alone
+    assert (prefixes[0] > 0, prefixes[1] > 0) == (level > 0, level < 11)
+    assert (tables_of["lists"].count() > 0) == (level < 11)
+
+
+def test_bucket_counts_take_a_byte_and_rule_out_no_link():
+    rng = random.Random(9)
+    sets = []
+    for size in (1, 40, 500, 9_000):
+        s = [rng.randrange(2**64) for _ in range(size)]
+        t = s[: size - size // 20] + [rng.randrange(2**64) for _ in range(size // 20)]
+        sets += [jaccard_join.np.array(sorted(x), "uint64") for x in (s, t)]
+    # one bucket full beyond a byte
+    sets += [jaccard_join.np.arange(k, 4_000 + k, dtype="uint64") for k in (0, 100)]
+    frame = jaccard_join.pd.DataFrame(
+        {"pivot": 1, "doc_id": range(len(sets)), "n": list(map(len, sets)), "signature": list(map(jaccard_join._signature, sets))}
+    )
+    assert [len(s) for s in frame["signature"][:6]] == [64] * 6
+    assert set(jaccard_join._possible(frame, 85)["doc_id"]) >= set(range(2, len(sets)))
