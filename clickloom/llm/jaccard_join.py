@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from clickloom.llm.components import components
 from clickloom.llm.tables import bounded_broadcast, keyed_texts, text_batches, written_broadcast
 from clickloom.llm.words import NOT_BLANK, hash_words, mix, pieces, shingle_sets, tidy
-from clickloom.session import write_table
+from clickloom.session import shuffle_partitions, write_table
 
 # counters of the sketch of document frequencies: a power of two, one byte each when broadcast
 SKETCH_BLOCK = 1 << 15
@@ -134,6 +134,8 @@ class JaccardJoin:
             sized.where(F.col("docs") <= self.leaf_docs)
             .select("pivot", "doc_id")
             .join(signatures, "doc_id")
+            # many tasks although the rows are short: pairs of a cell take the time
+            .repartition(shuffle_partitions(docs.sparkSession), "pivot")
             .groupBy("pivot")
             .applyInPandas(lambda g: _possible(g, percent), "pivot bigint, doc_id bigint")
         )
